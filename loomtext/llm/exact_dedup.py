@@ -54,7 +54,7 @@ class BinaryFuse:
         keys = np.unique(keys.astype(np.uint64))
         n = len(keys)
         segment = 1 << max(2, min(16, int(np.log2(max(n, 2)) / np.log2(3.33) + 2.25)))
-        capacity = int(n * max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3)))) + 3 * segment
+        capacity = int(n * max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3)))) + 12
         segments = max(1, -(-capacity // segment) - 2)
         for seed in range(1, 1000):
             slots, prints = cls._places(keys, seed, segment, segments)

@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         model = train([r[2] for r in found], np.array([r[3] for r in found]))
         yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]}, schema=pa.schema([("model", pa.binary())]))
 
-    return bytes(rows.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    made = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return bytes(made["model"]) if made else train([], np.zeros(0)).to_bytes()
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

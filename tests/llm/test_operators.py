@@ -443,8 +443,19 @@ def test_plan_places_everything_once():
                 assert offset == at
                 at += size
             assert at <= capacity
-        total = sum(s * n for s, n in counts.items())
-        assert bins <= 11 / 9 * max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity)) + 2
+        assert bins <= best_fit(counts, capacity) * 1.02 + 1
+
+
+def best_fit(counts, capacity):
+    """Bins of plain best fit, longest first."""
+    room = []
+    for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
+        fitting = [(r, k) for k, r in enumerate(room) if r >= size]
+        if fitting:
+            room[min(fitting)[1]] -= size
+        else:
+            room.append(capacity - size)
+    return len(room)
 
 
 def test_sequences_and_empty(spark, small, empty):
