@@ -1,9 +1,237 @@
-"""Named queries over the driver's tables and the SQL they are held against."""
+"""Named queries over the driver's tables, and the SQL each is held against."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import AtomData, AttrExpr, ChunkDelimitedStringify, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_table
+
+TERMS = "the reand shtion"
+MATCH = "(the|und|les) [a-z]+ing"
+
+
+def _docs(spark: SparkSession, sf: str) -> Corpus:
+    return corpus_from_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+class Rounded(AttrExpr):
+    """Another expression's value at six places, so that ties are ties to every engine."""
+
+    def __init__(self, expr: AttrExpr):
+        self.expr = expr
+
+    def __call__(self, chunks: Chunks) -> DataFrame:
+        return self.expr(chunks).select("id", F.round("value", 6).alias("value"))
+
+
+def _windows(size: int, offset: int, closed: str = "left"):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _docs(spark, sf).chunk(FixedSizeChunk("document", size, offset, closed=closed)).select(doc_id="constraint", start="start", body=SimpleStringify())
+
+    return run
+
+
+def _overlap(agg: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        lines = _docs(spark, sf).chunk("line")
+        return lines.select(doc_id="document", line="ordinal", value=ChunkOverlap(FixedSizeChunk("document", 12, -5), agg))
+
+    return run
+
+
+def _counted(flags: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _docs(spark, sf).chunk("document").select(doc_id="id", hits=RegexCount(SimpleStringify(), "th[aei]n?", flags))
+
+    return run
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages most relevant to a query: windows, TF-IDF, the best twenty, their texts."""
+    best = _docs(spark, sf).chunk(FixedSizeChunk("document", 64, -32)).enrich(tfidf=Rounded(Tfidf(SimpleStringify(), TERMS))).filter(TopK("tfidf", 20))
+    return best.select("tfidf", doc_id="constraint", start="start", body=SimpleStringify())
+
+
+def _regex_match(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).chunk(RegexMatchChunk("document", MATCH)).select(doc_id="constraint", first="start", last="end", body=SimpleStringify())
+
+
+def _tfidf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).chunk("document").select(doc_id="id", score=Rounded(Tfidf(SimpleStringify(), TERMS)))
+
+
+def _tfidf_options(spark: SparkSession, sf: str) -> DataFrame:
+    expr = Tfidf(SimpleStringify(), TERMS, norm="l1", sublinear_tf=True, smooth_idf=False, min_df=2, stop_words=["of", "und"])
+    return _docs(spark, sf).chunk("document").select(doc_id="id", score=Rounded(expr))
+
+
+def _merge_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = Corpus.merge([corpus_from_documents(docs.filter(F.col("lang") == x)) for x in ("fr", "de")])
+    parts = [both.atoms.agg(F.count("*").alias("n")).select(F.lit("atoms").alias("kind"), "n")] + [both.chunk(k).chunks.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("document", "line")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """A Tesseract table as scanning ``docs`` might give it: 10 words to a line, 4 lines to a paragraph, 5 paragraphs to a page."""
+    words = corpus_from_documents(docs).atoms.select("document", (F.col("ordinal") - 1).alias("i"), "text")
+    at = {"page_num": F.floor(F.col("i") / 200) + 1, "par_num": F.floor(F.col("i") % 200 / 40) + 1, "line_num": F.floor(F.col("i") % 40 / 10) + 1, "word_num": F.col("i") % 10 + 1}
+    words = words.select("document", "text", *[e.cast("long").alias(n) for n, e in at.items()]).withColumn("block_num", F.lit(1).cast("long"))
+    numbers = ["page_num", "block_num", "par_num", "line_num", "word_num"]
+    out = words.select("document", F.lit(5).alias("level"), *numbers, "text")
+    for level in range(1, 5):
+        zero = [F.col(n) if i < level else F.lit(0).cast("long").alias(n) for i, n in enumerate(numbers)]
+        out = out.unionByName(words.select("document", F.lit(level).alias("level"), *zero, F.lit("").alias("text")).distinct())
+    return out.withColumns({n: F.lit(0).cast("long") for n in ("left", "top", "width", "height")} | {"conf": F.when(F.col("level") == 5, 90.0).otherwise(-1.0)})
+
+
+def _ocr_levels(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = corpus_from_tesseract_table(scanned(spark.read.parquet(f"{sf}/documents.parquet")), document_col="document")
+    counts = [corpus.chunk(k).select("id").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("document", "page", "block", "paragraph", "line")]
+    out = corpus.atoms.agg(F.count("*").alias("n")).select(F.lit("atoms").alias("kind"), "n")
+    for c in counts:
+        out = out.unionByName(c)
+    return out
+
+
+def _ocr_pages(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = corpus_from_tesseract_table(scanned(spark.read.parquet(f"{sf}/documents.parquet")), document_col="document")
+    return corpus.chunk("page").filter(Threshold("ordinal", "<=", 2)).select(doc_id="document", page="ordinal", body=ChunkDelimitedStringify([("paragraph", "¶"), ("line", "|")]))
+
+
+def _enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _docs(spark, sf).chunk("line").filter(Threshold("ordinal", "<", 5)).enrich(the=RegexCount(SimpleStringify(), "the"), body=SimpleStringify("_"))
+    return chunks.filter(Threshold("the", ">=", 1), TopK("the", 50)).select("the", "body", doc_id="document", line="ordinal")
+
+
+def _line_items(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    corpus = corpus_from_rows(spark.read.parquet(f"{sf}/lineitem.parquet"), keys, {"order": "l_orderkey", "part": "l_partkey"})
+    rows = corpus.chunk("order").filter(Threshold("id", "<", 2000)).select(order_key="id", flags=AtomData("l_returnflag"), lines=AtomData("l_linenumber"))
+    return rows.select("order_key", F.array_join("flags", "").alias("flags"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("turn", "ordinal")
+    corpus = corpus_from_rows(rows, ["conv_id", "ordinal"], {"conversation": "conv_id"})
+    return corpus.chunk("conversation").select(conv_id="id", roles=AtomData("role"), body=SimpleStringify("\n")).select("conv_id", F.array_join("roles", ">").alias("roles"), "body")
+
+
+def _atom_data(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).chunk("line").filter(Threshold("ordinal", "<=", 1)).select(doc_id="document", line="ordinal", words=AtomData("text"), places=AtomData("ordinal"))
+    return rows.select("doc_id", "line", F.array_join("words", "+").alias("words"), F.array_min("places").alias("first"), F.size("places").cast("long").alias("n"))
 
 
 def queries():
-    return {}
+    return {
+        "retrieval": flagship,
+        "threshold_select": lambda s, d: _docs(s, d).chunk("document").filter(Threshold("n_chars", ">", 1000), Threshold("n_chars", "<=", 3000)).select("lang", "source", doc_id="id", size="n_chars"),
+        "equal_to": lambda s, d: _docs(s, d).chunk("document").filter(EqualTo("lang", ["fr", "es", None])).select("lang", doc_id="id", body=SimpleStringify()),
+        "topk": lambda s, d: _docs(s, d).chunk("document").filter(TopK("n_chars", 25)).select("n_chars", doc_id="id"),
+        "topk_reverse": lambda s, d: _docs(s, d).chunk("document").filter(TopK("n_chars", 25, reverse=True)).select("n_chars", doc_id="id"),
+        "stringify_line": lambda s, d: _docs(s, d).chunk("line").filter(Threshold("ordinal", "<=", 2)).select(doc_id="document", line="ordinal", body=SimpleStringify("~")),
+        "delimited_stringify": lambda s, d: _docs(s, d).chunk("document").select(doc_id="id", body=ChunkDelimitedStringify([("line", " / ")], atom_delimiter="_")),
+        "atom_data": _atom_data,
+        "fixed_size_tumbling": _windows(64, 0),
+        "fixed_size_overlap": _windows(64, -32),
+        "fixed_size_gap": _windows(10, 15),
+        "fixed_size_right": _windows(16, -4, "right"),
+        "fixed_size_both": _windows(16, -4, "both"),
+        "fixed_size_none": _windows(16, -4, "none"),
+        "regex_count": _counted(0),
+        "regex_count_ci": _counted(re.IGNORECASE),
+        "regex_match": _regex_match,
+        "overlap_bool": _overlap("bool"),
+        "overlap_count": _overlap("count"),
+        "overlap_frac": _overlap("frac"),
+        "tfidf_scores": _tfidf_scores,
+        "tfidf_options": _tfidf_options,
+        "merge_counts": _merge_counts,
+        "ocr_levels": _ocr_levels,
+        "ocr_pages": _ocr_pages,
+        "enrich_chain": _enrich_chain,
+        "lineitem_order_chunks": _line_items,
+        "conversation_chunks": _turns,
+    }
+
+
+#: Words by document and line, the windows over them, and the counts behind TF-IDF.
+_WORDS = r"""
+WITH ln AS (SELECT doc_id, lang, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS lt FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents)),
+lw AS (SELECT doc_id, lang, line, generate_subscripts(l, 1) AS pos, unnest(l) AS text FROM (SELECT doc_id, lang, line, list_filter(string_split_regex(lt, '\s+'), lambda x: x <> '') AS l FROM ln)),
+w AS (SELECT doc_id, lang, line, text, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) AS ordinal FROM lw)
+"""
+
+
+def _window_sql(size: int, offset: int, closed: str = "left") -> str:
+    e = size + offset
+    low = ">" if closed in ("right", "none") else ">="
+    high = "<=" if closed in ("right", "both") else "<"
+    return f", m AS (SELECT doc_id, min(ordinal) AS least, max(ordinal) AS most FROM w GROUP BY 1), k AS (SELECT doc_id, unnest(range(least, most + 1, {e})) AS start FROM m), x AS (SELECT k.doc_id, k.start, w.line, w.ordinal, w.text FROM k JOIN w ON w.doc_id = k.doc_id AND w.ordinal {low} k.start AND w.ordinal {high} k.start + {size})"
+
+
+_JOINED = "SELECT doc_id, start, string_agg(text, ' ' ORDER BY ordinal) AS body FROM x GROUP BY 1, 2"
+
+
+def _tfidf_sql(rows: str, keys: str) -> str:
+    """``rows``: a query giving ``keys`` and s, the text."""
+    terms = ", ".join(f"'{t}'" for t in TERMS.split())
+    return rf""", s AS ({rows}), n AS (SELECT count(*) AS n FROM s),
+t AS (SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM s) GROUP BY ALL),
+i AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM t, n GROUP BY term, n),
+q AS (SELECT sqrt(sum(idf * idf)) AS qn FROM i WHERE term IN ({terms})),
+d AS (SELECT {keys}, sum(CASE WHEN term IN ({terms}) THEN tf * idf * idf ELSE 0 END) / (sqrt(sum(tf * tf * idf * idf)) * any_value(qn)) AS score FROM t JOIN i USING (term), q GROUP BY {keys})"""
+
+
+def _overlap_sql(value: str) -> str:
+    return _WORDS + _window_sql(12, -5) + f", c AS (SELECT w.doc_id, w.line, w.ordinal, x.start FROM w LEFT JOIN x ON x.doc_id = w.doc_id AND x.ordinal = w.ordinal) SELECT doc_id, line, {value} AS value FROM c GROUP BY 1, 2"
 
 
 def oracle_sql():
-    return {}
+    whole = "SELECT doc_id, string_agg(text, ' ' ORDER BY ordinal) AS s FROM w GROUP BY doc_id"
+    every = "SELECT documents.doc_id, s FROM documents LEFT JOIN (" + whole + ") USING (doc_id)"
+    count = lambda options: _WORDS + f"SELECT doc_id, CAST(len(regexp_extract_all(s, '{options}th[aei]n?')) AS BIGINT) AS hits FROM ({every})"
+    terms = ", ".join(f"'{t}'" for t in TERMS.split())
+    scanned_sql = _WORDS + ", p AS (SELECT doc_id, text, ordinal, (ordinal - 1) // 200 AS page, (ordinal - 1) // 40 AS par, (ordinal - 1) // 10 AS l FROM w)"
+    return {
+        "retrieval": _WORDS + _window_sql(64, -32) + _tfidf_sql("SELECT doc_id, start, string_agg(text, ' ' ORDER BY ordinal) AS s FROM x GROUP BY 1, 2", "doc_id, start") + " SELECT round(coalesce(score, 0), 6) AS tfidf, doc_id, start, s AS body FROM s LEFT JOIN d USING (doc_id, start) ORDER BY 1 DESC, 2, 3 LIMIT 20",
+        "threshold_select": "SELECT lang, source, doc_id, n_chars AS size FROM documents WHERE n_chars > 1000 AND n_chars <= 3000",
+        "equal_to": _WORDS + f"SELECT lang, doc_id, s AS body FROM documents LEFT JOIN ({whole}) USING (doc_id) WHERE lang IN ('fr', 'es') OR lang IS NULL",
+        "topk": "SELECT n_chars, doc_id FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 25",
+        "topk_reverse": "SELECT n_chars, doc_id FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars, doc_id LIMIT 25",
+        "stringify_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body FROM w WHERE line <= 2 GROUP BY 1, 2",
+        "delimited_stringify": _WORDS + ", f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM w) SELECT documents.doc_id, coalesce(b, '') AS body FROM documents LEFT JOIN (SELECT doc_id, string_agg(f.text || CASE WHEN n IS NULL THEN '' WHEN n <> line THEN ' / ' ELSE '_' END, '' ORDER BY ordinal) AS b FROM f GROUP BY 1) USING (doc_id)",
+        "atom_data": _WORDS + "SELECT doc_id, line, string_agg(text, '+' ORDER BY ordinal) AS words, min(ordinal) AS first, count(*) AS n FROM w WHERE line <= 1 GROUP BY 1, 2",
+        "fixed_size_tumbling": _WORDS + _window_sql(64, 0) + _JOINED,
+        "fixed_size_overlap": _WORDS + _window_sql(64, -32) + _JOINED,
+        "fixed_size_gap": _WORDS + _window_sql(10, 15) + _JOINED,
+        "fixed_size_right": _WORDS + _window_sql(16, -4, "right") + _JOINED,
+        "fixed_size_both": _WORDS + _window_sql(16, -4, "both") + _JOINED,
+        "fixed_size_none": _WORDS + _window_sql(16, -4, "none") + _JOINED,
+        "regex_count": count(""),
+        "regex_count_ci": count("(?i)"),
+        "regex_match": _WORDS + f""", s AS ({whole}), g AS (SELECT doc_id, regexp_extract_all(s, '{MATCH}') AS ms, string_split_regex(s, '{MATCH}') AS gs FROM s),
+h AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM g),
+r AS (SELECT doc_id, list_sum(list_transform(gs[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0) AS first, length(ms[i]) AS n FROM h),
+o AS (SELECT doc_id, ordinal, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM w)
+SELECT r.doc_id, CAST(first AS INTEGER) AS first, CAST(first + n AS INTEGER) AS last, string_agg(text, ' ' ORDER BY ordinal) AS body FROM r JOIN o ON o.doc_id = r.doc_id AND o.place BETWEEN first AND first + n GROUP BY 1, 2, 3""",
+        "overlap_bool": _overlap_sql("bool_or(start IS NOT NULL)"),
+        "overlap_count": _overlap_sql("count(start)"),
+        "overlap_frac": _overlap_sql("avg(CASE WHEN start IS NULL THEN 0.0 ELSE 1.0 END)"),
+        "tfidf_scores": _WORDS + _tfidf_sql(every, "doc_id") + " SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (doc_id)",
+        "tfidf_options": _WORDS + rf""", s AS ({every}), n AS (SELECT count(*) AS n FROM s),
+t AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM s) WHERE term NOT IN ('of', 'und') GROUP BY ALL),
+i AS (SELECT term, ln(1.0 * n / count(*)) + 1 AS idf FROM t, n GROUP BY term, n HAVING count(*) >= 2),
+q AS (SELECT sum(idf) AS qn FROM i WHERE term IN ({terms})),
+d AS (SELECT doc_id, sum(CASE WHEN term IN ({terms}) THEN tf * idf * idf ELSE 0 END) / (sum(tf * idf) * any_value(qn)) AS score FROM t JOIN i USING (term), q GROUP BY doc_id)
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (doc_id)""",
+        "merge_counts": _WORDS + ", v AS (SELECT * FROM w WHERE lang IN ('fr', 'de')) SELECT 'atoms' AS kind, count(*) AS n FROM v UNION ALL SELECT 'document', count(*) FROM documents WHERE lang IN ('fr', 'de') UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM v)",
+        "ocr_levels": scanned_sql + "SELECT 'atoms' AS kind, count(*) AS n FROM p UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'block', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'paragraph', count(*) FROM (SELECT DISTINCT doc_id, par FROM p) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, l FROM p)",
+        "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f WHERE page < 2 GROUP BY 1, 2",
+        "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w WHERE line < 5 GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
+        "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
+        "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
+    }

@@ -1,0 +1 @@
+"""Nothing here: no operator of the library works on streams."""
