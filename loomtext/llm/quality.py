@@ -129,7 +129,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     words, weights = word_vectors([at for at, _ in docs])
     parts = {"words": words, "weights": weights, "temperature": np.ones(1), "w2": np.zeros(0), "b2": np.zeros(1)}
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         parts["b2"] = np.array([float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1)))]) if len(y) else np.zeros(1)
         return Model(parts)
     model = Model(parts)
