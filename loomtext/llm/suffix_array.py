@@ -71,7 +71,8 @@ def short_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     here, prior = by_code[open_], by_code[open_ - 1]
     following[prior] = here
     run_start = np.maximum.accumulate(np.where(np.r_[True, before[1:] != before[:-1]], np.arange(n, dtype=np.int32), 0))
-    known = ~same
+    held = bytearray((~same).tobytes())
+    known = np.frombuffer(held, bool)
     fresh = np.flatnonzero(known).astype(np.int32)
     for level in range(length - 1):
         if not len(fresh):
@@ -91,8 +92,7 @@ def short_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndar
                     at, border = at[more] - 1, border[more]
                     continue
                 if low is None:
-                    set_ = np.flatnonzero(known)
-                    low = set_[np.searchsorted(set_, at, "right") - 1]
+                    low = np.array([held.rfind(1, 0, x + 1) for x in at.tolist()], np.int64)
                 at = run_start[at] - 1
                 more = at >= low
                 at, border, low = at[more], border[more], low[more]

@@ -8,15 +8,17 @@ Equal strings have equal content-defined anchors: of the ``length`` bytes the
 ``gram`` bytes with the least hash, the leftmost if tied.  So every start of a
 string belongs to one anchor, and whether it repeats is decided among the places
 with the same anchor.  A place is cut out as a segment, the bytes that its starts
-cover.  Equal segments are one, with a weight.  Anchors met once are done with.
-The rest go by hash of the anchor to buckets of bounded size, and in each bucket
-a Burrows-Wheeler transform with threshold-bounded interval expansion (see
+cover.  A segment spans starts at most ``SPANS[0]`` apart, and the bytes that all of
+these cover are its key.  Equal segments are one, with a weight.  Keys met once are
+done with, and so are keys whose segments are all equal, which repeat as a whole.
+The rest go by hash of the key to buckets of bounded size, and in each bucket a
+Burrows-Wheeler transform with threshold-bounded interval expansion (see
 ``suffix_array``) finds the strings that repeat.
 
-An anchor with more than ``hot`` distinct segments, such as a common line in
+A key with more than ``hot`` distinct segments, such as a common line in
 unlike surroundings, is not gathered: its segments are split by the distance of
-start and anchor, which lets longer anchors stand for them, and in the end
-strings are their own anchors.  Nothing is dropped at any step.
+start and anchor, which makes the keys longer, and in the end strings are their
+own keys.  Nothing is dropped at any step.
 
 A null text is empty.  Equal texts are handled once and weigh their number.
 Texts shorter than ``length`` lose nothing.  Repeated rows get equal results.
@@ -26,6 +28,7 @@ Other columns are ignored.  Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import ranges
 from .common import Workspace, documents, texts
 from .suffix_array import repeats
 
 LENGTH, GRAM = 200, 32
-#: Distinct segments of an anchor that are gathered, and bytes that a bucket holds on average.
-HOT, BUCKET_BYTES = 1500, 1_500_000
+#: Bytes that a bucket holds on average, and distinct segments of a key that are gathered: those of one bucket.
+BUCKET_BYTES = 1_500_000
+HOT = BUCKET_BYTES // (LENGTH + 50)
 #: Distances of start and anchor that one segment spans, from the first split to the last.
-SPANS = (None, 12, 1)
+SPANS = (57, 8, 1)
 
 
 def text_key(text: bytes) -> bytes:
@@ -68,91 +73,120 @@ def window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(held: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor's hash, first start, starts, anchor's place) of each run of starts with one anchor."""
+class Spans:
+    """Hashes of any spans of some bytes: a polynomial of the mixed hashes of the 8 bytes at each place."""
+
+    def __init__(self, data: np.ndarray):
+        g = gram_hashes(data, 8)
+        self.power, self.inverse = _powers(len(g) + 1)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * self.power[: len(g)], dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        h = (self.total[end - 7] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+@lru_cache(1)
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x5851F42D4C957F2D
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _table(max(1 << 21, 1 << n.bit_length()))
+
+
+def cells(spans: Spans, p: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, length: int) -> tuple[np.ndarray, ...]:
+    """(run, first start, starts, key, segment's hash) of the segments of runs of starts, by rising start.
+
+    Starts of a segment have distances to the anchor between two multiples of ``span``.
+    """
+    high, low = (at - p) // span, (at - p - n + 1) // span
+    which, down = ranges(low, high + 1)
+    j = (high + low)[which] - down
+    first = np.maximum(p[which], at[which] - j * span - span + 1)
+    last = np.minimum((p + n)[which], at[which] - j * span + 1) - 1
+    core = at[which] - j * span
+    return which, first, last - first + 1, spans(core, core - span + 1 + length, j), spans(first, last + length, at[which] - first)
+
+
+def anchors(held: list[bytes], length: int, gram: int, span: int) -> tuple[np.ndarray, ...]:
+    """(text, starts, anchor's distance from the first, key, segment's hash) of each segment, by text and start."""
     data = np.frombuffer(b"".join(held), np.uint8)
-    empty = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty.astype(np.uint64), empty, empty, empty
+        return none, none, none, none, none
     sizes = np.fromiter(map(len, held), np.int64, len(held))
     hashes = gram_hashes(data, gram)
     least = window_min(hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    base = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(held)), sizes)
-    p = np.arange(len(at))
-    good = p + length <= (base + sizes)[owner[: len(at)]]
-    p = p[good]
+    p = np.flatnonzero(np.arange(len(at)) + length <= np.cumsum(sizes)[owner[: len(at)]])
     if not len(p):
-        return empty, empty.astype(np.uint64), empty, empty, empty
+        return none, none, none, none, none
     a, o = at[p], owner[p]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])])
     n = np.diff(np.r_[first, len(p)])
     o, a, p = o[first], a[first], p[first]
-    return o, hashes[a], p - base[o], n, a - base[o]
+    which, lo, n, key, seg = cells(Spans(data), p, n, a, span, length)
+    return o[which], n, a[which] - lo, key, seg
 
 
-def scan(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """id, tkey, n_bytes, sha, and the text's anchors as parallel lists h, lo, n, at."""
+def scan(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, span: int) -> DataFrame:
+    """id, tkey, and the text's segments by rising start as parallel lists: key, seg, n (starts), gap (to the anchor)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it):
         for batch in it:
             done = 0
             for _, held in texts(batch, "text", 1 << 20):
-                o, h, lo, n, at = anchors(held, length, gram)
-                ends = np.searchsorted(o, np.arange(len(held) + 1)).astype(np.int32)
-                listed = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(held)), pa.array([text_key(t) for t in held], pa.binary()), pa.array([len(t) for t in held], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in held]), listed(h.view(np.int64), pa.int64()), listed(lo.astype(np.int32), pa.int32()), listed(n.astype(np.int32), pa.int32()), listed(at.astype(np.int32), pa.int32())], ["id", "tkey", "n_bytes", "sha", "h", "lo", "n", "at"])
+                o, n, gap, key, seg = anchors(held, length, gram, span)
+                ends = pa.array(np.searchsorted(o, np.arange(len(held) + 1)).astype(np.int32))
+                listed = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(x, t))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(held)), pa.array([text_key(t) for t in held], pa.binary()), listed(key, pa.int64()), listed(seg, pa.int64()), listed(n.astype(np.int16), pa.int16()), listed(gap.astype(np.int16), pa.int16())], ["id", "tkey", "key", "seg", "n", "gap"])
                 done += len(held)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, tkey binary, n_bytes bigint, sha string, h array<bigint>, lo array<int>, n array<int>, at array<int>")
+    return rows.mapInArrow(run, f"id {kind}, tkey binary, key array<bigint>, seg array<bigint>, n array<smallint>, gap array<smallint>")
 
 
-def segments(rows: DataFrame, length: int, span: int | None) -> DataFrame:
-    """key, seg, tkey, lo, w of the texts' segments.
+def split(rows: DataFrame, span: int, length: int) -> DataFrame:
+    """key, seg, rid, lo, n, gap of the finer segments of ``rows``: text and runs, an array of (rid, lo, n, gap)."""
 
-    ``rows``: tkey, w, text and runs, an array of (h, lo, n, at).  Starts at most ``span``
-    apart from the anchor's grid make a segment, whose key is what they all cover.
-    """
+    def run(it):
+        for batch in it:
+            for t, runs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(t.as_py(), np.uint8)
+                rid, lo, n, gap = (np.array([r[c] for r in runs], np.int64) for c in ("rid", "lo", "n", "gap"))
+                which, lo, n, key, seg = cells(Spans(data), lo, n, (at := lo + gap), span, length)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(rid[which]), pa.array(lo, pa.int32()), pa.array(n, pa.int16()), pa.array(at[which] - lo, pa.int16())], ["key", "seg", "rid", "lo", "n", "gap"])
+
+    return rows.mapInArrow(run, "key bigint, seg bigint, rid bigint, lo int, n smallint, gap smallint")
+
+
+def extract(rows: DataFrame, length: int) -> DataFrame:
+    """key, seg, w, bytes of the segments of ``rows``: text and runs, an array of (key, seg, w, lo, n)."""
 
     def run(it):
         for batch in it:
-            keys, segs, who, los = [], [], [], []
-            runs = batch.column(2).to_pylist()
-            for i, t in enumerate(batch.column(3)):
-                t = t.as_py()
-                for r in runs[i]:
-                    lo, n, at = r["lo"], r["n"], r["at"]
-                    if span is None:
-                        cells = [(lo, lo + n, r["h"])]
-                    else:
-                        cells = []
-                        for j in range((at - lo - n + 1) // span, (at - lo) // span + 1):
-                            a, b = max(lo, at - j * span - span + 1), min(lo + n, at - j * span + 1)
-                            core = t[max(0, at - j * span) : at - j * span - span + 1 + length]
-                            cells.append((a, b, xxhash.xxh3_64_intdigest(core, seed=j + 1) - (1 << 63)))
-                    for a, b, key in cells:
-                        keys.append(key)
-                        segs.append(t[a : b - 1 + length])
-                        who.append(i)
-                        los.append(a)
-                if len(keys) >= 4096 or i + 1 == batch.num_rows:
-                    at = pa.array(who, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segs, pa.binary()), pa.array([xxhash.xxh3_128_digest(s) for s in segs], pa.binary()), batch.column(0).take(at), pa.array(los, pa.int32()), batch.column(1).take(at)], ["key", "seg", "skey", "tkey", "lo", "w"])
-                    keys, segs, who, los = [], [], [], []
-
-    return rows.select("tkey", "w", "runs", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key bigint, seg binary, skey binary, tkey binary, lo int, w bigint")
+            held: list[tuple] = []
+            for t, runs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = t.as_py()
+                held += [(r["key"], r["seg"], r["w"], text[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in runs]
+            if held:
+                key, seg, w, own = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seg, pa.int64()), pa.array(w, pa.int64()), pa.array(own, pa.binary())], ["key", "seg", "w", "bytes"])
+
+    return rows.mapInArrow(run, "key bigint, seg bigint, w bigint, bytes binary")
 
 
 def find(segs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """key, skey, and the runs of starts in the segment that repeat: (first, last)."""
+    """key, seg, and the runs of starts in the segment that repeat: (first, last)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        strings = [x.as_py() for x in table["seg"]]
-        hits = repeats(strings, table["w"].to_numpy(), length)
+        hits = repeats([x.as_py() for x in table["bytes"]], table["w"].to_numpy(), length)
         who, first, last = [], [], []
         for i, h in enumerate(hits):
             if len(h):
@@ -162,75 +196,102 @@ def find(segs: DataFrame, buckets: int, length: int) -> DataFrame:
                 first.append(h[a])
                 last.append(h[b])
         at = pa.array(who, pa.int64())
-        return pa.table({"key": table["key"].take(at), "skey": table["skey"].take(at), "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32()))})
+        return pa.table({"key": table["key"].take(at), "seg": table["seg"].take(at), "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32()))})
 
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    return segs.select(bucket, "key", "seg", "skey", "w").groupBy("bucket").applyInArrow(run, "key bigint, skey binary, first array<int>, last array<int>")
+    return segs.select(bucket, "key", "seg", "w", "bytes").groupBy("bucket").applyInArrow(run, "key bigint, seg bigint, first array<int>, last array<int>")
+
 
+def keyed(docs: DataFrame, text_col: str, *columns: str) -> DataFrame:
+    """tkey, the text as bytes (``_text``), and the named columns."""
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): rows has id, tkey, n_bytes, sha; texts has tkey, text, spans of the texts that lose bytes."""
+    def run(it):
+        for batch in it:
+            column = batch.column(batch.num_columns - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(t.as_py()) for t in column], pa.binary())], [*batch.schema.names, "_tkey"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    from pyspark.sql.types import BinaryType, StructType
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_tkey", BinaryType()))
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """tkey of the distinct texts that lose bytes, and ranges of bytes that go as parallel lists a, b; they may overlap."""
     work = Workspace(docs.sparkSession, "suffix-dedup")
-    rows = work.save(scan(docs, length, gram, id_col, text_col), "rows")
-    distinct = rows.filter(F.size("h") > 0).groupBy("tkey").agg(F.count(F.lit(1)).alias("w"), F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("at").alias("at"))
-    distinct = work.save(distinct, "texts")
-    shared = work.save(distinct.select("w", F.explode("h").alias("h")).groupBy("h").agg(F.sum("w").alias("c")).filter("c > 1").select("h"), "shared")
-    runs = distinct.select("tkey", "w", F.explode(F.arrays_zip("h", "lo", "n", "at")).alias("r")).withColumn("h", F.col("r.h")).join(shared, "h").groupBy("tkey").agg(F.first("w").alias("w"), F.collect_list("r").alias("runs"))
-    runs = work.save(runs, "runs")
-    whole = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = keyed_texts(whole).join(runs.select("tkey"), "tkey", "left_semi").dropDuplicates(["tkey"])
-    held = work.save(keyed, "held")
-    rest = held.join(runs, "tkey").select("tkey", "w", "runs", "text")
+    rows = work.save(scan(docs, length, gram, id_col, text_col, SPANS[0]).select(F.monotonically_increasing_id().alias("rid"), "*").drop("id"), "rows")
+    names = rows.select("rid", "tkey")
+    whole = keyed(docs, text_col)
+
+    def with_text(runs: DataFrame, fields: list[str]) -> DataFrame:
+        """text and runs of the texts that ``runs`` (rid and fields) are about."""
+        lists = runs.join(names, "rid").groupBy("tkey").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+        return whole.join(lists, F.col("_tkey") == F.col("tkey")).select("_text", "runs")
+
+    shared = work.save(rows.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    segs = unrolled(rows).join(shared, "key").select("key", "seg", "rid", "lo", "n", "gap")
     parts = []
-    for level, span in enumerate(SPANS):
-        segs = work.save(segments(rest, length, span), f"segments-{level}")
-        one = segs.groupBy("key", "skey").agg(F.sum("w").alias("w"), F.first("seg").alias("seg"))
+    for level in range(len(SPANS)):
+        segs = work.save(segs, f"segments-{level}")
+        one = segs.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("rid", "lo", "n")).alias("at"))
         one = work.save(one, f"distinct-{level}")
         met = one.groupBy("key").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("d")).filter("c > 1")
         last = level + 1 == len(SPANS)
-        cool = one.join(met if last else met.filter(F.col("d") <= hot), "key").select("key", "skey", "w", "seg")
-        cool = work.save(cool, f"cool-{level}")
-        size = cool.agg(F.sum(F.length("seg") + 1)).first()[0] or 0
-        found = work.save(find(cool, max(1, -(-size // BUCKET_BYTES)), length), f"found-{level}")
-        parts.append(segs.select("key", "skey", "tkey", "lo").join(found, ["key", "skey"]).select("tkey", "lo", "first", "last"))
+        cool = work.save(one.join(met if last else met.filter(F.col("d") <= hot), "key"), f"cool-{level}")
+        # Segments that are all equal have nothing to tell apart: their weight says that they repeat.
+        equal = cool.filter("d = 1").select("key", "seg", F.array(F.lit(0)).alias("first"), F.array(F.col("at.n").cast("int") - 1).alias("last"))
+        own = cool.filter("d > 1").select("key", "seg", "w", F.col("at.rid").alias("rid"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))
+        own = extract(with_text(own, ["key", "seg", "w", "lo", "n"]), length).dropDuplicates(["key", "seg"])
+        own = work.save(own, f"bytes-{level}")
+        size = own.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
+        found = work.save(find(own, max(1, -(-size // BUCKET_BYTES)), length).unionByName(equal), f"found-{level}")
+        parts.append(segs.join(found, ["key", "seg"]).select("rid", F.transform("first", lambda x: x + F.col("lo")).alias("a"), F.transform("last", lambda x: x + F.col("lo") + length).alias("b")))
         if last:
             break
         hot_keys = work.save(met.filter(F.col("d") > hot).select("key"), f"hot-{level}")
         if not hot_keys.limit(1).count():
             break
-        # The runs of hot anchors again, from where their segments lie.
-        mine = segs.join(hot_keys, "key").select("tkey", F.col("lo"), (F.length("seg") - length + 1).alias("n"))
-        own = F.explode("runs").alias("r")
-        again = rest.select("tkey", own).select("tkey", "r").join(mine, "tkey").filter((F.col("lo") >= F.col("r.lo")) & (F.col("lo") < F.col("r.lo") + F.col("r.n")))
-        again = again.select("tkey", F.struct(F.col("r.h").alias("h"), "lo", "n", F.col("r.at").alias("at")).alias("r")).groupBy("tkey").agg(F.collect_list("r").alias("runs"))
-        again = work.save(again, f"again-{level}")
-        rest = held.join(again, "tkey").join(runs.select("tkey", "w"), "tkey").select("tkey", "w", "runs", "text")
-    all_parts = parts[0]
+        segs = split(with_text(segs.join(hot_keys, "key"), ["rid", "lo", "n", "gap"]), SPANS[level + 1], length).distinct()
+    spans = parts[0]
     for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    spans = all_parts.groupBy("tkey").agg(F.collect_list(F.struct("lo", "first", "last")).alias("spans"))
-    return rows, held.join(spans, "tkey")
+        spans = spans.unionByName(p)
+    # Equal texts lose the same: one of them speaks for all.
+    single = names.groupBy("tkey").agg(F.min("rid").alias("rid"))
+    return work.save(spans.join(single, "rid").groupBy("tkey").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")), "spans")
+
 
+def unrolled(rows: DataFrame) -> DataFrame:
+    """A row for each segment of the lists: rid, key, seg, lo, n, gap; a segment starts where those before it end."""
 
-def keyed_texts(whole: DataFrame) -> DataFrame:
     def run(it):
         for batch in it:
-            column = batch.column(0).cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t.as_py()) for t in column], pa.binary()), batch.column(0)], ["tkey", "text"])
+            rid, key, seg, n, gap = batch.columns
+            sizes = key.value_lengths().to_numpy(zero_copy_only=False)
+            n, gap = n.flatten(), gap.flatten()
+            count = n.to_numpy().astype(np.int64)
+            before = np.cumsum(count) - count
+            first = np.cumsum(sizes) - sizes
+            base = before[np.minimum(first, max(0, len(before) - 1))] if len(before) else np.zeros(len(sizes), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid.to_numpy(), sizes)), key.flatten(), seg.flatten(), pa.array((before - np.repeat(base, sizes)).astype(np.int32)), n, gap], ["rid", "key", "seg", "lo", "n", "gap"])
 
-    return whole.mapInArrow(run, "tkey binary, text string")
+    return rows.select("rid", "key", "seg", "n", "gap").mapInArrow(run, "rid bigint, key bigint, seg bigint, lo int, n smallint, gap smallint")
 
 
-def merge(spans: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges from the runs of starts that repeat."""
-    a = np.concatenate([np.array(s["first"], np.int64) + s["lo"] for s in spans])
-    b = np.concatenate([np.array(s["last"], np.int64) + s["lo"] + length for s in spans])
+def merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal ranges of the union of the ranges from a to b."""
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order])
     first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
     return list(zip(a[first].tolist(), b[np.r_[first[1:], len(a)] - 1].tolist(), strict=True))
 
 
+def removals(a: pa.ListArray, b: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The maximal removed ranges of each row; none where the lists are null."""
+    at, x, y = a.offsets.to_numpy(), a.values.to_numpy(), b.values.to_numpy()
+    shift = b.offsets.to_numpy()
+    return [merge(x[at[i] : at[i + 1]], y[shift[i] : shift[i + 1]]) if at[i + 1] > at[i] else [] for i in range(len(a))]
+
+
 def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in ranges:
@@ -255,46 +316,39 @@ def whole_characters(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows, changed = repeated(docs, length, gram, id_col, text_col, hot)
+    kind = docs.schema[id_col].dataType.simpleString()
+    spans = repeated(docs, length, gram, id_col, text_col, hot)
 
     def run(it):
         for batch in it:
-            removed, count, sha = [], [], []
-            for t, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text, ranges = t.as_py(), merge(spans, length)
-                removed.append(sum(b - a for a, b in ranges))
-                count.append(len(ranges))
-                sha.append(hashlib.sha256(without(text, ranges)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["tkey", "r", "s", "k"])
+            out = []
+            for t, gone in zip(batch.column(1), removals(batch.column(2), batch.column(3)), strict=True):
+                text = t.as_py()
+                out.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(text, gone)).hexdigest()))
+            size, removed, count, sha = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    told = changed.select("tkey", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(run, "tkey binary, r bigint, s bigint, k string")
-    return rows.select("id", "tkey", "n_bytes", "sha").join(told, "tkey", "left").select(F.col("id").alias("doc_id"), "n_bytes", F.coalesce("r", F.lit(0)).alias("n_removed"), F.coalesce("s", F.lit(0)).alias("n_spans"), F.coalesce("k", "sha").alias("kept_sha256"))
+    rows = keyed(docs.withColumnRenamed(id_col, "doc_id"), text_col, "doc_id").join(spans, F.col("_tkey") == F.col("tkey"), "left").select("doc_id", "_text", "a", "b")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` without the repeated bytes; characters that would be broken go whole."""
-    _, changed = repeated(docs, length, gram, id_col, text_col, hot)
+    spans = repeated(docs, length, gram, id_col, text_col, hot)
+    mine = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()])
+    kinds = {n: own.schema[n].dataType.simpleString() for n in mine.values()}
 
     def run(it):
         for batch in it:
             out = []
-            for t, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = t.as_py()
-                out.append(without(text, whole_characters(text, merge(spans, length))).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_tkey", "_text"])
-
-    if {"_tkey", "_text"} & set(docs.columns):
-        raise ValueError("docs has a column _tkey or _text")
-    from pyspark.sql.types import BinaryType, StructType
-
-    def key(it):
-        for batch in it:
-            column = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(t.as_py() or b"") for t in column], pa.binary())], [*batch.schema.names, "_tkey"])
+            for t, gone in zip(batch.column(batch.num_columns - 3), removals(*batch.columns[-2:]), strict=True):
+                out.append(without(t.as_py(), whole_characters(t.as_py(), gone)).decode("utf-8", "replace") if gone else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], [*batch.schema.names[:-3], "_new"])
 
-    told = changed.select("tkey", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(run, "_tkey binary, _text string")
-    rows = docs.mapInArrow(key, StructType([*docs.schema.fields]).add("_tkey", BinaryType())).join(told, "_tkey", "left")
-    return rows.select(*[F.coalesce("_text", F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = keyed(own, mine[text_col], *mine.values()).join(spans, F.col("_tkey") == F.col("tkey"), "left").select(*mine.values(), "_text", "a", "b")
+    rows = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _new string")
+    return rows.select(*[(F.coalesce("_new", n) if c == text_col else F.col(n)).alias(c) for c, n in mine.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
