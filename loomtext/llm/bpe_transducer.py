@@ -39,7 +39,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Token boundaries always lie before white space that follows something else.
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-MOST_STATES = 150_000
+MOST_STATES = 400_000
 
 
 def pretoken_pattern(pattern: str):
@@ -148,28 +148,36 @@ class Transducer:
         self.moves[number << 8 | byte] = found = to, first[:k]
         return found
 
+    def _next(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The transition where it is not there yet; a full table is started anew from the state at hand."""
+        if len(self.states) > MOST_STATES:
+            held = self.states[state]
+            self.clear()
+            state = self.numbers.setdefault(held, len(self.states))
+            if state == len(self.states):
+                self.states.append(held)
+        return self._make(state, byte)
+
     def run(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of a byte stream, each as soon as it is certain."""
-        state, get = 0, self.moves.get
+        state = 0
         for byte in data:
-            move = get(state << 8 | byte)
-            if move is None:
-                if len(self.states) > MOST_STATES:
-                    held = self.states[state]
-                    self.clear()
-                    get = self.moves.get
-                    state = self.numbers.setdefault(held, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(held)
-                move = self._make(state, byte)
-            state, sure = move
-            if sure:
-                yield from sure
+            state, sure = self.moves.get(state << 8 | byte) or self._next(state, byte)
+            yield from sure
         yield from self.states[state][-1][0]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        return (whole,) if whole is not None else tuple(self.run(piece))
+        if (whole := self.ranks.get(piece)) is not None:
+            return (whole,)
+        state, out, get = 0, [], self.moves.get
+        for byte in piece:
+            if (move := get(state << 8 | byte)) is None:
+                move = self._next(state, byte)
+                get = self.moves.get
+            state, sure = move
+            if sure:
+                out += sure
+        return (*out, *self.states[state][-1][0])
 
 
 class Utf8:
@@ -243,6 +251,9 @@ class Codec:
 
 @lru_cache(2)
 def load(path: str, pattern: str) -> Codec:
+    import gc
+
+    gc.set_threshold(500_000, 50, 100)  # large tables without cycles: looking through them often costs much and frees nothing
     return Codec(read_ranks(path), pattern)
 
 

@@ -93,19 +93,22 @@ def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 8192) -> Iterat
 
 
 class BoundedCache(dict):
-    """A dict that computes what is missing and starts anew when it is full.
+    """A dict that computes what is missing, in two generations of at most ``most`` entries each.
 
-    Emptying it changes speed only, never a result.
+    When the young one is full it becomes the old one, from which what is asked for again
+    comes back; forgetting changes speed only, never a result.
     """
 
     def __init__(self, make, most: int = 150_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
