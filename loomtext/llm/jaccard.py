@@ -37,8 +37,6 @@ from .common import BoundedCache, Workspace, documents, text_of, texts
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-#: Ratio of the sizes in a class.
-RATIO = 1.3
 #: Fragments of the bound that is summed for a pair.
 BOUNDS = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,24 +63,30 @@ class Shingles:
 
 
 @cache
-def class_starts() -> np.ndarray:
-    starts = [1]
+def class_starts(percent: int) -> np.ndarray:
+    """Least sizes of the size classes, about two and a half link ratios wide, so that few sets are in reach of two."""
+    ratio, starts = (100 / percent) ** 2.4, [1]
     while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * RATIO)))
+        starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
     return np.array(starts)
 
 
+def spare(d: int, percent: int) -> int:
+    """Fragments above ``d``, all of which two linked sets share: more let more frequent keys be dropped, fewer make keys longer."""
+    return d // (2 if percent >= 90 else 8) + 2
+
+
 def budget(size_class: int, percent: int) -> tuple[int, int]:
     """(d, fragments): members in which two linked sets of the class may differ, fragments it is cut into."""
-    top = int(class_starts()[size_class + 1]) - 1
+    top = int(class_starts(percent)[size_class + 1]) - 1
     d = 2 * top * (100 - percent) // (100 + percent)
-    return d, d + d // 2 + 2
+    return d, d + spare(d, percent)
 
 
 def classes_of(n: int, percent: int) -> list[int]:
     """The class of a set of ``n``, and the next if a larger set that links may be there."""
-    own = int(np.searchsorted(class_starts(), n, "right")) - 1
-    return [own, own + 1] if n * 100 // percent >= class_starts()[own + 1] else [own]
+    own = int(np.searchsorted(class_starts(percent), n, "right")) - 1
+    return [own, own + 1] if n * 100 // percent >= class_starts(percent)[own + 1] else [own]
 
 
 def cuts(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -185,19 +189,18 @@ def rare_keys(nodes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     shared = work.save(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-keys")
     held = emitted.join(shared, "key").groupBy("node", "up").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     # A set's own fragments: a list as long as its class asks for, whatever the input.
-    starts = F.array(*[F.lit(int(x)) for x in class_starts()])
-    spare = F.floor((2 * (F.element_at(starts, F.col("c") + 1) - 1) * (100 - percent)) / (100 + percent))
-    held = held.withColumn("c", F.size(F.filter(starts, lambda s: s <= F.col("n"))) + F.col("up")).withColumn("m", F.floor(spare / 2) + 2)
+    starts = F.array(*[F.lit(int(x)) for x in class_starts(percent)])
+    held = held.withColumn("m", F.element_at(F.array(*[F.lit(spare(budget(c, percent)[0], percent)) for c in range(len(class_starts(percent)) - 1)]), F.size(F.filter(starts, lambda s: s <= F.col("n"))) + F.col("up")))
     return held.select("node", "n", F.explode(F.expr("slice(keys, 1, greatest(0, size(keys) - cast(m as int) + 1))")).alias("k")).select(F.col("k.key").alias("key"), "node", "n")
 
 
 def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n, set, component_id of each row of ``docs``."""
     work = Workspace(docs.sparkSession, "jaccard")
-    rows = work.save(profile(docs, words, percent, id_col, text_col), "rows")
-    nodes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("more").alias("more"))
-    nodes = work.save(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    kept = work.save(rare_keys(nodes, percent, work), "kept")
+    rows = work.save(profile(docs, words, percent, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+    # A set's node is the first row that has it; that row's keys stand for the set.
+    nodes = work.save(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
+    kept = work.save(rare_keys(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), percent, work), "kept")
     hubs = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
     groups = work.save(kept.join(hubs, "key"), "groups")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
