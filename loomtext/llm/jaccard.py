@@ -12,7 +12,7 @@ fragment and the bounds summed, and for those left the overlap is counted
 fragment by fragment and summed.
 
 Equal sets are one class.  Pairs are formed in two linear-minded steps: every
-member of a key's group with the group's hub; then, in groups that the found
+member of a key's group with the group's hub, as far as the bounds allow; then, in groups that the found
 links leave in several components, members of different components whose
 distances to the hub (a metric) and summed fragment bounds allow a link.  Pairs
 already connected are skipped, so all links are found or implied, and no group
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, Workspace, documents, text_of, texts
@@ -183,6 +183,19 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "total", "ga", "gb").mapInArrow(run, "a bigint, b bigint, total bigint, inter bigint")
 
 
+def may_link(a: str, b: str, total: Column, percent: int) -> Column:
+    """Whether two sets may link by the bounds of their fragments, summed: each differs in no fewer members than these tell."""
+    count = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(0)).when(count(x) == count(y), F.lit(2)).otherwise(F.abs(count(x) - count(y)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return differ * (100 + percent) <= total * (100 - percent)
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, total) that may link by their bounds, before any members are moved."""
+    own = lambda side: sets.select(F.col("node").alias(side), F.col("bounds").alias(f"bounds_{side}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").filter(may_link("bounds_a", "bounds_b", F.col("total"), percent)).select("a", "b", "total")
+
+
 def rare_keys(nodes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """(key, node, n): of each set and class the d + 1 rarest keys, as far as others have them too."""
     emitted = nodes.select("node", "n", F.lit(0).alias("up"), F.explode("own").alias("key")).unionByName(nodes.filter("more IS NOT NULL").select("node", "n", F.lit(1).alias("up"), F.explode("more").alias("key")))
@@ -206,7 +219,7 @@ def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = groups.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("hub.n")).alias("total")).distinct()
     sets = work.save(members(docs, nodes.join(groups.select("node").distinct(), "node").select("node", "id", "set", "n"), words, id_col, text_col), "sets")
-    first = work.save(verify(work.save(star, "star"), sets), "star-overlaps")
+    first = work.save(verify(work.save(bounded(star, sets, percent), "star"), sets), "star-overlaps")
     links = first.filter(linked(F.col("inter"), F.col("total"), percent)).select("a", "b")
     found = components(links, work, "first")
     second = work.save(verify(work.save(cross(groups, first, found, sets, percent), "cross"), sets), "cross-overlaps")
@@ -229,12 +242,10 @@ def cross(groups: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame
     split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
     rows = rows.filter("node <> h").join(split, "key").join(far, ["h", "node"], "left").join(sets.select("node", "bounds"), "node").select("key", "node", "n", "root", "far", "bounds")
     a, b = (rows.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "root", "far", "bounds")]) for s in "ab")
-    count = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1))
-    differ = F.aggregate(F.zip_with("boundsa", "boundsb", lambda x, y: F.when(x == y, F.lit(0)).when(count(x) == count(y), F.lit(2)).otherwise(F.abs(count(x) - count(y)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     total = F.col("na") + F.col("nb")
     near = F.coalesce(F.abs(F.col("fara") - F.col("farb")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = a.join(b, (a.key == b.key) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & sizes & near & (differ * (100 + percent) <= total * (100 - percent)))
+    pairs = a.join(b, (a.key == b.key) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & sizes & near & may_link("boundsa", "boundsb", total, percent))
     return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), total.alias("total")).distinct()
 
 
