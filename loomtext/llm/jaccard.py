@@ -7,9 +7,9 @@ set's fragments become keys, and of these only the ``d + 1`` rarest are kept, as
 two sets that share ``m`` keys share one of those; frequent n-grams, lines and
 passages thereby drop out unless they are nearly all that a document has.
 
-For pairs of sets that share a key, partial overlaps are bounded fragment by
-fragment and the bounds summed, and for those left the overlap is counted
-fragment by fragment and summed.
+For pairs of sets that share a key, partial overlaps are bounded in finer
+fragments (one bit each, the parity of the members' number) and the bounds
+summed, and for those left the overlap is counted fragment by fragment and summed.
 
 Equal sets are one class.  Pairs are formed in two linear-minded steps: every
 member of a key's group with the group's hub, as far as the bounds allow; then, in groups that the found
@@ -37,8 +37,6 @@ from .common import BoundedCache, Workspace, documents, text_of, texts
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-#: Fragments of the bound that is summed for a pair.
-BOUNDS = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -110,9 +108,18 @@ def keys(grams: np.ndarray, size_class: int, percent: int) -> np.ndarray:
 
 
 def bounds(grams: np.ndarray) -> np.ndarray:
-    """For each of ``BOUNDS`` fragments 39 bits of a hash of its members and 24 of their number."""
-    borders = cuts(grams, BOUNDS)
-    return ((sums(grams, borders) >> np.uint64(25)) << np.uint64(24) | np.diff(borders).astype(np.uint64)).astype(np.int64)
+    """The parities of the numbers of members in fine fragments, at least two for each member, in words of 64.
+
+    The finest bits of a fragment's place in the order name the word, so that half as
+    many fragments are the words of each two neighbours, combined by exclusive or.
+    """
+    words = 1
+    while 64 * words < 2 * len(grams):
+        words *= 2
+    at = (grams >> np.uint64(32)) * np.uint64(64 * words) >> np.uint64(32)
+    at = (at % np.uint64(words) * np.uint64(64) + at // np.uint64(words)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -184,9 +191,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def may_link(a: str, b: str, total: Column, percent: int) -> Column:
-    """Whether two sets may link by the bounds of their fragments, summed: each differs in no fewer members than these tell."""
-    count = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1))
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(0)).when(count(x) == count(y), F.lit(2)).otherwise(F.abs(count(x) - count(y)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    """Whether two sets may link by the bounds of their fragments, summed: where parities differ, at least one member does."""
+    a, b = F.col(a), F.col(b)
+    halved = lambda fine, coarse: F.transform(coarse, lambda x, i: x.bitwiseXOR(fine[2 * i]).bitwiseXOR(fine[2 * i + 1]))
+    apart = F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))).when(F.size(a) == 2 * F.size(b), halved(a, b)).when(F.size(b) == 2 * F.size(a), halved(b, a)).otherwise(F.array().cast("array<bigint>"))
+    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + F.bit_count(x))
     return differ * (100 + percent) <= total * (100 - percent)
 
 
