@@ -40,6 +40,12 @@ class Workspace:
         release(self.spark)
         return self.spark.read.schema(schema).parquet(target)
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files that nothing refers to.

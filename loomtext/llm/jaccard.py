@@ -174,7 +174,7 @@ def members(docs: DataFrame, needed: DataFrame, words: int, id_col: str, text_co
                 yield pa.RecordBatch.from_pydict({"set": pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary()), "grams": pa.array([g.tobytes() for g in grams], pa.binary()), "bounds": pa.array([bounds(g) for g in grams], pa.list_(pa.int64()))})
 
     made = rows.mapInArrow(run, "set binary, grams binary, bounds array<bigint>")
-    return made.join(needed.select("node", "set", "n"), "set").dropDuplicates(["node"]).select("node", "n", "grams", "bounds")
+    return made.join(needed.select("node", "set", "n"), "set").dropDuplicates(["set"]).select("node", "n", "grams", "bounds")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,8 +223,11 @@ def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     # A set's node is the first row that has it; that row's keys stand for the set.
     nodes = work.save(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     kept = work.save(rare_keys(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), percent, work), "kept")
+    rows = work.save(rows.select("id", "n", "set"), "row-sets")
+    work.drop("rows", "shared-keys")
     hubs = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
     groups = work.save(kept.join(hubs, "key"), "groups")
+    work.drop("kept")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = groups.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("hub.n")).alias("total")).distinct()
     sets = work.save(members(docs, nodes.join(groups.select("node").distinct(), "node").select("node", "id", "set", "n"), words, id_col, text_col), "sets")
@@ -240,8 +243,7 @@ def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     told = nodes.select("node", "set", "id").join(found, "node", "left").withColumn("mid", F.coalesce("root", "node")).join(joined, "mid", "left").withColumn("top", F.coalesce("top", "mid"))
     named = told.groupBy("top").agg(F.min("id").alias("component_id"))
     classes = told.join(named, "top").select(F.col("set"), "component_id")
-    slim = rows.select("id", "n", "set")
-    return slim.filter("n > 0").join(classes, "set").select("id", "n", "set", "component_id").unionByName(slim.filter("n = 0").withColumn("component_id", F.col("id")))
+    return rows.filter("n > 0").join(classes, "set").select("id", "n", "set", "component_id").unionByName(rows.filter("n = 0").withColumn("component_id", F.col("id")))
 
 
 def cross(groups: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
