@@ -136,8 +136,13 @@ def linked(inter, total, percent: int):
     return (100 + percent) * inter >= percent * total
 
 
-def profile(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, hash of the set, and its keys in its class and, if need be, the next."""
+def digest_of(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for a row's id, null among them, and text."""
+    return F.unhex(F.md5(F.concat(F.md5(F.col(text_col).cast("string").cast("binary")), F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))).cast("binary")))
+
+
+def profile(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
+    """id, n, hash of the set, and its keys in its class and, if need be, the next; with ``digests`` that of id and text too."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it):
@@ -153,11 +158,12 @@ def profile(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
                     ks = [keys(g, c, percent).view(np.int64) for c in classes_of(len(g), percent)] if len(g) else []
                     own.append(ks[0] if ks else None)
                     more.append(ks[1] if len(ks) > 1 else None)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(done, len(held)), "n": pa.array(n, pa.int64()), "set": pa.array(digest, pa.binary()), "own": pa.array(own, pa.list_(pa.int64())), "more": pa.array(more, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(done, len(held)), "n": pa.array(n, pa.int64()), "set": pa.array(digest, pa.binary()), "own": pa.array(own, pa.list_(pa.int64())), "more": pa.array(more, pa.list_(pa.int64()))} | ({"digest": batch.column(2).slice(done, len(held))} if digests else {}))
                 done += len(held)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n bigint, set binary, own array<bigint>, more array<bigint>")
+    told = [digest_of(id_col, text_col).alias("digest")] if digests else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *told)
+    return rows.mapInArrow(run, f"id {kind}, n bigint, set binary, own array<bigint>, more array<bigint>" + ", digest binary" * digests)
 
 
 def members(docs: DataFrame, needed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -216,14 +222,14 @@ def rare_keys(nodes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     return held.select("node", "n", F.explode(F.expr("slice(keys, 1, greatest(0, size(keys) - cast(m as int) + 1))")).alias("k")).select(F.col("k.key").alias("key"), "node", "n")
 
 
-def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, set, component_id of each row of ``docs``."""
+def classed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, n, set of each row, with ``digests`` its digest; set, top, component_id of each set): ``top`` alone tells components apart, as ids may repeat."""
     work = Workspace(docs.sparkSession, "jaccard")
-    rows = work.save(profile(docs, words, percent, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+    rows = work.save(profile(docs, words, percent, id_col, text_col, digests).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
     # A set's node is the first row that has it; that row's keys stand for the set.
     nodes = work.save(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     kept = work.save(rare_keys(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), percent, work), "kept")
-    rows = work.save(rows.select("id", "n", "set"), "row-sets")
+    rows = work.save(rows.drop("row", "own", "more"), "row-sets")
     work.drop("rows", "shared-keys")
     hubs = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
     groups = work.save(kept.join(hubs, "key"), "groups")
@@ -242,7 +248,12 @@ def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     joined = components(joined, work, "second").select(F.col("node").alias("mid"), F.col("root").alias("top"))
     told = nodes.select("node", "set", "id").join(found, "node", "left").withColumn("mid", F.coalesce("root", "node")).join(joined, "mid", "left").withColumn("top", F.coalesce("top", "mid"))
     named = told.groupBy("top").agg(F.min("id").alias("component_id"))
-    classes = told.join(named, "top").select(F.col("set"), "component_id")
+    return rows, told.join(named, "top").select("set", "top", "component_id")
+
+
+def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n, set, component_id of each row of ``docs``."""
+    rows, classes = classed(docs, words, percent, id_col, text_col)
     return rows.filter("n > 0").join(classes, "set").select("id", "n", "set", "component_id").unionByName(rows.filter("n = 0").withColumn("component_id", F.col("id")))
 
 
@@ -263,13 +274,14 @@ def cross(groups: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with the smallest id, with the columns of ``docs``.
 
-    Rows without n-grams all stay.  An id names a document: of rows that share one, one stays.
+    A null id comes after all others, and of rows of a component that share the smallest id one
+    stays.  Rows of other components stay whatever their ids, and so do all without n-grams.
     """
-    told = resolve(docs, words, percent, id_col, text_col)
-    stay = told.filter((F.col("n") == 0) | F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"))
-    rows = docs.join(stay.select("_id").distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    rows, classes = classed(docs, words, percent, id_col, text_col, digests=True)
+    best = rows.filter("n > 0").join(classes, "set").groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
     bare = F.translate(text_of(text_col), " \t\n\x0b\x0c\r", "") == ""
-    return rows.filter(~bare).dropDuplicates([id_col]).unionByName(rows.filter(bare))
+    own = docs.filter(~bare).withColumn("_digest", digest_of(id_col, text_col)).join(best.select(F.col("best.digest").alias("_digest")), "_digest", "left_semi")
+    return own.dropDuplicates(["_digest"]).drop("_digest").select(docs.columns).unionByName(docs.filter(bare))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -527,3 +527,12 @@ def test_jaccard_keeps_one(spark, odd, empty):
     want = {i for i, _, c in brute_links(rows_of(odd), 5, 80) if i == c}
     assert set(ids) == want and len(ids) == len(want)
     assert jaccard.resolve(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_jaccard_keeps_one_of_each_component_whatever_the_ids(spark):
+    far = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdefg"]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1].upper()), (1, far[2]), (1, far[3]), (1, far[3]), (2, far[4]), (None, far[4] + " tail"), (2, far[5]), (3, far[5] + " tail"), (None, far[6]), (4, far[6] + " tail"), (None, ""), (None, None), (1, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in jaccard.keep_one(docs).collect()]
+    want = [(None, far[0]), (None, far[1]), (1, far[2]), (1, far[3]), (2, far[4]), (2, far[5]), (4, far[6] + " tail"), (None, ""), (None, ""), (1, " ")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
