@@ -107,10 +107,10 @@ def _enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.filter(Threshold("the", ">=", 1), TopK("the", 50)).select("the", "body", doc_id="document", line="ordinal")
 
 
-def _line_items(spark: SparkSession, sf: str) -> DataFrame:
+def _line_items(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     corpus = corpus_from_rows(spark.read.parquet(f"{sf}/lineitem.parquet"), keys, {"order": "l_orderkey", "part": "l_partkey"})
-    rows = corpus.chunk("order").filter(Threshold("id", "<", 2000)).select(order_key="id", flags=AtomData("l_returnflag"), lines=AtomData("l_linenumber"))
+    rows = corpus.chunk("order").filter(*filters).select(order_key="id", flags=AtomData("l_returnflag"), lines=AtomData("l_linenumber"))
     return rows.select("order_key", F.array_join("flags", "").alias("flags"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
@@ -153,7 +153,8 @@ def queries():
         "ocr_levels": _ocr_levels,
         "ocr_pages": _ocr_pages,
         "enrich_chain": _enrich_chain,
-        "lineitem_order_chunks": _line_items,
+        "lineitem_order_chunks": lambda s, d: _line_items(s, d, Threshold("id", "<", 2000)),
+        "lineitem_every_order": _line_items,
         "conversation_chunks": _turns,
     }
 
@@ -233,5 +234,6 @@ SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (d
         "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f WHERE page < 2 GROUP BY 1, 2",
         "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w WHERE line < 5 GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
         "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
+        "lineitem_every_order": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
         "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
     }
