@@ -120,8 +120,8 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.chunk("conversation").select(conv_id="id", roles=AtomData("role"), body=SimpleStringify("\n")).select("conv_id", F.array_join("roles", ">").alias("roles"), "body")
 
 
-def _atom_data(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _docs(spark, sf).chunk("line").filter(Threshold("ordinal", "<=", 1)).select(doc_id="document", line="ordinal", words=AtomData("text"), places=AtomData("ordinal"))
+def _atom_data(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
+    rows = _docs(spark, sf).chunk("line").filter(*filters).select(doc_id="document", line="ordinal", words=AtomData("text"), places=AtomData("ordinal"))
     return rows.select("doc_id", "line", F.array_join("words", "+").alias("words"), F.array_min("places").alias("first"), F.size("places").cast("long").alias("n"))
 
 
@@ -134,7 +134,9 @@ def queries():
         "topk_reverse": lambda s, d: _docs(s, d).chunk("document").filter(TopK("n_chars", 25, reverse=True)).select("n_chars", doc_id="id"),
         "stringify_line": lambda s, d: _docs(s, d).chunk("line").filter(Threshold("ordinal", "<=", 2)).select(doc_id="document", line="ordinal", body=SimpleStringify("~")),
         "delimited_stringify": lambda s, d: _docs(s, d).chunk("document").select(doc_id="id", body=ChunkDelimitedStringify([("line", " / ")], atom_delimiter="_")),
-        "atom_data": _atom_data,
+        "atom_data": lambda s, d: _atom_data(s, d, Threshold("ordinal", "<=", 1)),
+        "stringify_every_line": lambda s, d: _docs(s, d).chunk("line").select(doc_id="document", line="ordinal", body=SimpleStringify("~")),
+        "atom_data_every_line": _atom_data,
         "fixed_size_tumbling": _windows(64, 0),
         "fixed_size_overlap": _windows(64, -32),
         "fixed_size_gap": _windows(10, 15),
@@ -206,6 +208,8 @@ def oracle_sql():
         "stringify_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body FROM w WHERE line <= 2 GROUP BY 1, 2",
         "delimited_stringify": _WORDS + ", f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM w) SELECT documents.doc_id, coalesce(b, '') AS body FROM documents LEFT JOIN (SELECT doc_id, string_agg(f.text || CASE WHEN n IS NULL THEN '' WHEN n <> line THEN ' / ' ELSE '_' END, '' ORDER BY ordinal) AS b FROM f GROUP BY 1) USING (doc_id)",
         "atom_data": _WORDS + "SELECT doc_id, line, string_agg(text, '+' ORDER BY ordinal) AS words, min(ordinal) AS first, count(*) AS n FROM w WHERE line <= 1 GROUP BY 1, 2",
+        "stringify_every_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body FROM w GROUP BY 1, 2",
+        "atom_data_every_line": _WORDS + "SELECT doc_id, line, string_agg(text, '+' ORDER BY ordinal) AS words, min(ordinal) AS first, count(*) AS n FROM w GROUP BY 1, 2",
         "fixed_size_tumbling": _WORDS + _window_sql(64, 0) + _JOINED,
         "fixed_size_overlap": _WORDS + _window_sql(64, -32) + _JOINED,
         "fixed_size_gap": _WORDS + _window_sql(10, 15) + _JOINED,
