@@ -97,13 +97,13 @@ def _ocr_levels(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def _ocr_pages(spark: SparkSession, sf: str) -> DataFrame:
+def _ocr_pages(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
     corpus = corpus_from_tesseract_table(scanned(spark.read.parquet(f"{sf}/documents.parquet")), document_col="document")
-    return corpus.chunk("page").filter(Threshold("ordinal", "<=", 2)).select(doc_id="document", page="ordinal", body=ChunkDelimitedStringify([("paragraph", "¶"), ("line", "|")]))
+    return corpus.chunk("page").filter(*filters).select(doc_id="document", page="ordinal", body=ChunkDelimitedStringify([("paragraph", "¶"), ("line", "|")]))
 
 
-def _enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _docs(spark, sf).chunk("line").filter(Threshold("ordinal", "<", 5)).enrich(the=RegexCount(SimpleStringify(), "the"), body=SimpleStringify("_"))
+def _enrich_chain(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
+    chunks = _docs(spark, sf).chunk("line").filter(*filters).enrich(the=RegexCount(SimpleStringify(), "the"), body=SimpleStringify("_"))
     return chunks.filter(Threshold("the", ">=", 1), TopK("the", 50)).select("the", "body", doc_id="document", line="ordinal")
 
 
@@ -153,8 +153,10 @@ def queries():
         "tfidf_options": _tfidf_options,
         "merge_counts": _merge_counts,
         "ocr_levels": _ocr_levels,
-        "ocr_pages": _ocr_pages,
-        "enrich_chain": _enrich_chain,
+        "ocr_pages": lambda s, d: _ocr_pages(s, d, Threshold("ordinal", "<=", 2)),
+        "ocr_every_page": _ocr_pages,
+        "enrich_chain": lambda s, d: _enrich_chain(s, d, Threshold("ordinal", "<", 5)),
+        "enrich_chain_every_line": _enrich_chain,
         "lineitem_order_chunks": lambda s, d: _line_items(s, d, Threshold("id", "<", 2000)),
         "lineitem_every_order": _line_items,
         "conversation_chunks": _turns,
@@ -237,6 +239,8 @@ SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (d
         "ocr_levels": scanned_sql + "SELECT 'atoms' AS kind, count(*) AS n FROM p UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'block', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'paragraph', count(*) FROM (SELECT DISTINCT doc_id, par FROM p) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, l FROM p)",
         "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f WHERE page < 2 GROUP BY 1, 2",
         "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w WHERE line < 5 GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
+        "ocr_every_page": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f GROUP BY 1, 2",
+        "enrich_chain_every_line": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
         "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
         "lineitem_every_order": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
         "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
