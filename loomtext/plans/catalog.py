@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import AtomData, AttrExpr, ChunkDelimitedStringify, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_table
@@ -68,9 +68,9 @@ def _tfidf_options(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).chunk("document").select(doc_id="id", score=Rounded(expr))
 
 
-def _merge_counts(spark: SparkSession, sf: str) -> DataFrame:
+def _merge_counts(spark: SparkSession, sf: str, *tests: Column) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    both = Corpus.merge([corpus_from_documents(docs.filter(F.col("lang") == x)) for x in ("fr", "de")])
+    both = Corpus.merge([corpus_from_documents(docs.filter(t)) for t in tests])
     parts = [both.atoms.agg(F.count("*").alias("n")).select(F.lit("atoms").alias("kind"), "n")] + [both.chunk(k).chunks.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("document", "line")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -151,7 +151,8 @@ def queries():
         "overlap_frac": _overlap("frac"),
         "tfidf_scores": _tfidf_scores,
         "tfidf_options": _tfidf_options,
-        "merge_counts": _merge_counts,
+        "merge_counts": lambda s, d: _merge_counts(s, d, F.col("lang") == "fr", F.col("lang") == "de"),
+        "merge_counts_every_lang": lambda s, d: _merge_counts(s, d, F.col("lang").eqNullSafe("fr"), ~F.col("lang").eqNullSafe("fr")),
         "ocr_levels": _ocr_levels,
         "ocr_pages": lambda s, d: _ocr_pages(s, d, Threshold("ordinal", "<=", 2)),
         "ocr_every_page": _ocr_pages,
@@ -236,6 +237,7 @@ q AS (SELECT sum(idf) AS qn FROM i WHERE term IN ({terms})),
 d AS (SELECT doc_id, sum(CASE WHEN term IN ({terms}) THEN tf * idf * idf ELSE 0 END) / (sum(tf * idf) * any_value(qn)) AS score FROM t JOIN i USING (term), q GROUP BY doc_id)
 SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (doc_id)""",
         "merge_counts": _WORDS + ", v AS (SELECT * FROM w WHERE lang IN ('fr', 'de')) SELECT 'atoms' AS kind, count(*) AS n FROM v UNION ALL SELECT 'document', count(*) FROM documents WHERE lang IN ('fr', 'de') UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM v)",
+        "merge_counts_every_lang": _WORDS + "SELECT 'atoms' AS kind, count(*) AS n FROM w UNION ALL SELECT 'document', count(*) FROM documents UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM w)",
         "ocr_levels": scanned_sql + "SELECT 'atoms' AS kind, count(*) AS n FROM p UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'block', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'paragraph', count(*) FROM (SELECT DISTINCT doc_id, par FROM p) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, l FROM p)",
         "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f WHERE page < 2 GROUP BY 1, 2",
         "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w WHERE line < 5 GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
