@@ -7,6 +7,11 @@ there: the smaller the sum of squared distances to the slot borders crossed, the
 sooner.  The candidates of all tables are merged and ranked by exact distance in
 double precision.
 
+The width follows the data's scale: that of unit vectors times what distances
+between at most ``SAMPLE`` queries and as many rows (the smallest hashes of ids)
+have over those of unit vectors, for each length of vectors.  The sample decides
+the width only; lengths it lacks are scanned exactly.
+
 Queries come in blocks of at most ``block_rows`` (so what is broadcast is bounded
 by parameters), and every row is hashed and indexed where it lies; a task keeps
 the best ``k`` of each query it has met and emits those alone.  Queries that
@@ -32,6 +37,8 @@ from .common import Workspace
 
 K = 10
 QUERY_EVERY = 100
+#: Rows and queries from which the scale is read; the distance that nine in ten unit vectors of many dimensions keep within.
+SAMPLE, TYPICAL = 512, 1.5
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -136,14 +143,34 @@ def vectors(ids, values) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _search(block: list[tuple[np.ndarray, np.ndarray]], settings: dict, k: int, exact: bool):
+def scales(rows: DataFrame, queries: DataFrame) -> dict[int, float]:
+    """By length of vectors, the distance within which nine in ten pairs of a sampled query and a sampled row lie, over that of unit vectors."""
+
+    def sample(df: DataFrame) -> dict[int, np.ndarray]:
+        own = df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        return {m.shape[1]: m for _, m in vectors([r["id"] for r in own], [r["v"] for r in own])}
+
+    held, out = sample(rows), {}
+    for d, asked in sample(queries).items():
+        if d in held:
+            far = np.concatenate([np.sqrt(((held[d] - q) ** 2).sum(1)) for q in asked])
+            far = far[far > 0]
+            if len(far) and np.isfinite(far).all():
+                out[d] = float(np.quantile(far, 0.9)) / TYPICAL
+    return out
+
+
+def _search(block: list[tuple[np.ndarray, np.ndarray]], settings: dict, scale: dict[int, float], k: int, exact: bool):
     """A mapInArrow function: the best k of each query of the block among the rows of a task."""
 
     def run(it):
         ready = {}
         for ids, m in block:
-            tables = Tables(m.shape[1], **settings)
-            ready[m.shape[1]] = (ids, m, tables, None if exact else tables.visits(m))
+            d = m.shape[1]
+            tables = None if exact or d not in scale else Tables(d, **settings)
+            if tables and "width" not in settings:
+                tables = Tables(d, **settings, width=tables.width * scale[d])
+            ready[d] = (ids, m, tables, tables and tables.visits(m))
         kept = {d: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for d in ready}
         for batch in it:
             for ids, rows in vectors(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -153,7 +180,7 @@ def _search(block: list[tuple[np.ndarray, np.ndarray]], settings: dict, k: int,
                 for a in range(0, len(rows), 4096):
                     rid, part = ids[a : a + 4096], rows[a : a + 4096]
                     for b in range(0, len(qs), 512):
-                        q, r = np.nonzero(np.ones((min(512, len(qs) - b), len(part)), bool)) if exact else candidates(part, visits[b : b + 512], tables)
+                        q, r = np.nonzero(np.ones((min(512, len(qs) - b), len(part)), bool)) if visits is None else candidates(part, visits[b : b + 512], tables)
                         q = q + b
                         other = qids[q] != rid[r]
                         q, r = q[other], r[other]
@@ -189,10 +216,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     rows, queries = pick(rows), pick(queries).dropDuplicates(["id"])
 
+    scale = scales(rows, queries)
+
     def scan(asked: DataFrame, n: int, name: str, exact: bool) -> DataFrame:
         parts = []
         for i, block in enumerate(_blocks(asked, n, block_rows)):
-            parts.append(work.save(rows.mapInArrow(_search(block, settings, k, exact), FOUND), f"{name}-{i}"))
+            parts.append(work.save(rows.mapInArrow(_search(block, settings, scale, k, exact), FOUND), f"{name}-{i}"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

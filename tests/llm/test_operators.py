@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as tokenizers_of
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import ann, bpe_transducer, exact_dedup, jaccard, packing, quality, sharding, suffix_array, suffix_dedup, token_counts, warc
 
@@ -353,6 +354,16 @@ def test_neighbours_recall_and_scores(spark):
         assert hit / (10 * len(want)) >= 0.9
 
 
+def test_neighbours_recall_at_other_norms(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    for norm in (0.1, 2.0, 30.0):
+        own = rows.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * norm))
+        want = brute_neighbours([(r["vec_id"], r["embedding"]) for r in own.collect()], 100)
+        got = ann.search(own, own.filter("vec_id % 100 = 0")).collect()
+        near = {(q, j) for q, found in want.items() for _, j in found}
+        assert len({(r["query_id"], r["vec_id"]) for r in got} & near) / len(near) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0, 0.0, 2.0]
     rows = [(0, v), (1, v), (2, None), (3, [0.0] * 3), (4, [1.0, None, 2.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0]), (7, [1.0, 0.5, 2.0]), (100, [9.0, 9.0, 9.0]), (8, [1.0, 2.0]), (200, None), (300, [0.0, 0.0, 0.0]), (None, v), (9, []), (7, [1.0, 0.5, 2.0])]
