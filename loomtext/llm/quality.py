@@ -1,8 +1,9 @@
 """A quality classifier: random-indexing word vectors, pooled, under a small network.
 
 Every word has a sparse ternary index vector drawn from a hash of the word.  A
-word's vector is its own index vector plus those of its neighbours in the fit
-sample (random indexing), scaled to unit length; words live in ``SLOTS`` hashed
+word's vector is its own index vector plus those of its neighbours in all
+documents (random indexing, no labels), scaled to unit length; tasks sum what
+they read, and the sums are added up by blocks of slots; words live in ``SLOTS`` hashed
 slots, so the model's size is fixed.  A document is the mean of its words'
 vectors, rare words weighing more, with a few rates (repeated neighbours,
 repeated three-word sequences, capitals, signs, digits) and the log of its
@@ -26,6 +27,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,25 +110,63 @@ class Model:
             return cls({k: f[k] for k in f.files})
 
 
-def word_vectors(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, weights) of all slots by random indexing over the given documents."""
-    index = index_vectors()
-    context = np.zeros_like(index)
-    counts = np.zeros(SLOTS)
-    for at in docs:
-        counts += np.bincount(at, minlength=SLOTS)
+def add_context(at: np.ndarray, index: np.ndarray, counts: np.ndarray, context: np.ndarray) -> None:
+    """Count a text's slots, and add to each word's context the index vectors of its neighbours."""
+    counts += np.bincount(at, minlength=SLOTS)
+    for i in range(0, len(at), 65536):
+        low = max(0, i - WINDOW)
+        near, own = index[at[low : i + 65536 + WINDOW]], at[i : i + 65536]
+        total = np.zeros((len(own), DIM), np.int8)
         for k in range(1, WINDOW + 1):
-            for a, b in ((at[:-k], at[k:]), (at[k:], at[:-k])):
-                for i in range(0, len(a), 65536):
-                    np.add.at(context, a[i : i + 65536], index[b[i : i + 65536]])
+            start = max(0, k - i)  # the text's first words have no words before them
+            total[start:] += near[i - low + start - k : i - low + len(own) - k]
+            after = near[i - low + k : i - low + len(own) + k]
+            total[: len(after)] += after
+        order = np.argsort(own, kind="stable")
+        held = own[order]
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        context[held[first]] += np.add.reduceat(total[order], first, axis=0, dtype=np.int64)
+
+
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, weights) of all slots by random indexing over the texts of ``docs`` (text)."""
+    index, blocks = index_vectors(), 64
+    size = SLOTS // blocks
+    schema = "block int, counts binary, context binary"
+
+    def run(it):
+        slots, own = BoundedCache(slot_of), index.astype(np.int8)
+        counts, context = np.zeros(SLOTS, np.int64), np.zeros((SLOTS, DIM), np.int64)
+        for batch in it:
+            for _, held in texts(batch, "text"):
+                for t in held:
+                    words = TOKEN.findall(t.decode("utf-8", "replace").lower())
+                    if words:
+                        add_context(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), own, counts, context)
+        for b in range(blocks if counts.any() else 0):
+            at = slice(b * size, (b + 1) * size)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts[at].tobytes()], pa.binary()), pa.array([context[at].tobytes()], pa.binary())], ["block", "counts", "context"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, context, block = np.zeros(size, np.int64), np.zeros(size * DIM, np.int64), None
+        for batch in batches:
+            for b, n, c in zip(*(batch.column(i) for i in range(3)), strict=True):
+                block = b.as_py()
+                counts += np.frombuffer(n.as_buffer(), np.int64)
+                context += np.frombuffer(c.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([context.tobytes()], pa.binary())], ["block", "counts", "context"])
+
+    counts, context = np.zeros(SLOTS), np.zeros_like(index)
+    for r in docs.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect():
+        at = slice(r["block"] * size, (r["block"] + 1) * size)
+        counts[at], context[at] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["context"], np.int64).reshape(size, DIM)
     norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     share = counts / max(1.0, counts.sum())
     return norm(norm(index) + norm(context)).astype(np.float16), 1e-3 / (1e-3 + share)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> Model:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, words: np.ndarray, weights: np.ndarray, seed: int = 1) -> Model:
     y = labels.astype(np.float64)
-    words, weights = word_vectors([at for at, _ in docs])
     parts = {"words": words, "weights": weights, "temperature": np.ones(1), "w2": np.zeros(0), "b2": np.zeros(1)}
     share = y.mean() if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
@@ -171,6 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     """A model from at most ``max_rows`` labelled rows that are not held out."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")).filter(~held_out("id"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    vectors = word_vectors(docs.select(F.col(text_col).cast("string").alias("text")))
+    told = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id").select("id", "y", "text")
 
     def run(it):
@@ -180,11 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
             for start, held in texts(batch, "text"):
                 found += [(i, t, reader(t.decode("utf-8", "replace")), label) for i, (t, label) in enumerate(zip(held, y[start:], strict=False))]
         found = sorted(((zlib.crc32(t), len(t), x, label) for _, t, x, label in found), key=lambda r: r[:2])
-        model = train([r[2] for r in found], np.array([r[3] for r in found]))
+        model = train([r[2] for r in found], np.array([r[3] for r in found]), *told.value)
         yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]}, schema=pa.schema([("model", pa.binary())]))
 
     made = rows.coalesce(1).mapInArrow(run, "model binary").first()
-    return bytes(made["model"]) if made else train([], np.zeros(0)).to_bytes()
+    return bytes(made["model"]) if made else train([], np.zeros(0), *vectors).to_bytes()
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

@@ -402,6 +402,23 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.keep(odd, model).columns == odd.columns
 
 
+def test_quality_word_vectors_are_of_all_documents(spark):
+    rows = [(1, "red fox runs far away home"), (2, "old dog"), (3, "zebra " * 70_000 + "quagga"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = quality.Model.from_bytes(quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")))
+    counts, context, index = np.zeros(quality.SLOTS), np.zeros((quality.SLOTS, quality.DIM)), quality.index_vectors()
+    for _, text in rows:
+        at = [quality.slot_of(w) for w in (text or "").split()]
+        for i, a in enumerate(at):
+            counts[a] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(at):
+                    context[a] += index[at[j]]
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(model.parts["weights"], 1e-3 / (1e-3 + counts / counts.sum()))
+    assert np.allclose(model.words, unit(unit(index) + unit(context)), atol=2e-3)
+
+
 # 9
 
 
