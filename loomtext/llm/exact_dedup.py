@@ -4,12 +4,14 @@ Each snapshot is a table of distinct digests split into buckets by digest, with
 one static binary-fuse filter per bucket.  A new batch is first grouped by
 digest on its own (new-batch duplicates); the group's digests are then screened
 by the filters of each snapshot, and only the positives are joined with the
-exact buckets, where normalised texts are compared byte by byte.
+exact buckets, where normalised texts are compared byte by byte.  Of the texts
+only those of the rows that stand for a positive move: the others are screened
+out where they lie, by filters over the positives (see ``screen``).
 
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is
 deleted.  Null texts count as empty.  Of equal texts the row with the most code
-points in the original text stays, then the smallest id; a null id comes last.
-Rows repeated with the same id and length are told apart by a counter, so that
+points in the original text stays, then the smallest id (of any type that has an
+order); a null id comes last.  Rows repeated with the same id and length are told apart by a counter, so that
 exactly one row of a group is kept.  Empty tables give empty results.
 """
 
@@ -21,82 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, documents, text_of
+from .screen import BUCKET_ROWS, BinaryFuse, split_by
 
 WHITE = " \t\n\x0b\x0c\r"
-#: Digests to a bucket, so that a bucket and its filter fit a Python worker many times over.
-BUCKET_ROWS = 200_000
-
-
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class BinaryFuse:
-    """A static 3-wise binary-fuse filter with 16-bit fingerprints over 64-bit keys."""
-
-    def __init__(self, seed: int, segment: int, segments: int, prints: np.ndarray):
-        self.seed, self.segment, self.segments, self.prints = seed, segment, segments, prints
-
-    @staticmethod
-    def _places(keys: np.ndarray, seed: int, segment: int, segments: int):
-        h = _mix(keys, seed)
-        at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64) * segment
-        mask = np.uint64(segment - 1)
-        slots = np.stack([at + ((h >> np.uint64(s)) & mask).astype(np.int64) + k * segment for k, s in enumerate((0, 16, 5))])
-        return slots, (_mix(h, 7) & np.uint64(0xFFFF)).astype(np.uint16)
-
-    @classmethod
-    def build(cls, keys: np.ndarray) -> BinaryFuse:
-        """Peel the 3-uniform hypergraph in rounds; a seed that fails is followed by the next."""
-        keys = np.unique(keys.astype(np.uint64))
-        n = len(keys)
-        segment = 1 << max(2, min(16, int(np.log2(max(n, 2)) / np.log2(3.33) + 2.25)))
-        capacity = int(n * max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3)))) + 12
-        segments = max(1, -(-capacity // segment) - 2)
-        for seed in range(1, 1000):
-            slots, prints = cls._places(keys, seed, segment, segments)
-            size = (segments + 2) * segment
-            count = np.bincount(slots.ravel(), minlength=size)
-            owner = np.zeros(size, np.int64)
-            for k in range(3):
-                np.bitwise_xor.at(owner, slots[k], np.arange(n))
-            order, left = [], n
-            while left:
-                single = np.flatnonzero(count == 1)
-                if not len(single):
-                    break
-                who, first = np.unique(owner[single], return_index=True)
-                order.append((who, single[first]))
-                for k in range(3):
-                    np.subtract.at(count, slots[k][who], 1)
-                    np.bitwise_xor.at(owner, slots[k][who], who)
-                left -= len(who)
-            if not left:
-                table = np.zeros(size, np.uint16)
-                for who, at in reversed(order):
-                    a, b, c = (table[slots[k][who]] for k in range(3))
-                    table[at] = prints[who] ^ a ^ b ^ c ^ table[at]
-                return cls(seed, segment, segments, table)
-        raise RuntimeError("no seed builds the filter")
-
-    def __contains__(self, key: int) -> bool:
-        return bool(self.contains(np.array([key], np.uint64))[0])
-
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        slots, prints = self._places(keys.astype(np.uint64), self.seed, self.segment, self.segments)
-        a, b, c = (self.prints[s] for s in slots)
-        return (a ^ b ^ c) == prints
-
-    def to_bytes(self) -> bytes:
-        return np.array([self.seed, self.segment, self.segments], np.int64).tobytes() + self.prints.tobytes()
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> BinaryFuse:
-        head = np.frombuffer(data, np.int64, 3)
-        return cls(*map(int, head), np.frombuffer(data, np.uint16, offset=24))
 
 
 def normalised(column: str = "text"):
@@ -110,9 +39,19 @@ def _key64(hashes: pa.Array) -> np.ndarray:
 def group_batch(rows: DataFrame) -> DataFrame:
     """New-batch duplicates: a row for each digest with the row that stays and the group's size.
 
-    ``best`` is ordered so that its maximum has most code points, then the smallest id.
+    ``best`` is ordered so that its minimum has most code points, then the smallest id.
     """
-    return rows.groupBy("sha").agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("size"))
+    return rows.groupBy("sha").agg(F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best"), F.count(F.lit(1)).alias("size"))
+
+
+def _is(best: str):
+    """Whether a row (id, n_chars) is the one that ``best`` names."""
+    return (-F.col("n_chars") == F.col(f"{best}.less")) & F.col("id").eqNullSafe(F.col(f"{best}.id"))
+
+
+def _place(id_col, n_chars):
+    """A cheap hash that names a row well enough to screen by."""
+    return F.xxhash64(id_col, n_chars.cast("long"))
 
 
 def _bucket(buckets: int):
@@ -155,17 +94,24 @@ def resolve(docs: DataFrame, batch_col, id_col: str = "doc_id", text_col: str =
     maybe = screen(incoming, filters, buckets)
     # Exact buckets: digests equal, then the normalised bytes themselves.
     held = work.save(maybe.join(snapshot.select("sha", F.col("best").alias("old"), F.col("size").alias("old_size")), "sha").join(incoming.select("sha", F.col("best").alias("new"), F.col("size").alias("new_size")), "sha"), "positives")
-    side = F.when((F.col("batch") == 0) & (F.col("n_chars") == F.col("old.n_chars")) & F.bitwise_not("id").eqNullSafe(F.col("old.not_id")), 0).when((F.col("batch") == 1) & (F.col("n_chars") == F.col("new.n_chars")) & F.bitwise_not("id").eqNullSafe(F.col("new.not_id")), 1)
-    whole = _rows(docs, batch_col, id_col, text_col, normalised(text_col).alias("norm")).join(held.select("sha", "old", "new"), "sha").select("sha", "norm", side.alias("side")).filter("side is not null")
+    rep = lambda c: held.select(_place(F.col(f"{c}.id"), -F.col(f"{c}.less")).alias("place"))
+    mine = docs.select(batch_col.cast("int").alias("batch"), F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("n_chars"), text_of(text_col).alias("text"))
+    _, mine = split_by(mine, _place(F.col("id"), F.col("n_chars")), rep("old").unionByName(rep("new")))
+    side = F.when((F.col("batch") == 0) & _is("old"), 0).when((F.col("batch") == 1) & _is("new"), 1)
+    whole = mine.select("batch", "id", "n_chars", normalised("text").alias("norm"), _sha("text").alias("sha")).join(held.select("sha", "old", "new"), "sha").select("sha", "norm", side.alias("side")).filter("side is not null")
     same = whole.groupBy("sha").agg(F.min(F.when(F.col("side") == 0, F.col("norm"))).alias("a"), F.min(F.when(F.col("side") == 1, F.col("norm"))).alias("b")).filter(F.col("a") == F.col("b")).select("sha")
-    both = held.join(same, "sha").select("sha", F.greatest("old", "new").alias("m_best"), (F.col("old_size") + F.col("new_size")).alias("m_size"))
+    both = held.join(same, "sha").select("sha", F.least("old", "new").alias("m_best"), (F.col("old_size") + F.col("new_size")).alias("m_size"))
     both = work.save(both, "merged")
     classes = snapshot.withColumn("batch", F.lit(0)).unionByName(incoming.withColumn("batch", F.lit(1))).join(both, "sha", "left").select("batch", "sha", F.coalesce("m_best", "best").alias("best"), F.coalesce("m_size", "size").alias("size"))
     return rows, classes
 
 
-def _rows(docs: DataFrame, batch_col, id_col: str, text_col: str, *more) -> DataFrame:
-    return docs.select(batch_col.cast("int").alias("batch"), F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("n_chars"), F.unhex(F.sha2(normalised(text_col), 256)).alias("sha"), *more)
+def _sha(column: str):
+    return F.unhex(F.sha2(normalised(column), 256))
+
+
+def _rows(docs: DataFrame, batch_col, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(batch_col.cast("int").alias("batch"), F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("n_chars"), _sha(text_col).alias("sha"))
 
 
 def halves(id_col: str = "doc_id"):
@@ -177,19 +123,26 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows, classes = resolve(docs, halves(id_col), id_col, text_col)
     copies = rows.groupBy("batch", "sha", "id", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
-    keep = F.bitwise_not("best.not_id")
-    stays = (F.col("n") == 0) & (F.col("n_chars") == F.col("best.n_chars")) & F.col("id").eqNullSafe(keep)
-    return copies.join(classes, ["batch", "sha"]).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).select(F.col("id").alias("doc_id"), keep.alias("keep_id"), F.col("size").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    stays = (F.col("n") == 0) & _is("best")
+    return copies.join(classes, ["batch", "sha"]).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    _, classes = resolve(docs, halves(id_col), id_col, text_col)
+    """The rows of ``docs`` that stay, with the columns of ``docs``, whatever their names.
+
+    Rows that are surely alone in their group stay where they lie; the others are joined with
+    the groups.
+    """
+    rows, classes = resolve(docs, halves(id_col), id_col, text_col)
+    classes = Workspace(docs.sparkSession, "exact-dedup-classes").save(classes, "classes")
+    several = rows.join(classes.filter("size > 1").select("batch", "sha"), ["batch", "sha"], "left_semi").select(_place(F.col("id"), F.col("n_chars")).alias("place")).distinct()
     mine = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]).withColumn("n_chars", F.length(text_of(mine[text_col])))
+    alone, others = split_by(told, _place(F.col(mine[id_col]), F.col("n_chars")), several)
     kept = classes.select(F.col("sha").alias("_sha"), F.col("best").alias("_best")).distinct()
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.unhex(F.sha2(normalised(text_col), 256)).alias("_sha"))
-    rows = rows.join(kept, "_sha").filter((F.length(text_of(mine[text_col])) == F.col("_best.n_chars")) & F.bitwise_not(mine[id_col]).eqNullSafe(F.col("_best.not_id")))
-    return rows.dropDuplicates(["_sha", "_best"]).select(*[F.col(n).alias(c) for c, n in mine.items()])
+    others = others.withColumn("_sha", _sha(mine[text_col])).join(kept, "_sha").withColumn("id", F.col(mine[id_col])).filter(_is("_best")).dropDuplicates(["_sha", "_best"])
+    back = lambda df: df.select(*[F.col(n).alias(c) for c, n in mine.items()])
+    return back(others) if alone is None else back(alone).unionByName(back(others))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
