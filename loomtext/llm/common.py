@@ -9,6 +9,7 @@ never a recomputation of everything upstream.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,29 +23,46 @@ SLICE_BYTES = 4 << 20
 
 
 class Workspace:
-    """A folder for the intermediate tables of one operator call."""
+    """A folder for the intermediate tables of one operator call, deleted when the application ends.
+
+    It lies under ``spark.checkpoint.dir``.  Where that is unset a folder of this machine is
+    taken if driver and executors are one process, as in tests; a cluster must name one.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where the cluster names none, as in tests
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="loomtext-")
-        self.spark = spark
+        self.spark, self.kept = spark, False
         self.path = f"{base.rstrip('/')}/loomtext/{name}-{uuid.uuid4().hex}"
 
+    def _files(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read back."""
         target = f"{self.path}/{name}"
         df.write.parquet(target)
         schema = df.schema
         del df
+        self.keep()
         release(self.spark)
         return self.spark.read.schema(schema).parquet(target)
 
+    def keep(self) -> None:
+        """Have the folder, which exists by now, deleted when the application ends."""
+        if not self.kept:
+            fs, path = self._files(self.path)
+            self.kept = fs.deleteOnExit(path)
+
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete tables that nothing reads any more; without names, all of them."""
+        for name in names or ("",):
+            fs, path = self._files(f"{self.path}/{name}".rstrip("/"))
+            fs.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

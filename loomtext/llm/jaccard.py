@@ -1,43 +1,60 @@
 """Similarity join of documents on word n-grams by vertical partitioning.
 
-The global order of n-grams is that of their 64-bit hashes.  It is cut into
-fragments, as many as the sizes of a size class need: two sets that link differ
-in at most ``d`` members, so of ``d + m`` fragments at least ``m`` are equal.  A
-set's fragments become keys, and of these only the ``d + 1`` rarest are kept, as
-two sets that share ``m`` keys share one of those; frequent n-grams, lines and
-passages thereby drop out unless they are nearly all that a document has.
-
-For pairs of sets that share a key, partial overlaps are bounded in finer
-fragments (one bit each, the parity of the members' number) and the bounds
-summed, and for those left the overlap is counted fragment by fragment and summed.
-
-Equal sets are one class.  Pairs are formed in two linear-minded steps: every
-member of a key's group with the group's hub, as far as the bounds allow; then, in groups that the found
-links leave in several components, members of different components whose
-distances to the hub (a metric) and summed fragment bounds allow a link.  Pairs
-already connected are skipped, so all links are found or implied, and no group
-is expanded into all its pairs or gathered in one task.
-
-Rows with fewer words than ``words`` are one n-gram of all their words; null or
-empty texts have no n-grams and link with nothing.  Repeated rows are one class.
-A null id never names a component that has another.  Other columns are ignored.
+The global order of n-grams is cut twice.
+
+By hash into as many fragments as the input asks for: a fragment's task meets every
+set's members there, counts in how many sets each is, and sends on those that more
+than one set has.  What comes back to a set is all that it can share with any other,
+so a set that gets back fewer than the link needs links with nothing and is done
+with.  The order of the others' members is by frequency (its binary logarithm, then the
+hash), and of two sets that link one n-gram at least is among the rarest of both,
+those that can be missing and one more.  Sets with such an n-gram in common are a group.
+
+Then the pairs that groups give are counted: members go by hash to ``PARTS`` fragments,
+in each of which the pairs' partial overlaps are counted separately, and the partial
+overlaps of a pair are summed.
+
+A group is not expanded into its pairs.  Its hub, the member with the least n-grams of
+its own, is paired with each member; then members that are still in another component
+are paired with members that the sizes, the n-grams of their own, the distances to the
+hub (a metric) and the parities of fine fragments allow, first one for each component
+within reach, then what is left.  Pairs already connected are skipped, so all links are
+found or implied.
+
+N-grams that a slice of a task's rows has in ``HEAVY`` sets or more are known to be
+frequent there and then: they come last in the order, and a slice sends on ``HEAVY - 1``
+sets at most of any other, so that no n-gram, however common, gathers in one task.
+
+N-grams are told apart by 64-bit hashes, sets by 96 bits.  Rows with fewer words than
+``words`` are one n-gram of all their words; null or empty texts have no n-grams and link
+with nothing.  Equal sets are one; repeated rows are equal sets.  A null id never names a
+component that has another.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import ranges
 from .common import BoundedCache, Workspace, documents, text_of, texts
 from .graph import components
+from .screen import split_by
 
 WORDS, PERCENT = 3, 90
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: N-grams that a task holds at a time, of a slice of its rows or of a fragment (8 bytes each; more ask for more memory of workers).
+HELD = 2_000_000
+#: Sets of a slice from which an n-gram counts as frequent.
+HEAVY = 24
+#: Rank of frequent n-grams in the global order; others have the logarithm of their frequency.
+LAST = 255
+#: Fragments in which pairs are counted.
+PARTS = 16
+HEAD = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4"), ("c", "<u4")])
 
 
 class Shingles:
@@ -60,51 +77,161 @@ class Shingles:
         return np.unique(out ^ (out >> np.uint64(31)))
 
 
-@cache
-def class_starts(percent: int) -> np.ndarray:
-    """Least sizes of the size classes, about two and a half link ratios wide, so that few sets are in reach of two."""
-    ratio, starts = (100 / percent) ** 2.4, [1]
-    while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
-    return np.array(starts)
+def fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of each n-gram: equal ranges of the order of hashes."""
+    return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
 
-def spare(d: int, percent: int) -> int:
-    """Fragments above ``d``, all of which two linked sets share: more let more frequent keys be dropped, fewer make keys longer."""
-    return d // (2 if percent >= 90 else 8) + 2
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal values."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(x)])
 
 
-def budget(size_class: int, percent: int) -> tuple[int, int]:
-    """(d, fragments): members in which two linked sets of the class may differ, fragments it is cut into."""
-    top = int(class_starts(percent)[size_class + 1]) - 1
-    d = 2 * top * (100 - percent) // (100 + percent)
-    return d, d + spare(d, percent)
+def packed(owner: np.ndarray, grams: np.ndarray, heads: np.ndarray) -> tuple[bytes, bytes]:
+    """(heads with the number of their n-grams, n-grams) of members given by rising owner."""
+    first, count = runs(owner)
+    own = heads[owner[first]]
+    own["c"] = count
+    return own.tobytes(), grams.tobytes()
 
 
-def classes_of(n: int, percent: int) -> list[int]:
-    """The class of a set of ``n``, and the next if a larger set that links may be there."""
-    own = int(np.searchsorted(class_starts(percent), n, "right")) - 1
-    return [own, own + 1] if n * 100 // percent >= class_starts(percent)[own + 1] else [own]
+def least_overlap(n, percent: int):
+    """Members that a set of ``n`` shares with any that it links with: at least so many."""
+    return -(-n * percent // 100)
 
 
-def cuts(grams: np.ndarray, fragments: int) -> np.ndarray:
-    """Borders of the fragments in a sorted set."""
-    at = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted(at, np.arange(fragments + 1))
+def linked(inter, total, percent: int):
+    """100 * intersection >= percent * union, ``total`` being the sum of both sizes."""
+    return (100 + percent) * inter >= percent * total
 
 
-def sums(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """A hash of each fragment's members."""
-    mixed = (grams ^ (grams >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
-    return total[borders[1:]] - total[borders[:-1]]
+def cut(docs: DataFrame, words: int, fragments: int, id_col: str, text_col: str) -> DataFrame:
+    """What goes to each fragment.
 
+    kind 0: sets' members there (heads, grams); 1: frequent members, which need no counting
+    (to any fragment); 2: n-grams that are frequent somewhere (grams); 3: a row's id, n and set.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    bare = {"heads": pa.binary(), "grams": pa.binary(), "n": pa.int64(), "set": pa.binary()}
+
+    def send(frag, kinds, id_type, **cols):
+        n = len(frag)
+        made = {"frag": pa.array(frag, pa.int32()), "kind": pa.array([kinds] * n, pa.int8()), "id": cols.get("id", pa.nulls(n, id_type))}
+        return pa.RecordBatch.from_pydict(made | {k: pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in bare.items()})
+
+    def slices(held: dict, id_type):
+        """The members of a slice's distinct sets, fragment by fragment."""
+        heads = np.frombuffer(b"".join(held), np.dtype([("a", "<u8"), ("b", "<u4")]))
+        heads = np.rec.fromarrays([heads["a"], heads["b"], [len(g) for g in held.values()], np.zeros(len(heads))], dtype=HEAD)
+        owner = np.repeat(np.arange(len(heads)), heads["n"])
+        grams = np.concatenate(list(held.values()))
+        order = np.argsort(grams, kind="stable")  # owners rise among equal n-grams
+        grams, owner = grams[order], owner[order]
+        first, count = runs(grams)
+        frequent = np.repeat(count >= HEAVY, count)
+        borders = lambda g: np.searchsorted(fragment_of(g, fragments), np.arange(fragments + 1))
+        out: dict[int, list] = {0: [], 1: [], 2: []}
+        at = borders(marks := grams[first[count >= HEAVY]])
+        out[2] = [(f, None, marks[x:y].tobytes()) for f, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+        if frequent.any():
+            g, o = grams[frequent], owner[frequent]
+            by = np.argsort(o, kind="stable")
+            out[1] = [(int(heads["b"][0]), *packed(o[by], g[by], heads))]
+        g, o = grams[~frequent], owner[~frequent]
+        at = borders(g)
+        for f, (x, y) in enumerate(zip(at, at[1:], strict=False)):
+            if y > x:
+                by = np.argsort(o[x:y], kind="stable")
+                out[0].append((f, *packed(o[x:y][by], g[x:y][by], heads)))
+        for k, rows in out.items():
+            for i in range(0, len(rows), 256):
+                frag, h, g = zip(*rows[i : i + 256], strict=True)
+                yield send([f % fragments for f in frag], k, id_type, heads=h, grams=g)
 
-def keys(grams: np.ndarray, size_class: int, percent: int) -> np.ndarray:
-    fragments = budget(size_class, percent)[1]
-    own = sums(grams, cuts(grams, fragments)) + np.arange(1, fragments + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size_class * 0xC2B2AE3D27D4EB4F % 2**64)
-    own = (own ^ (own >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return own ^ (own >> np.uint64(29))
+    def run(it):
+        shingles, held, size, at = Shingles(words), {}, 0, 0
+        id_type = None
+        for batch in it:
+            done, id_type = 0, batch.column(0).type
+            for _, own in texts(batch, "text"):
+                n, names = [], []
+                for t in own:
+                    g = shingles(t)
+                    n.append(len(g))
+                    names.append(xxhash.xxh3_128_digest(g.tobytes())[:12] if len(g) else None)
+                    if len(g) and names[-1] not in held:
+                        held[names[-1]] = g
+                        size += len(g)
+                    if size >= HELD:
+                        yield from slices(held, id_type)
+                        held, size = {}, 0
+                yield send([(at + i) % fragments for i in range(len(own))], 3, id_type, id=batch.column(0).slice(done, len(own)), n=n, set=names)
+                done, at = done + len(own), at + len(own)
+        if held:
+            yield from slices(held, id_type)
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"frag int, kind tinyint, id {kind}, heads binary, grams binary, n bigint, set binary")
+
+
+def unpack(heads: pa.ChunkedArray, *values: tuple[pa.ChunkedArray, type]) -> list[np.ndarray]:
+    """The heads, and the columns of values, of all rows one after the other."""
+    joined = lambda col, t: np.frombuffer(b"".join(x.as_py() for x in col if x.is_valid), t)
+    return [joined(heads, HEAD), *[joined(c, t) for c, t in values]]
+
+
+def distinct_sets(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct heads, for each head its place among them)."""
+    order = np.lexsort((heads["b"], heads["a"]))
+    held = heads[order]
+    new = np.r_[True, (held["a"][1:] != held["a"][:-1]) | (held["b"][1:] != held["b"][:-1])] if len(held) else np.zeros(0, bool)
+    place = np.empty(len(heads), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return held[new], place
+
+
+def count_fragments(pieces: DataFrame, buckets: int) -> DataFrame:
+    """Of each fragment the members that several sets have, by bucket of sets, with their rank; rows' ids, n and set as they are."""
+    names = [("bucket", pa.int32()), ("heads", pa.binary()), ("grams", pa.binary()), ("ranks", pa.binary()), ("n", pa.int64()), ("set", pa.binary())]
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        rows = table.filter(pa.array(kind == 3))
+        out = [pa.table({k: rows[k] if k in ("n", "set") else pa.nulls(rows.num_rows, t) for k, t in names} | {"id": rows["id"]})]
+        for k in (0, 1):
+            part = table.filter(pa.array(kind == k))
+            if not part.num_rows:
+                continue
+            heads, grams = unpack(part["heads"], (part["grams"], np.uint64))
+            sets, place = distinct_sets(heads)
+            owner = np.repeat(place, heads["c"])
+            if k:
+                rank = np.full(len(grams), LAST, np.uint8)
+            else:
+                by = np.argsort(owner, kind="stable")
+                grams, owner = grams[by], owner[by]
+                by = np.argsort(grams, kind="stable")
+                grams, owner = grams[by], owner[by]
+                again = np.r_[False, (grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])]  # copies that came from other tasks
+                grams, owner = grams[~again], owner[~again]
+                first, count = runs(grams)
+                marks = np.unique(np.frombuffer(b"".join(x.as_py() for x in table.filter(pa.array(kind == 2))["grams"]), np.uint64))
+                level = np.where(np.isin(grams[first], marks), LAST, np.log2(count).astype(np.int64)).astype(np.uint8)
+                rank, shared = np.repeat(level, count), np.repeat((count > 1) | (level == LAST), count)
+                grams, owner, rank = grams[shared], owner[shared], rank[shared]
+            bucket = (sets["a"] % np.uint64(buckets)).astype(np.int64)[owner]
+            by = np.lexsort((owner, bucket))
+            grams, owner, rank, bucket = grams[by], owner[by], rank[by], bucket[by]
+            first, count = runs(bucket)
+            blobs = [(int(bucket[x]), *packed(owner[x : x + c], grams[x : x + c], sets), rank[x : x + c].tobytes()) for x, c in zip(first, count, strict=True)]
+            cols = list(zip(*blobs, strict=True)) if blobs else [()] * 4
+            n = len(blobs)
+            out.append(pa.table({"bucket": pa.array(cols[0], pa.int32()), "heads": pa.array(cols[1], pa.binary()), "grams": pa.array(cols[2], pa.binary()), "ranks": pa.array(cols[3], pa.binary()), "n": pa.nulls(n, pa.int64()), "set": pa.nulls(n, pa.binary()), "id": pa.nulls(n, table["id"].type)}))
+        return pa.concat_tables(out)
+
+    kind = pieces.schema["id"].dataType.simpleString()
+    return pieces.groupBy("frag").applyInArrow(run, f"bucket int, heads binary, grams binary, ranks binary, n bigint, set binary, id {kind}")
 
 
 def bounds(grams: np.ndarray) -> np.ndarray:
@@ -116,172 +243,202 @@ def bounds(grams: np.ndarray) -> np.ndarray:
     words = 1
     while 64 * words < 2 * len(grams):
         words *= 2
-    at = (grams >> np.uint64(32)) * np.uint64(64 * words) >> np.uint64(32)
-    at = (at % np.uint64(words) * np.uint64(64) + at // np.uint64(words)).astype(np.int64)
+    at = fragment_of(grams, 64 * words)
+    at = at % words * 64 + at // words
     odd = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common members, counted fragment by fragment and summed."""
-    total, size = 0, max(1, (len(a) + len(b)) // 4096)
-    x, y = cuts(a, size), cuts(b, size)
-    for i in range(size):
-        total += len(np.intersect1d(a[x[i] : x[i + 1]], b[y[i] : y[i + 1]], assume_unique=True))
-    return total
-
-
-def linked(inter, total, percent: int):
-    """100 * intersection >= percent * union, ``total`` being the sum of both sizes."""
-    return (100 + percent) * inter >= percent * total
-
-
-def digest_of(id_col: str, text_col: str) -> Column:
-    """128 bits that stand for a row's id, null among them, and text."""
-    return F.unhex(F.md5(F.concat(F.md5(F.col(text_col).cast("string").cast("binary")), F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))).cast("binary")))
-
-
-def profile(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
-    """id, n, hash of the set, and its keys in its class and, if need be, the next; with ``digests`` that of id and text too."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(it):
-        shingles = Shingles(words)
-        for batch in it:
-            done = 0
-            for _, held in texts(batch, "text"):
-                n, digest, own, more = [], [], [], []
-                for t in held:
-                    g = shingles(t)
-                    n.append(len(g))
-                    digest.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-                    ks = [keys(g, c, percent).view(np.int64) for c in classes_of(len(g), percent)] if len(g) else []
-                    own.append(ks[0] if ks else None)
-                    more.append(ks[1] if len(ks) > 1 else None)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(done, len(held)), "n": pa.array(n, pa.int64()), "set": pa.array(digest, pa.binary()), "own": pa.array(own, pa.list_(pa.int64())), "more": pa.array(more, pa.list_(pa.int64()))} | ({"digest": batch.column(2).slice(done, len(held))} if digests else {}))
-                done += len(held)
-
-    told = [digest_of(id_col, text_col).alias("digest")] if digests else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *told)
-    return rows.mapInArrow(run, f"id {kind}, n bigint, set binary, own array<bigint>, more array<bigint>" + ", digest binary" * digests)
-
-
-def members(docs: DataFrame, needed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """node, n, grams, bounds of the sets in ``needed`` (node, id, set)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = needed.select(F.col("id").alias("w")).distinct()
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select("text")
+def gather(shared: DataFrame, percent: int) -> DataFrame:
+    """The sets that can link with any: set, n, own (members no other has), the rest in the global order, its rarest part, parities."""
+    schema = "set binary, n bigint, own bigint, grams binary, rare array<bigint>, bounds array<bigint>"
+
+    def run(table: pa.Table) -> pa.Table:
+        heads, grams, rank = unpack(table["heads"], (table["grams"], np.uint64), (table["ranks"], np.uint8))
+        sets, place = distinct_sets(heads)
+        owner = np.repeat(place, heads["c"])
+        by = np.lexsort((grams, rank, owner))
+        grams, owner, rank = grams[by], owner[by], rank[by]
+        again = np.r_[False, (grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])]
+        grams, owner = grams[~again], owner[~again]
+        got = np.bincount(owner, minlength=len(sets))
+        n = sets["n"].astype(np.int64)
+        need = least_overlap(n, percent)
+        start = np.cumsum(got) - got
+        out = []
+        for i in np.flatnonzero(got >= need).tolist():
+            g = grams[start[i] : start[i] + got[i]]
+            out.append((sets["a"][i].tobytes() + sets["b"][i].tobytes(), n[i], n[i] - got[i], g.tobytes(), g[: got[i] - need[i] + 1].view(np.int64), bounds(g)))
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("set", "n", "own", "grams", "rare", "bounds"), cols, kinds, strict=True)})
+
+    return shared.filter("bucket IS NOT NULL").select("bucket", "heads", "grams", "ranks").groupBy("bucket").applyInArrow(run, schema)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, total) with inter, the sum of the partial overlaps of all fragments; pairs without any are left out.
+
+    A fragment's task has a block of the pairs (by ``b``, so that no hub's pairs meet in one
+    task), and of each set in them its members there.
+    """
+    size = pairs.join(sets.select(F.col("node").alias("b"), (F.length("grams") / 4).alias("size")), "b").agg(F.sum("size")).first()[0] or 0
+    blocks = max(1, -(-int(size) // (PARTS * HELD)))
+    block = F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block")
+    wanted = pairs.select(F.col("b").alias("node"), block).unionByName(pairs.select(F.col("a").alias("node"), block)).distinct()
 
-    def run(it):
-        shingles = Shingles(words)
+    def split(it):
         for batch in it:
-            for _, held in texts(batch, "text", 1 << 20):
-                grams = [g for t in held if len(g := shingles(t))]
-                yield pa.RecordBatch.from_pydict({"set": pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary()), "grams": pa.array([g.tobytes() for g in grams], pa.binary()), "bounds": pa.array([bounds(g) for g in grams], pa.list_(pa.int64()))})
-
-    made = rows.mapInArrow(run, "set binary, grams binary, bounds array<bigint>")
-    return made.join(needed.select("node", "set", "n"), "set").dropDuplicates(["set"]).select("node", "n", "grams", "bounds")
+            rows: list[tuple] = []
+            for node, at, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                g = np.sort(np.frombuffer(g.as_buffer(), np.uint64))
+                cuts = np.searchsorted(fragment_of(g, PARTS), np.arange(PARTS + 1))
+                rows += [(f, at, node, g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "block", "node", "grams"])
+
+    pieces = sets.select("node", "grams").join(wanted, "node").select("node", "block", "grams").mapInArrow(split, "part int, block int, node bigint, grams binary")
+    asked = pairs.select(F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), block, "a", "b")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "inter": pa.array([], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        nodes = left["node"].to_numpy()
+        sizes = np.fromiter((len(x.as_buffer()) // 8 for x in left["grams"]), np.int64, len(nodes))
+        grams = np.frombuffer(b"".join(x.as_py() for x in left["grams"]), np.uint64)
+        names, ids = np.unique(grams, return_inverse=True)
+        start, order = np.cumsum(sizes) - sizes, np.argsort(nodes, kind="stable")
+        held = nodes[order]
+        a, b = right["a"].to_numpy(), right["b"].to_numpy()
+        at = [np.minimum(np.searchsorted(held, x), len(held) - 1) for x in (a, b)]
+        both = (held[at[0]] == a) & (held[at[1]] == b)
+        a, b, (x, y) = a[both], b[both], (order[p[both]] for p in at)
+        inter = np.zeros(len(a), np.int64)
+        ends = np.cumsum(sizes[x] + sizes[y]) // HELD
+        for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(ends)) + 1):
+            if not len(at):
+                continue
+            keys = []
+            for p in (x[at], y[at]):
+                which, member = ranges(start[p], start[p] + sizes[p])
+                keys.append(which * np.int64(len(names)) + ids[member])
+            keys = np.sort(np.concatenate(keys))
+            inter[at] = np.bincount(keys[1:][keys[1:] == keys[:-1]] // len(names), minlength=len(at))
+        some = inter > 0
+        return pa.table({"a": pa.array(a[some]), "b": pa.array(b[some]), "inter": pa.array(inter[some])})
+
+    partial = pieces.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(count, "a bigint, b bigint, inter bigint")
+    return pairs.join(partial.groupBy("a", "b").agg(F.sum("inter").alias("inter")), ["a", "b"]).select("a", "b", "total", "inter")
+
+
+def least_apart(a: str, b: str) -> Column:
+    """At least so many members are in one of two sets only: their own, and one for each fine fragment whose parities differ."""
+    x, y = F.col(f"bounds{a}"), F.col(f"bounds{b}")
+    halved = lambda fine, coarse: F.transform(coarse, lambda v, i: v.bitwiseXOR(fine[2 * i]).bitwiseXOR(fine[2 * i + 1]))
+    apart = F.when(F.size(x) == F.size(y), F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))).when(F.size(x) == 2 * F.size(y), halved(x, y)).when(F.size(y) == 2 * F.size(x), halved(y, x)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(apart, F.lit(0), lambda s, v: s + F.bit_count(v)) + F.col(f"own{a}") + F.col(f"own{b}")
+
+
+def in_reach(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may link by their sizes and their own members alone."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((F.col(f"own{a}") + F.col(f"own{b}")) * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def hubs(sets: DataFrame, work: Workspace) -> DataFrame:
+    """key, node, n, own, hub (own's share, node, n, own) of each set of each group of two or more."""
+    rows = sets.select(F.explode("rare").alias("key"), "node", "n", "own")
+    groups = rows.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return work.save(rows.join(groups, "key"), "groups")
+
+
+def star(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a group's hub and its other members that may link."""
+    pairs = groups.filter("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.own").alias("owna"), F.col("own").alias("ownb")).filter(in_reach("a", "b", percent)).distinct()
+    held = lambda s: sets.select(F.col("node").alias(s), F.col("bounds").alias(f"bounds{s}"))
+    total = F.col("na") + F.col("nb")
+    return pairs.join(held("a"), "a").join(held("b"), "b").filter(least_apart("a", "b") * (100 + percent) <= total * (100 - percent)).select("a", "b", total.alias("total"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, total) with the exact overlap."""
+def across(groups: DataFrame, sets: DataFrame, counted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, total, apart, root: b's) of a group's members in different components that may link and are not counted yet.
 
-    def run(it):
-        for batch in it:
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("ga", "gb"))
-            inter = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(inter, pa.int64())], ["a", "b", "total", "inter"])
-
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return joined.select("a", "b", "total", "ga", "gb").mapInArrow(run, "a bigint, b bigint, total bigint, inter bigint")
-
-
-def may_link(a: str, b: str, total: Column, percent: int) -> Column:
-    """Whether two sets may link by the bounds of their fragments, summed: where parities differ, at least one member does."""
-    a, b = F.col(a), F.col(b)
-    halved = lambda fine, coarse: F.transform(coarse, lambda x, i: x.bitwiseXOR(fine[2 * i]).bitwiseXOR(fine[2 * i + 1]))
-    apart = F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))).when(F.size(a) == 2 * F.size(b), halved(a, b)).when(F.size(b) == 2 * F.size(a), halved(b, a)).otherwise(F.array().cast("array<bigint>"))
-    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + F.bit_count(x))
-    return differ * (100 + percent) <= total * (100 - percent)
-
-
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, total) that may link by their bounds, before any members are moved."""
-    own = lambda side: sets.select(F.col("node").alias(side), F.col("bounds").alias(f"bounds_{side}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").filter(may_link("bounds_a", "bounds_b", F.col("total"), percent)).select("a", "b", "total")
-
-
-def rare_keys(nodes: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """(key, node, n): of each set and class the d + 1 rarest keys, as far as others have them too."""
-    emitted = nodes.select("node", "n", F.lit(0).alias("up"), F.explode("own").alias("key")).unionByName(nodes.filter("more IS NOT NULL").select("node", "n", F.lit(1).alias("up"), F.explode("more").alias("key")))
-    shared = work.save(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-keys")
-    held = emitted.join(shared, "key").groupBy("node", "up").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    # A set's own fragments: a list as long as its class asks for, whatever the input.
-    starts = F.array(*[F.lit(int(x)) for x in class_starts(percent)])
-    held = held.withColumn("m", F.element_at(F.array(*[F.lit(spare(budget(c, percent)[0], percent)) for c in range(len(class_starts(percent)) - 1)]), F.size(F.filter(starts, lambda s: s <= F.col("n"))) + F.col("up")))
-    return held.select("node", "n", F.explode(F.expr("slice(keys, 1, greatest(0, size(keys) - cast(m as int) + 1))")).alias("k")).select(F.col("k.key").alias("key"), "node", "n")
-
-
-def classed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(id, n, set of each row, with ``digests`` its digest; set, top, component_id of each set): ``top`` alone tells components apart, as ids may repeat."""
-    work = Workspace(docs.sparkSession, "jaccard")
-    rows = work.save(profile(docs, words, percent, id_col, text_col, digests).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
-    # A set's node is the first row that has it; that row's keys stand for the set.
-    nodes = work.save(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
-    kept = work.save(rare_keys(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi"), percent, work), "kept")
-    rows = work.save(rows.drop("row", "own", "more"), "row-sets")
-    work.drop("rows", "shared-keys")
-    hubs = kept.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "hub")
-    groups = work.save(kept.join(hubs, "key"), "groups")
-    work.drop("kept")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = groups.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("hub.n")).alias("total")).distinct()
-    sets = work.save(members(docs, nodes.join(groups.select("node").distinct(), "node").select("node", "id", "set", "n"), words, id_col, text_col), "sets")
-    first = work.save(verify(work.save(bounded(star, sets, percent), "star"), sets), "star-overlaps")
-    links = first.filter(linked(F.col("inter"), F.col("total"), percent)).select("a", "b")
-    found = components(links, work, "first")
-    second = work.save(verify(work.save(cross(groups, first, found, sets, percent), "cross"), sets), "cross-overlaps")
-    more = second.filter(linked(F.col("inter"), F.col("total"), percent)).select("a", "b")
-    # Components of components: what the second step links are the roots of the first.
-    root = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}r"))
-    joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b")).distinct()
-    joined = components(joined, work, "second").select(F.col("node").alias("mid"), F.col("root").alias("top"))
-    told = nodes.select("node", "set", "id").join(found, "node", "left").withColumn("mid", F.coalesce("root", "node")).join(joined, "mid", "left").withColumn("top", F.coalesce("top", "mid"))
-    named = told.groupBy("top").agg(F.min("id").alias("component_id"))
-    return rows, told.join(named, "top").select("set", "top", "component_id")
+    One of the two at least is not linked with the hub: the others are in the hub's component.
+    """
+    far = counted.select(F.col("a").alias("h"), F.col("b").alias("node"), (F.lit(1.0) - F.col("inter") / (F.col("total") - F.col("inter"))).alias("far"))
+    rows = groups.withColumn("h", F.col("hub.node")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    rows = rows.filter("node <> h").join(split, "key", "left_semi").join(far, ["h", "node"], "left").join(sets.select("node", "bounds"), "node")
+    hub = labels.select(F.col("node").alias("h"), F.col("root").alias("hroot"))
+    rows = rows.join(hub, "h", "left").select("key", "node", "n", "own", "root", "far", "bounds", (F.col("root") != F.coalesce("hroot", "h")).alias("out"))
+    side = lambda s: rows.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "own", "root", "far", "bounds", "out")])
+    a, b = side("a").filter("outa"), side("b")
+    near = F.coalesce(F.abs(F.col("fara") - F.col("farb")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    once = ~F.col("outb") | (F.col("nodea") < F.col("nodeb"))
+    total = F.col("na") + F.col("nb")
+    apart = least_apart("a", "b")
+    pairs = a.join(b, (a.key == b.key) & (F.col("roota") != F.col("rootb")) & once & in_reach("a", "b", percent) & near & (apart * (100 + percent) <= total * (100 - percent)))
+    pairs = pairs.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), F.col("nodea").alias("x"), F.col("rootb").alias("root"), total.alias("total"), apart.alias("apart")).dropDuplicates(["a", "b"])
+    seen = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(seen, ["a", "b"], "left_anti")
+
+
+def classed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Workspace]:
+    """(id, n, set of each row; set, top, component_id of each set): ``top`` alone tells components apart, as ids may repeat."""
+    spark = docs.sparkSession
+    work = Workspace(spark, "jaccard")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    fragments = max(-(-size // (6 * HELD)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = work.save(count_fragments(cut(docs, words, fragments, id_col, text_col), fragments), "shared")
+    rows = work.save(shared.filter("bucket IS NULL").select("id", "n", "set"), "rows")
+    sets = work.save(gather(shared, percent).withColumn("node", F.monotonically_increasing_id()), "sets")
+    work.drop("shared")
+    groups = hubs(sets, work)
+    counted = work.save(overlaps(work.save(star(groups, sets, percent), "star"), sets), "counted-star")
+    links = lambda df: df.filter(linked(F.col("inter"), F.col("total"), percent)).select("a", "b")
+    labels = components(links(counted), work, "labels-star")
+    for i in range(2):
+        pairs = work.save(across(groups, sets, counted, labels, percent), f"across-{i}")
+        if not i:  # one pair, the likeliest, for each component within reach of a set
+            pairs = work.save(pairs.groupBy("x", "root").agg(F.min(F.struct("apart", "a", "b", "total")).alias("m")).select("m.a", "m.b", "m.total").distinct(), "likely")
+        counted = work.save(counted.unionByName(overlaps(pairs.select("a", "b", "total"), sets)), f"counted-{i}")
+        labels = components(links(counted), work, f"labels-{i}")
+    # Copies are rows of one set; sets that link with nothing are components of their own.
+    own = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    told = own.join(sets.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("root", "node").alias("top")), "set", "left")
+    named = told.filter("top IS NOT NULL").groupBy("top").agg(F.min("id").alias("component_id"))
+    told = told.join(named, "top", "left").select("set", "top", F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, work.save(told, "classes"), work
 
 
 def resolve(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n, set, component_id of each row of ``docs``."""
-    rows, classes = classed(docs, words, percent, id_col, text_col)
-    return rows.filter("n > 0").join(classes, "set").select("id", "n", "set", "component_id").unionByName(rows.filter("n = 0").withColumn("component_id", F.col("id")))
-
-
-def cross(groups: DataFrame, first: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a group's members in different components that may link still."""
-    far = first.select(F.col("a").alias("h"), F.col("b").alias("node"), (F.lit(1.0) - F.col("inter") / (F.col("total") - F.col("inter"))).alias("far"))
-    rows = groups.select("key", "node", "n", F.col("hub.node").alias("h")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    rows = rows.filter("node <> h").join(split, "key").join(far, ["h", "node"], "left").join(sets.select("node", "bounds"), "node").select("key", "node", "n", "root", "far", "bounds")
-    a, b = (rows.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "root", "far", "bounds")]) for s in "ab")
-    total = F.col("na") + F.col("nb")
-    near = F.coalesce(F.abs(F.col("fara") - F.col("farb")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = a.join(b, (a.key == b.key) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & sizes & near & may_link("boundsa", "boundsb", total, percent))
-    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), total.alias("total")).distinct()
+    rows, classes, _ = classed(docs, words, percent, id_col, text_col)
+    return rows.filter("n > 0").join(classes, "set").select("id", "n", "set", "component_id").unionByName(rows.filter("n = 0").withColumn("component_id", F.col("id")).select("id", "n", "set", "component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id, with the columns of ``docs``.
+    """One row of each component, that with the smallest id, with the columns of ``docs``, whatever their names.
 
     A null id comes after all others, and of rows of a component that share the smallest id one
     stays.  Rows of other components stay whatever their ids, and so do all without n-grams.
+    Rows that are surely alone in their component stay where they lie.
     """
-    rows, classes = classed(docs, words, percent, id_col, text_col, digests=True)
-    best = rows.filter("n > 0").join(classes, "set").groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
-    bare = F.translate(text_of(text_col), " \t\n\x0b\x0c\r", "") == ""
-    own = docs.filter(~bare).withColumn("_digest", digest_of(id_col, text_col)).join(best.select(F.col("best.digest").alias("_digest")), "_digest", "left_semi")
-    return own.dropDuplicates(["_digest"]).drop("_digest").select(docs.columns).unionByName(docs.filter(bare))
+    mine = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()])
+    key, text = F.col(mine[id_col]), text_of(mine[text_col])
+    # 128 bits that stand for a row's id, null among them, and text.
+    digest = F.unhex(F.md5(F.concat(F.md5(text.cast("binary")), F.coalesce(F.concat(F.lit("i"), key.cast("string")), F.lit(""))).cast("binary")))
+    rows, classes, work = classed(own.select(F.struct(key.isNull().alias("none"), key.alias("id"), digest.alias("digest")).alias("id"), text.alias("text")), words, percent, "id", "text")
+    held = work.save(rows.filter("n > 0").join(classes, "set").select("id.digest", F.col("component_id.digest").alias("best")), "kept")
+    several = held.groupBy("best").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    several = held.join(several, "best", "left_semi").select(F.xxhash64("digest").alias("place")).distinct()
+    bare = F.translate(text, " \t\n\x0b\x0c\r", "") == ""
+    alone, others = split_by(own.filter(~bare), F.xxhash64(digest), several)
+    others = others.withColumn("_digest", digest).join(held.select(F.col("best").alias("_digest")).distinct(), "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    out = own.filter(bare).unionByName(others)
+    return (out if alone is None else out.unionByName(alone)).select(*[F.col(n).alias(c) for c, n in mine.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
