@@ -40,6 +40,9 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 #: Token boundaries always lie before white space that follows something else.
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 MOST_STATES = 500_000
+#: Recent pre-tokens and chunks that a worker remembers.
+REMEMBERED = 300_000
+BYTES = [bytes((b,)) for b in range(256)]
 
 
 def pretoken_pattern(pattern: str):
@@ -59,7 +62,7 @@ class Transducer:
         self.token = {i: t for t, i in ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a token: {missing[:5]}")
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
+        self.parts = dict.fromkeys((t[:k] for t in ranks for k in range(1, len(t))), -1) | ranks
         self.fits: dict[int, bool] = {}
         self.edges: dict[int, tuple[list[int], list[int]] | None] = {}
         self.clear()
@@ -122,30 +125,36 @@ class Transducer:
 
     def _make(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The transition, made on first use.  Hypotheses stand by falling length of their open part; at most one has none."""
-        after, done, more = [], None, bytes((byte,))
-        prefixes, ranks = self.prefixes, self.ranks
+        after, done, more = [], None, BYTES[byte]
+        parts, fits = self.parts, self.fits
         for out, last, part in self.states[number]:
             part += more
-            if part in prefixes:
+            if (t := parts.get(part)) is not None:
                 after.append((out, last, part))
-                if done is None and (t := ranks.get(part)) is not None and self.fit(last, t):
-                    done = (*out, t), t, b""
+                if t >= 0 and done is None:
+                    if (fit := fits.get(last << 32 | t)) is None:
+                        fit = self.fit(last, t)
+                    if fit:
+                        done = (*out, t), t, b""
         if done is not None:
             after.append(done)
-        k = 0
-        first = after[0][0]
-        if first:
-            outs = [h[0] for h in after]
-            most = min(map(len, outs))
-            while k < most and all(o[k] == first[k] for o in outs):
+        k, first = 0, after[0][0]
+        for token in first:
+            for h in after:
+                if len(h[0]) <= k or h[0][k] != token:
+                    break
+            else:
                 k += 1
-            if k:
-                after = [(out[k:], last, part) for out, last, part in after]
+                continue
+            break
+        sure = first[:k]
+        if k:
+            after = [(out[k:], last, part) for out, last, part in after]
         state = tuple(after)
-        to = self.numbers.setdefault(state, len(self.states))
-        if to == len(self.states):
+        if (to := self.numbers.get(state)) is None:
+            to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        self.moves[number << 8 | byte] = found = to, first[:k]
+        self.moves[number << 8 | byte] = found = to, sure
         return found
 
     def _next(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -224,30 +233,42 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.pattern = pretoken_pattern(pattern)
-        self.pieces = BoundedCache(lambda p: self.machine.encode(p.encode()))
-        self.chunks = BoundedCache(lambda c: tuple(chain.from_iterable(self.pieces[p] for p in self.pattern.findall(c))))
+        self.pieces = BoundedCache(lambda p: self.machine.encode(p.encode()), REMEMBERED)
+        self.chunks = BoundedCache(lambda c: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(c)))), REMEMBERED)
         size = max(ranks.values()) + 1
         self.names = [str(i) for i in range(size)]
         self.bytes = [self.machine.token.get(i, b"") for i in range(size)]
-        self.whole = [Utf8.feed(b"", t) for t in self.bytes]
-        self.whole = [s if not held and "�" not in s else None for s, held in self.whole]
+        self.steps: dict[bytes, list] = {b"": [None] * size}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.chunks.__getitem__, CHUNK.findall(text))))
 
-    def text(self, ids: list[int]) -> str:
-        """The decoded text; the state machine is needed only where a token ends inside a character."""
-        parts = [self.whole[i] for i in ids]
-        return "".join(parts) if None not in parts else "".join(self.decode(ids))
+    def _row(self, held: bytes) -> list:
+        if (row := self.steps.get(held)) is None:
+            if len(self.steps) > 64:  # lists as long as the vocabulary; forgetting changes speed only
+                self.steps = {b"": self.steps[b""]}
+            row = self.steps[held] = [None] * len(self.names)
+        return row
+
+    def text(self, ids: Iterable[int]) -> str:
+        """The decoded text."""
+        return "".join(self.decode(ids))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes whole, token by token."""
-        held, whole = b"", self.whole
+        """Text as it becomes whole, token by token.
+
+        The UTF-8 machine runs over a token's bytes when its state (the unfinished character, few
+        in number) first meets the token; where that led is looked up after that.
+        """
+        held = b""
+        steps = row = self.steps[b""]
         for i in ids:
-            if not held and (text := whole[i]) is not None:
-                yield text
-                continue
-            text, held = Utf8.feed(held, self.bytes[i])
+            if (step := row[i]) is None:
+                step = row[i] = Utf8.feed(held, self.bytes[i])
+            text, after = step
+            if after != held:
+                held = after
+                row = steps if not held else self._row(held)
             if text:
                 yield text
         if held:
