@@ -4,18 +4,19 @@ Every word has a sparse ternary index vector drawn from a hash of the word.  A
 word's vector is its own index vector plus those of its neighbours in all
 documents (random indexing, no labels), scaled to unit length; tasks sum what
 they read, and the sums are added up by blocks of slots; words live in ``SLOTS`` hashed
-slots, so the model's size is fixed.  A document is the mean of its words'
-vectors, rare words weighing more, with a few rates (repeated neighbours,
-repeated three-word sequences, capitals, signs, digits) and the log of its
-length.  A two-layer numpy network gives the logit of label 1, and a temperature
-fitted on a part kept from training calibrates its probabilities.
+slots, so the model's size is fixed.  Case is kept, and runs of letters, digits and
+signs are words.  A document is two pooled vectors: the mean of its words' vectors,
+rare words weighing more, and the mean of the products of neighbours' vectors
+(component by component), which binds a word to the one before it.  A two-layer
+numpy network over these gives the logit of label 1, and a temperature fitted on a
+part kept from training calibrates its probabilities.  Nothing else is looked at.
 
 Training takes at most ``max_rows`` labelled rows, those with the smallest hash
-of their id, of which ids whose crc32 (of the id as text) modulo 3 is 1 are
+of their id, one row for each id (that with the least text), of which ids whose crc32 (of the id as text) modulo 3 is 1 are
 never part.  It runs in one task on that bounded sample; the model is broadcast.
 Scoring reads every row and whole text.
 
-A null or empty text is scored like any other, from the length alone; a null id
+A null or empty text, or one of white space, has two zero vectors and is scored from those; a null id
 counts as not held out.  Labels that are null are left out, of several labels
 of an id the largest holds.  Without labels of both kinds every score is the
 share of label 1 (0.5 without any).  Repeated rows stay repeated; no column but
@@ -39,7 +40,6 @@ from .common import BoundedCache, documents, texts
 SLOTS, DIM, ONES, WINDOW = 1 << 15, 128, 6, 2
 HIDDEN, EPOCHS, MAX_ROWS = 48, 60, 4000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-SHOUT = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
 
 
 def slot_of(word: str) -> int:
@@ -56,22 +56,14 @@ def index_vectors() -> np.ndarray:
 
 
 class Reader:
-    """Slots and rates of a text."""
+    """The slots of a text's words."""
 
     def __init__(self):
         self.slots = BoundedCache(slot_of)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = TOKEN.findall(text.lower())
-        n = len(words)
-        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, n)
-        size = max(1, len(text))
-        three = at[:-2] * 1_000_003 * 1_000_003 + at[1:-1] * 1_000_003 + at[2:]
-        seen = len(three) - len(np.unique(three))
-        letters = sum(map(len, filter(str.isalpha, words)))
-        digits = sum(map(len, filter(str.isdigit, words)))
-        rates = [float((at[1:] == at[:-1]).sum()) / max(1, n - 1), seen / max(1, len(three)), sum(map(len, SHOUT.findall(text))) / size, letters / size, digits / size, len(text.split()) / size, text.count("\n") / size, np.log1p(n)]
-        return at, np.array(rates, np.float64)
+    def __call__(self, text: str) -> np.ndarray:
+        words = TOKEN.findall(text)
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
 
 
 class Model:
@@ -81,14 +73,16 @@ class Model:
         self.parts = parts
         self.words = parts["words"].astype(np.float32)
 
-    def pool(self, at: np.ndarray, rates: np.ndarray) -> np.ndarray:
-        total, weight = np.zeros(DIM), 0.0
+    def pool(self, at: np.ndarray) -> np.ndarray:
+        """The weighted mean of the words' vectors, and the mean of neighbours' products."""
+        total, bound, weight = np.zeros(DIM), np.zeros(DIM), 0.0
         for i in range(0, len(at), 65536):
-            own = at[i : i + 65536]
-            w = self.parts["weights"][own]
-            total += w @ self.words[own]
+            own = at[i : i + 65537]  # with the next slice's first word, for its product
+            v, w = self.words[own], self.parts["weights"][own[:65536]]
+            total += w @ v[:65536]
             weight += float(w.sum())
-        return np.r_[total / max(weight, 1e-9), rates]
+            bound += np.einsum("ij,ij->j", v[1:], v[:-1])
+        return np.r_[total / max(weight, 1e-9), bound / max(1, len(at) - 1)]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         p = self.parts
@@ -135,14 +129,13 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     schema = "block int, counts binary, context binary"
 
     def run(it):
-        slots, own = BoundedCache(slot_of), index.astype(np.int8)
+        read, own = Reader(), index.astype(np.int8)
         counts, context = np.zeros(SLOTS, np.int64), np.zeros((SLOTS, DIM), np.int64)
         for batch in it:
             for _, held in texts(batch, "text"):
                 for t in held:
-                    words = TOKEN.findall(t.decode("utf-8", "replace").lower())
-                    if words:
-                        add_context(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), own, counts, context)
+                    if len(at := read(t.decode("utf-8", "replace"))):
+                        add_context(at, own, counts, context)
         for b in range(blocks if counts.any() else 0):
             at = slice(b * size, (b + 1) * size)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts[at].tobytes()], pa.binary()), pa.array([context[at].tobytes()], pa.binary())], ["block", "counts", "context"])
@@ -165,7 +158,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return norm(norm(index) + norm(context)).astype(np.float16), 1e-3 / (1e-3 + share)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, words: np.ndarray, weights: np.ndarray, seed: int = 1) -> Model:
+def train(docs: list[np.ndarray], labels: np.ndarray, words: np.ndarray, weights: np.ndarray, seed: int = 1) -> Model:
     y = labels.astype(np.float64)
     parts = {"words": words, "weights": weights, "temperature": np.ones(1), "w2": np.zeros(0), "b2": np.zeros(1)}
     share = y.mean() if len(y) else 0.5
@@ -173,7 +166,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, words:
         parts["b2"] = np.array([float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1)))]) if len(y) else np.zeros(1)
         return Model(parts)
     model = Model(parts)
-    x = np.array([model.pool(*d) for d in docs])
+    x = np.array([model.pool(d) for d in docs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
@@ -213,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     vectors = word_vectors(docs.select(F.col(text_col).cast("string").alias("text")))
     told = docs.sparkSession.sparkContext.broadcast(vectors)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id").select("id", "y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
     def run(it):
         reader, found = Reader(), []
@@ -225,38 +218,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         model = train([r[2] for r in found], np.array([r[3] for r in found]), *told.value)
         yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]}, schema=pa.schema([("model", pa.binary())]))
 
-    made = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
     return bytes(made["model"]) if made else train([], np.zeros(0), *vectors).to_bytes()
 
 
-def score(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column _score."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, model: bytes, text_col: str) -> DataFrame:
+    """``rows`` with a last column _score, which they lack."""
     from pyspark.sql.types import DoubleType, StructType
 
-    if "_score" in docs.columns:
-        raise ValueError("docs has a column _score")
+    told = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         own, reader = Model.from_bytes(told.value), Reader()
         for batch in it:
             out = []
             for _, held in texts(batch, text_col):
-                out += own.scores(np.array([own.pool(*reader(t.decode("utf-8", "replace"))) for t in held])).tolist()
+                out += own.scores(np.array([own.pool(reader(t.decode("utf-8", "replace"))) for t in held])).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_score", DoubleType()))
 
 
 def classify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    rows = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    rows = _scored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), model, "text")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: bytes, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose score is at least ``least``, with the columns of ``docs``."""
-    return score(docs, model, text_col).filter(F.col("_score") >= least).drop("_score")
+    """The rows whose score is at least ``least``, with the columns of ``docs``, whatever their names."""
+    mine = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = _scored(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]), model, mine[text_col])
+    return rows.filter(F.col("_score") >= least).select(*[F.col(n).alias(c) for c, n in mine.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
