@@ -10,19 +10,21 @@ string belongs to one anchor, and whether it repeats is decided among the places
 with the same anchor.  A place is cut out as a segment, the bytes that its starts
 cover.  A segment spans starts at most ``SPANS[0]`` apart, and the bytes that all of
 these cover are its key.  Equal segments are one, with a weight.  Keys met once are
-done with, and so are keys whose segments are all equal, which repeat as a whole.
-The rest go by hash of the key to buckets of bounded size, and in each bucket a
-Burrows-Wheeler transform with threshold-bounded interval expansion (see
-``suffix_array``) finds the strings that repeat.
+done with, and segments that equal texts alone have repeat with them.  The rest go by hash of the key to buckets of bounded size, and in each
+bucket a Burrows-Wheeler transform with threshold-bounded interval expansion (see
+``suffix_array``) finds the strings that repeat.  Where all segments of a key are
+equal, the bytes of two of their places go there; neighbours that go on alike in
+both places are strung together, so that their common bytes go once.
 
 A key with more than ``hot`` distinct segments, such as a common line in
 unlike surroundings, is not gathered: its segments are split by the distance of
 start and anchor, which makes the keys longer, and in the end strings are their
 own keys.  Nothing is dropped at any step.
 
-A null text is empty.  Equal texts are handled once and weigh their number.
-Texts shorter than ``length`` lose nothing.  Repeated rows get equal results.
-Other columns are ignored.  Empty tables give empty results.
+A null text is empty.  Equal texts are one from the start, with their number as its
+weight.  Texts move only where a table of runs asks for them, others are screened
+out where they lie.  Texts shorter than ``length`` lose nothing.  Repeated rows get equal results.
+Other columns are ignored or kept, whatever their names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,24 +34,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import ranges
-from .common import Workspace, documents, texts
+from .common import Workspace, documents, text_of, texts
+from .screen import split_by
 from .suffix_array import repeats
 
 LENGTH, GRAM = 200, 32
 #: Bytes that a bucket holds on average, and distinct segments of a key that are gathered: those of one bucket.
-BUCKET_BYTES = 1_500_000
+BUCKET_BYTES = 900_000
 HOT = BUCKET_BYTES // (LENGTH + 50)
 #: Distances of start and anchor that one segment spans, from the first split to the last.
 SPANS = (57, 8, 1)
-
-
-def text_key(text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(text)
+#: Equal segments that are strung together at most.
+CHAIN = 64
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -133,148 +133,202 @@ def anchors(held: list[bytes], length: int, gram: int, span: int) -> tuple[np.nd
     return o[which], n, a[which] - lo, key, seg
 
 
-def scan(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, span: int) -> DataFrame:
-    """id, tkey, and the text's segments by rising start as parallel lists: key, seg, n (starts), gap (to the anchor)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def distinct_texts(docs: DataFrame, length: int, text_col: str, work: Workspace) -> DataFrame:
+    """rid, tkey, w (how many rows have it), text (bytes) of each distinct text of ``length`` bytes or more."""
+    rows = docs.select(text_of(f"`{text_col}`").cast("binary").alias("text")).filter(F.length("text") >= length).withColumn("tkey", text_key(F.col("text")))
+    several = rows.groupBy("tkey").agg(F.count(F.lit(1)).alias("w")).filter("w > 1").select(F.xxhash64("tkey").alias("k"))
+    alone, others = split_by(rows, F.xxhash64("tkey"), work.save(several, "copied"))
+    found = others.groupBy("tkey").agg(F.count(F.lit(1)).alias("w"), F.first("text").alias("text"))
+    if alone is not None:
+        found = found.unionByName(alone.withColumn("w", F.lit(1).cast("long")))
+    return work.save(found.withColumn("rid", F.monotonically_increasing_id()), "texts")
+
+
+def scan(held: DataFrame, length: int, gram: int, span: int) -> DataFrame:
+    """rid, w, and the text's segments by rising start as parallel lists: key, seg, n (starts), gap (to the anchor)."""
 
     def run(it):
         for batch in it:
             done = 0
-            for _, held in texts(batch, "text", 1 << 20):
-                o, n, gap, key, seg = anchors(held, length, gram, span)
-                ends = pa.array(np.searchsorted(o, np.arange(len(held) + 1)).astype(np.int32))
+            for _, own in texts(batch, "text", 1 << 20):
+                o, n, gap, key, seg = anchors(own, length, gram, span)
+                ends = pa.array(np.searchsorted(o, np.arange(len(own) + 1)).astype(np.int32))
                 listed = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(x, t))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(held)), pa.array([text_key(t) for t in held], pa.binary()), listed(key, pa.int64()), listed(seg, pa.int64()), listed(n.astype(np.int16), pa.int16()), listed(gap.astype(np.int16), pa.int16())], ["id", "tkey", "key", "seg", "n", "gap"])
-                done += len(held)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(own)), batch.column(1).slice(done, len(own)), listed(key, pa.int64()), listed(seg, pa.int64()), listed(n.astype(np.int16), pa.int16()), listed(gap.astype(np.int16), pa.int16())], ["rid", "w", "key", "seg", "n", "gap"])
+                done += len(own)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, tkey binary, key array<bigint>, seg array<bigint>, n array<smallint>, gap array<smallint>")
+    return held.select("rid", "w", "text").mapInArrow(run, "rid bigint, w bigint, key array<bigint>, seg array<bigint>, n array<smallint>, gap array<smallint>")
 
 
 def split(rows: DataFrame, span: int, length: int) -> DataFrame:
-    """key, seg, rid, lo, n, gap of the finer segments of ``rows``: text and runs, an array of (rid, lo, n, gap)."""
+    """key, seg, rid, w, lo, n, gap of the finer segments of ``rows``: rid, w, text and runs, an array of (lo, n, gap)."""
 
     def run(it):
         for batch in it:
-            for t, runs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(t.as_py(), np.uint8)
-                rid, lo, n, gap = (np.array([r[c] for r in runs], np.int64) for c in ("rid", "lo", "n", "gap"))
+            for rid, w, t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                data = np.frombuffer(t.as_buffer(), np.uint8)
+                lo, n, gap = (np.array([r[c] for r in runs], np.int64) for c in ("lo", "n", "gap"))
                 which, lo, n, key, seg = cells(Spans(data), lo, n, (at := lo + gap), span, length)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(rid[which]), pa.array(lo, pa.int32()), pa.array(n, pa.int16()), pa.array(at[which] - lo, pa.int16())], ["key", "seg", "rid", "lo", "n", "gap"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(np.full(len(key), rid)), pa.array(np.full(len(key), w)), pa.array(lo, pa.int32()), pa.array(n, pa.int16()), pa.array(at[which] - lo, pa.int16())], ["key", "seg", "rid", "w", "lo", "n", "gap"])
 
-    return rows.mapInArrow(run, "key bigint, seg bigint, rid bigint, lo int, n smallint, gap smallint")
+    return rows.mapInArrow(run, "key bigint, seg bigint, rid bigint, w bigint, lo int, n smallint, gap smallint")
+
+
+#: A string for the transform: the key that names its bucket, bytes, weight, and the segments that it has one after the other.
+STRING = "gkey bigint, bytes binary, w bigint, keys array<bigint>, segs array<bigint>, ns array<int>"
+
+
+def strings(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["gkey", "bytes", "w", "keys", "segs", "ns"])
 
 
 def extract(rows: DataFrame, length: int) -> DataFrame:
-    """key, seg, w, bytes of the segments of ``rows``: text and runs, an array of (key, seg, w, lo, n)."""
+    """Strings of the segments of ``rows``: rid, w, text and runs, an array of (key, seg, c, lo, n, rid2, lo2).
+
+    A segment whose key has unlike ones (rid2 is null) is a string with its weight ``c``.  Others
+    have a second place, and those that lie one after the other both here and there are one
+    string; rid2, lo2 and size say where its second place's bytes are.
+    """
 
     def run(it):
         for batch in it:
-            held: list[tuple] = []
-            for t, runs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            held, far = [], []
+            for t, runs in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 text = t.as_py()
-                held += [(r["key"], r["seg"], r["w"], text[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in runs]
+                runs.sort(key=lambda r: r["lo"])
+                at = 0
+                while at < len(runs):
+                    first = last = runs[at]
+                    end = at + 1
+                    if first["rid2"] is not None:
+                        while end < len(runs) and end - at < CHAIN and (q := runs[end])["rid2"] == last["rid2"] and q["lo"] == last["lo"] + last["n"] and q["lo2"] == last["lo2"] + last["n"]:
+                            last, end = q, end + 1
+                    own = runs[at:end]
+                    stop = last["lo"] + last["n"] - 1 + length
+                    held.append((first["key"], text[first["lo"] : stop], first["c"] if first["rid2"] is None else 1, [r["key"] for r in own], [r["seg"] for r in own], [r["n"] for r in own]))
+                    far.append((first["rid2"], first["lo2"], stop - first["lo"]))
+                    at = end
             if held:
-                key, seg, w, own = zip(*held, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seg, pa.int64()), pa.array(w, pa.int64()), pa.array(own, pa.binary())], ["key", "seg", "w", "bytes"])
-
-    return rows.mapInArrow(run, "key bigint, seg bigint, w bigint, bytes binary")
+                rid2, lo2, size = zip(*far, strict=True)
+                b = strings(held)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rid2, pa.int64()), pa.array(lo2, pa.int32()), pa.array(size, pa.int32())], [*b.schema.names, "rid2", "lo2", "size"])
 
-
-def find(segs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """key, seg, and the runs of starts in the segment that repeat: (first, last)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        hits = repeats([x.as_py() for x in table["bytes"]], table["w"].to_numpy(), length)
-        who, first, last = [], [], []
-        for i, h in enumerate(hits):
-            if len(h):
-                a = np.flatnonzero(np.r_[True, np.diff(h) > 1])
-                b = np.r_[a[1:], len(h)] - 1
-                who.append(i)
-                first.append(h[a])
-                last.append(h[b])
-        at = pa.array(who, pa.int64())
-        return pa.table({"key": table["key"].take(at), "seg": table["seg"].take(at), "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32()))})
-
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    return segs.select(bucket, "key", "seg", "w", "bytes").groupBy("bucket").applyInArrow(run, "key bigint, seg bigint, first array<int>, last array<int>")
+    return rows.mapInArrow(run, STRING + ", rid2 bigint, lo2 int, size int")
 
 
-def keyed(docs: DataFrame, text_col: str, *columns: str) -> DataFrame:
-    """tkey, the text as bytes (``_text``), and the named columns."""
+def second_places(rows: DataFrame) -> DataFrame:
+    """Strings of the bytes at the second places: rid, w, text and runs, an array of (gkey, lo, size)."""
 
     def run(it):
         for batch in it:
-            column = batch.column(batch.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(t.as_py()) for t in column], pa.binary())], [*batch.schema.names, "_tkey"])
+            held = [(r["gkey"], t.as_py()[r["lo"] : r["lo"] + r["size"]], 1, [], [], []) for t, runs in zip(batch.column(2), batch.column(3).to_pylist(), strict=True) for r in runs]
+            if held:
+                yield strings(held)
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
-    from pyspark.sql.types import BinaryType, StructType
+    return rows.mapInArrow(run, STRING)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_tkey", BinaryType()))
 
+def find(held: DataFrame, buckets: int, length: int) -> DataFrame:
+    """key, seg, and the runs of starts in the segment that repeat: (first, last)."""
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        hits = repeats([x.as_py() for x in table["bytes"]], table["w"].to_numpy(), length)
+        out: tuple[list, ...] = ([], [], [], [])
+        for h, keys, segs, ns in zip(hits, table["keys"].to_pylist(), table["segs"].to_pylist(), table["ns"].to_pylist(), strict=True):
+            if not len(h) or not keys:
+                continue
+            base = 0
+            whole = len(h) == sum(ns)
+            for key, seg, n in zip(keys, segs, ns, strict=True):
+                if whole:
+                    first, last = [0], [n - 1]
+                else:
+                    own = h[np.searchsorted(h, base) : np.searchsorted(h, base + n)] - base
+                    a = np.flatnonzero(np.r_[True, np.diff(own) > 1]) if len(own) else own
+                    first, last = own[a].tolist(), own[np.r_[a[1:], len(own)] - 1].tolist() if len(own) else []
+                base += n
+                if first:
+                    for c, v in zip(out, (key, seg, first, last), strict=True):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "seg", "first", "last"])
+
+    bucket = F.pmod(F.xxhash64("gkey"), F.lit(buckets)).alias("bucket")
+    return held.select(bucket, "bytes", "w", "keys", "segs", "ns").groupBy("bucket").applyInArrow(run, "key bigint, seg bigint, first array<int>, last array<int>")
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", hot: int = HOT) -> DataFrame:
     """tkey of the distinct texts that lose bytes, and ranges of bytes that go as parallel lists a, b; they may overlap."""
     work = Workspace(docs.sparkSession, "suffix-dedup")
-    rows = work.save(scan(docs, length, gram, id_col, text_col, SPANS[0]).select(F.monotonically_increasing_id().alias("rid"), "*").drop("id"), "rows")
-    names = rows.select("rid", "tkey")
-    whole = keyed(docs, text_col)
+    held = distinct_texts(docs, length, text_col, work)
+    rows = work.save(scan(held, length, gram, SPANS[0]), "rows")
 
     def with_text(runs: DataFrame, fields: list[str]) -> DataFrame:
-        """text and runs of the texts that ``runs`` (rid and fields) are about."""
-        lists = runs.join(names, "rid").groupBy("tkey").agg(F.collect_list(F.struct(*fields)).alias("runs"))
-        return whole.join(lists, F.col("_tkey") == F.col("tkey")).select("_text", "runs")
+        """rid, w, text and runs of the texts that ``runs`` (rid and fields) are about; no others move."""
+        lists = runs.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+        _, asked = split_by(held.select("rid", "w", "text"), F.col("rid"), runs.select("rid").distinct())
+        return asked.join(lists, "rid").select("rid", "w", "text", "runs")
 
-    shared = work.save(rows.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
-    segs = unrolled(rows).join(shared, "key").select("key", "seg", "rid", "lo", "n", "gap")
+    shared = work.save(rows.select("w", F.explode("key").alias("key")).groupBy("key").agg(F.sum("w").alias("c")).filter("c > 1").select("key"), "shared")
+    segs = unrolled(rows).join(shared, "key").select("key", "seg", "rid", "w", "lo", "n", "gap")
     parts = []
     for level in range(len(SPANS)):
         segs = work.save(segs, f"segments-{level}")
-        one = segs.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("rid", "lo", "n")).alias("at"))
+        if not level:
+            work.drop("rows", "shared")
+        place = F.struct("rid", "lo", "n")
+        one = segs.groupBy("key", "seg").agg(F.sum("w").alias("c"), F.min(place).alias("at"), F.max(place).alias("to"))
         one = work.save(one, f"distinct-{level}")
-        met = one.groupBy("key").agg(F.sum("w").alias("c"), F.count(F.lit(1)).alias("d")).filter("c > 1")
+        met = one.groupBy("key").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("d")).filter("all > 1")
         last = level + 1 == len(SPANS)
-        cool = work.save(one.join(met if last else met.filter(F.col("d") <= hot), "key"), f"cool-{level}")
-        # Segments that are all equal have nothing to tell apart: their weight says that they repeat.
-        equal = cool.filter("d = 1").select("key", "seg", F.array(F.lit(0)).alias("first"), F.array(F.col("at.n").cast("int") - 1).alias("last"))
-        own = cool.filter("d > 1").select("key", "seg", "w", F.col("at.rid").alias("rid"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))
-        own = extract(with_text(own, ["key", "seg", "w", "lo", "n"]), length).dropDuplicates(["key", "seg"])
-        own = work.save(own, f"bytes-{level}")
+        cool = one.join(met if last else met.filter(F.col("d") <= hot), "key")
+        # Segments of equal texts alone: the texts are equal as a whole.
+        equal = cool.filter("d = 1 AND at = to").select("key", "seg", F.array(F.lit(0)).alias("first"), F.array(F.col("at.n").cast("int") - 1).alias("last"))
+        second = lambda c: F.when(F.col("d") == 1, F.col(f"to.{c}")).alias(f"{c}2")
+        asked = cool.filter("d > 1 OR at <> to").select(F.col("at.rid").alias("rid"), "key", "seg", "c", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), second("rid"), second("lo"))
+        own = work.save(extract(with_text(asked, ["key", "seg", "c", "lo", "n", "rid2", "lo2"]), length), f"first-{level}")
+        there = own.filter("rid2 IS NOT NULL").select(F.col("rid2").alias("rid"), "gkey", F.col("lo2").alias("lo"), "size")
+        there = work.save(second_places(with_text(there, ["gkey", "lo", "size"])), f"second-{level}")
+        own = own.drop("rid2", "lo2", "size").unionByName(there)
         size = own.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
         found = work.save(find(own, max(1, -(-size // BUCKET_BYTES)), length).unionByName(equal), f"found-{level}")
+        work.drop(f"first-{level}", f"second-{level}")
         parts.append(segs.join(found, ["key", "seg"]).select("rid", F.transform("first", lambda x: x + F.col("lo")).alias("a"), F.transform("last", lambda x: x + F.col("lo") + length).alias("b")))
         if last:
             break
         hot_keys = work.save(met.filter(F.col("d") > hot).select("key"), f"hot-{level}")
         if not hot_keys.limit(1).count():
             break
-        segs = split(with_text(segs.join(hot_keys, "key"), ["rid", "lo", "n", "gap"]), SPANS[level + 1], length).distinct()
+        segs = split(with_text(segs.join(hot_keys, "key"), ["lo", "n", "gap"]), SPANS[level + 1], length)
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    # Equal texts lose the same: one of them speaks for all.
-    single = names.groupBy("tkey").agg(F.min("rid").alias("rid"))
-    return work.save(spans.join(single, "rid").groupBy("tkey").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")), "spans")
+    spans = spans.groupBy("rid").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+    return work.save(spans.join(held.select("rid", "tkey"), "rid").select("tkey", "a", "b"), "spans")
 
 
 def unrolled(rows: DataFrame) -> DataFrame:
-    """A row for each segment of the lists: rid, key, seg, lo, n, gap; a segment starts where those before it end."""
+    """A row for each segment of the lists: rid, w, key, seg, lo, n, gap; a segment starts where those before it end."""
 
     def run(it):
         for batch in it:
-            rid, key, seg, n, gap = batch.columns
+            rid, w, key, seg, n, gap = batch.columns
             sizes = key.value_lengths().to_numpy(zero_copy_only=False)
             n, gap = n.flatten(), gap.flatten()
             count = n.to_numpy().astype(np.int64)
             before = np.cumsum(count) - count
             first = np.cumsum(sizes) - sizes
             base = before[np.minimum(first, max(0, len(before) - 1))] if len(before) else np.zeros(len(sizes), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid.to_numpy(), sizes)), key.flatten(), seg.flatten(), pa.array((before - np.repeat(base, sizes)).astype(np.int32)), n, gap], ["rid", "key", "seg", "lo", "n", "gap"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid.to_numpy(), sizes)), pa.array(np.repeat(w.to_numpy(), sizes)), key.flatten(), seg.flatten(), pa.array((before - np.repeat(base, sizes)).astype(np.int32)), n, gap], ["rid", "w", "key", "seg", "lo", "n", "gap"])
 
-    return rows.select("rid", "key", "seg", "n", "gap").mapInArrow(run, "rid bigint, key bigint, seg bigint, lo int, n smallint, gap smallint")
+    return rows.select("rid", "w", "key", "seg", "n", "gap").mapInArrow(run, "rid bigint, w bigint, key bigint, seg bigint, lo int, n smallint, gap smallint")
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -314,10 +368,18 @@ def whole_characters(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+def _screened(own: DataFrame, text: Column, spans: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that surely lose nothing, the others with their bytes ``_text`` and the lists a, b, null if they lose nothing)."""
+    place = F.xxhash64(text_key(text))
+    alone, others = split_by(own, place, spans.select(F.xxhash64("tkey").alias("k")))
+    others = others.withColumns({"_text": text.cast("binary"), "_tkey": text_key(text)})
+    return alone, others.join(spans, F.col("_tkey") == F.col("tkey"), "left").drop("_tkey", "tkey")
+
+
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated(docs, length, gram, id_col, text_col, hot)
+    spans = repeated(docs, length, gram, text_col, hot)
 
     def run(it):
         for batch in it:
@@ -328,13 +390,16 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
             size, removed, count, sha = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = keyed(docs.withColumnRenamed(id_col, "doc_id"), text_col, "doc_id").join(spans, F.col("_tkey") == F.col("tkey"), "left").select("doc_id", "_text", "a", "b")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
+    alone, others = _screened(own, F.col("text"), spans)
+    found = others.select("doc_id", "_text", "a", "b").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    return found if alone is None else found.unionByName(alone.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` without the repeated bytes; characters that would be broken go whole."""
-    spans = repeated(docs, length, gram, id_col, text_col, hot)
+    spans = repeated(docs, length, gram, text_col, hot)
     mine = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()])
     kinds = {n: own.schema[n].dataType.simpleString() for n in mine.values()}
@@ -346,9 +411,10 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
                 out.append(without(t.as_py(), whole_characters(t.as_py(), gone)).decode("utf-8", "replace") if gone else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], [*batch.schema.names[:-3], "_new"])
 
-    rows = keyed(own, mine[text_col], *mine.values()).join(spans, F.col("_tkey") == F.col("tkey"), "left").select(*mine.values(), "_text", "a", "b")
-    rows = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _new string")
-    return rows.select(*[(F.coalesce("_new", n) if c == text_col else F.col(n)).alias(c) for c, n in mine.items()])
+    alone, others = _screened(own, text_of(mine[text_col]), spans)
+    rows = others.select(*mine.values(), "_text", "a", "b").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _new string")
+    rows = rows.select(*[(F.coalesce("_new", n) if n == mine[text_col] else F.col(n)).alias(n) for n in mine.values()])
+    return (rows if alone is None else rows.unionByName(alone)).select(*[F.col(n).alias(c) for c, n in mine.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
