@@ -164,42 +164,42 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (with a length of 1 to ``capacity``) plus sequence_id and offset."""
+    """``items`` (with a length of 1 to ``capacity``) plus sequence_id and offset, in place of columns of these names if there are any."""
     spark = items.sparkSession
+    mine = {c: f"_in_{i}" for i, c in enumerate(c for c in items.columns if c not in ("sequence_id", "offset"))}
+    size = mine["length"]
     # Written first: ranks must not change when a task runs again.
-    held = Workspace(spark, "packing").save(items, "pieces")
+    held = Workspace(spark, "packing").save(items.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]), "pieces")
     total = held.count()
     subs = max(1, -(-total // SUB_ROWS))
     own = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(subs))
     rows = held.select("*", own.alias("_sub"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counted = rows.groupBy("length", "_sub").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(F.col(size).alias("length"), "_sub").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    if any(not 0 < s <= capacity for s in histogram):
+    if any(s is None or not 0 < s <= capacity for s in histogram):
         raise ValueError("lengths must be 1 to the capacity")
     runs, _ = plan(histogram, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     told = spark.sparkContext.broadcast(runs)
     before = Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("length", "_sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_sub").orderBy("_file", "_row")
-    ranked = rows.withColumn("_in", F.row_number().over(within)).join(bases, ["length", "_sub"]).select(*items.columns, (F.col("_base") + F.col("_in") - 1).alias("_rank"))
+    bases = counted.select(F.col("length").alias(size), "_sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(size, "_sub").orderBy("_file", "_row")
+    ranked = rows.withColumn("_at", F.row_number().over(within)).join(bases, [size, "_sub"]).select(*mine.values(), (F.col("_base") + F.col("_at") - 1).alias("_rank"))
 
-    names = items.columns
+    names = list(mine.values())
 
     def place(it):
         runs = told.value
         keys = (runs[:, 0] << 48) + runs[:, 1]
         for batch in it:
-            n, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            n, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (size, "_rank"))
             run = runs[np.searchsorted(keys, (n << 48) + rank, "right") - 1]
             k = rank - run[:, 1]
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
             yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(run[:, 3] + k // run[:, 4]), "offset": pa.array(run[:, 5] + k % run[:, 4] * n)})
 
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*items.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.mapInArrow(place, schema)
+    schema = ", ".join(f"{n} {held.schema[n].dataType.simpleString()}" for n in names) + ", sequence_id bigint, offset bigint"
+    return ranked.mapInArrow(place, schema).select(*[F.col(n).alias(c) for c, n in mine.items()], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

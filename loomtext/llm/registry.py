@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe_transducer, exact_dedup, jaccard, packing, quality, sharding, suffix_dedup, token_counts, warc
+from . import ann, bpe_transducer, exact_dedup, jaccard, packing, pipeline, quality, sharding, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_warc": warc.query,
         "op2_exact_dedup": exact_dedup.query,
@@ -19,12 +17,10 @@ def queries() -> dict:
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_jaccard_join": jaccard.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    held = {"op1_warc": warc.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    held = {"op1_warc": warc.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "pipeline": pipeline.ORACLE_SQL}
     return {k: v for k, v in held.items() if v}
