@@ -1,59 +1,5 @@
-"""From raw documents to packed training sequences.
+"""From raw documents to packed training sequences: the stages, and a run of them over a folder of tables."""
 
-Each stage is written as Parquet under the shared folder and reread as the next
-stage's input.  All but the last return the columns of ``documents``.
-"""
+from loomtext.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from loomtext.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
-from loomtext.llm.common import Workspace, documents
-
-
-def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at least 0.5; it learns from the labels of the raw documents."""
-    return quality.keep(docs, quality.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
-    return exact_dedup.deduplicate(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of five-word shingles at a similarity of 0.8."""
-    return jaccard.keep_one(docs, words=5, percent=80)
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes that start elsewhere too."""
-    return suffix_dedup.remove(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences of 1024."""
-    import public_tokenizers
-
-    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
-
-
-STAGES = [
-    ("quality", classify_quality),
-    ("exact_dedup", drop_exact_copies),
-    ("near_copies", drop_near_copies),
-    ("suffix_dedup", remove_repeats),
-    ("packing", pack_sequences),
-]
-
-#: No SQL states the classifier or the packing; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
