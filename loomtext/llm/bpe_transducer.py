@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, texts
+from .common import BoundedCache, documents, lean, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # The characters of Unicode's White_Space property.
@@ -310,7 +310,7 @@ def transcode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ never a recomputation of everything upstream.
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,7 @@ class Workspace:
             if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="loomtext-")
+        small_batches(spark)
         self.spark, self.kept = spark, False
         self.path = f"{base.rstrip('/')}/loomtext/{name}-{uuid.uuid4().hex}"
 
@@ -65,6 +69,13 @@ class Workspace:
             fs.delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have whole texts cross to Python 1,000 rows at a time, unless the session names a number: Spark's own would be held by each task several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files that nothing refers to.
 
@@ -76,6 +87,52 @@ def release(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+@cache
+def _c_library():
+    """The C library, told to take large arrays from the system one by one, so that they go back when freed; None where there is none like it."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        library.malloc_trim(0)
+        return library
+    except (AttributeError, OSError):
+        return None
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function for Arrow batches, a table or two tables, after which a worker, which goes on to other tasks, holds only what is in use."""
+    if inspect.isgeneratorfunction(run):
+
+        def wrapped(it):
+            _c_library()
+            yield from run(it)
+            _give_back()
+
+    elif len(inspect.signature(run).parameters) == 2:
+
+        def wrapped(left, right):
+            _c_library()
+            out = run(left, right)
+            _give_back()
+            return out
+
+    else:
+
+        def wrapped(table):
+            _c_library()
+            out = run(table)
+            _give_back()
+            return out
+
+    return wrapped
+
+
 def text_of(column: str = "text"):
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -101,6 +158,7 @@ def texts(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Itera
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, text_of
+from .common import Workspace, documents, lean, text_of
 from .screen import BUCKET_ROWS, BinaryFuse, split_by
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -64,7 +64,7 @@ def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         return pa.table({"bucket": table["bucket"][:1], "filter": pa.array([BinaryFuse.build(_key64(table["sha"])).to_bytes()], pa.binary())})
 
-    return snapshot.select("sha", _bucket(buckets)).groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
+    return snapshot.select("sha", _bucket(buckets)).groupBy("bucket").applyInArrow(lean(build), "bucket int, filter binary")
 
 
 def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
@@ -75,7 +75,7 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
             return left.select(["sha"]).slice(0, 0)
         return left.select(["sha"]).filter(pa.array(BinaryFuse.from_bytes(right["filter"][0].as_py()).contains(_key64(left["sha"]))))
 
-    return batch.select("sha", _bucket(buckets)).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "sha binary")
+    return batch.select("sha", _bucket(buckets)).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(lean(probe), "sha binary")
 
 
 def resolve(docs: DataFrame, batch_col, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -40,14 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import ranges
-from .common import BoundedCache, Workspace, documents, text_of, texts
+from .common import BoundedCache, Workspace, documents, lean, text_of, texts
 from .graph import components
 from .screen import split_by
 
 WORDS, PERCENT = 3, 90
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: N-grams that a task holds at a time, of a slice of its rows or of a fragment (8 bytes each; more ask for more memory of workers).
-HELD = 2_000_000
+#: N-grams that a task holds at a time: of a fragment, of a slice of its rows (8 bytes each; more ask for more memory of workers).
+HELD, SLICE = 2_000_000, 1_000_000
 #: Sets of a slice from which an n-gram counts as frequent.
 HEAVY = 24
 #: Rank of frequent n-grams in the global order; others have the logarithm of their frequency.
@@ -124,7 +124,7 @@ def cut(docs: DataFrame, words: int, fragments: int, id_col: str, text_col: str)
         """The members of a slice's distinct sets, fragment by fragment."""
         heads = np.frombuffer(b"".join(held), np.dtype([("a", "<u8"), ("b", "<u4")]))
         heads = np.rec.fromarrays([heads["a"], heads["b"], [len(g) for g in held.values()], np.zeros(len(heads))], dtype=HEAD)
-        owner = np.repeat(np.arange(len(heads)), heads["n"])
+        owner = np.repeat(np.arange(len(heads), dtype=np.int32), heads["n"])
         grams = np.concatenate(list(held.values()))
         order = np.argsort(grams, kind="stable")  # owners rise among equal n-grams
         grams, owner = grams[order], owner[order]
@@ -163,7 +163,7 @@ def cut(docs: DataFrame, words: int, fragments: int, id_col: str, text_col: str)
                     if len(g) and names[-1] not in held:
                         held[names[-1]] = g
                         size += len(g)
-                    if size >= HELD:
+                    if size >= SLICE:
                         yield from slices(held, id_type)
                         held, size = {}, 0
                 yield send([(at + i) % fragments for i in range(len(own))], 3, id_type, id=batch.column(0).slice(done, len(own)), n=n, set=names)
@@ -172,13 +172,21 @@ def cut(docs: DataFrame, words: int, fragments: int, id_col: str, text_col: str)
             yield from slices(held, id_type)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"frag int, kind tinyint, id {kind}, heads binary, grams binary, n bigint, set binary")
+    return rows.mapInArrow(lean(run), f"frag int, kind tinyint, id {kind}, heads binary, grams binary, n bigint, set binary")
 
 
-def unpack(heads: pa.ChunkedArray, *values: tuple[pa.ChunkedArray, type]) -> list[np.ndarray]:
-    """The heads, and the columns of values, of all rows one after the other."""
-    joined = lambda col, t: np.frombuffer(b"".join(x.as_py() for x in col if x.is_valid), t)
-    return [joined(heads, HEAD), *[joined(c, t) for c, t in values]]
+def unpack(table: pa.Table, **columns) -> list[np.ndarray]:
+    """The bytes of the named columns, all rows one after the other, as arrays of the types given."""
+    out = []
+    for name, kind in columns.items():
+        parts = []
+        for chunk in table[name].chunks:
+            chunk = chunk.drop_null()
+            if len(chunk):
+                ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+        out.append((np.concatenate(parts) if len(parts) != 1 else parts[0].copy()).view(kind) if parts else np.zeros(0, kind))
+    return out
 
 
 def distinct_sets(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +194,7 @@ def distinct_sets(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((heads["b"], heads["a"]))
     held = heads[order]
     new = np.r_[True, (held["a"][1:] != held["a"][:-1]) | (held["b"][1:] != held["b"][:-1])] if len(held) else np.zeros(0, bool)
-    place = np.empty(len(heads), np.int64)
+    place = np.empty(len(heads), np.int32)
     place[order] = np.cumsum(new) - 1
     return held[new], place
 
@@ -203,9 +211,11 @@ def count_fragments(pieces: DataFrame, buckets: int) -> DataFrame:
             part = table.filter(pa.array(kind == k))
             if not part.num_rows:
                 continue
-            heads, grams = unpack(part["heads"], (part["grams"], np.uint64))
+            heads, grams = unpack(part, heads=HEAD, grams=np.uint64)
+            del part
             sets, place = distinct_sets(heads)
             owner = np.repeat(place, heads["c"])
+            del heads, place
             if k:
                 rank = np.full(len(grams), LAST, np.uint8)
             else:
@@ -215,11 +225,13 @@ def count_fragments(pieces: DataFrame, buckets: int) -> DataFrame:
                 grams, owner = grams[by], owner[by]
                 again = np.r_[False, (grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])]  # copies that came from other tasks
                 grams, owner = grams[~again], owner[~again]
+                del by, again
                 first, count = runs(grams)
-                marks = np.unique(np.frombuffer(b"".join(x.as_py() for x in table.filter(pa.array(kind == 2))["grams"]), np.uint64))
+                marks = np.unique(*unpack(table.filter(pa.array(kind == 2)), grams=np.uint64))
                 level = np.where(np.isin(grams[first], marks), LAST, np.log2(count).astype(np.int64)).astype(np.uint8)
                 rank, shared = np.repeat(level, count), np.repeat((count > 1) | (level == LAST), count)
                 grams, owner, rank = grams[shared], owner[shared], rank[shared]
+                del first, count, level, shared
             bucket = (sets["a"] % np.uint64(buckets)).astype(np.int64)[owner]
             by = np.lexsort((owner, bucket))
             grams, owner, rank, bucket = grams[by], owner[by], rank[by], bucket[by]
@@ -231,7 +243,7 @@ def count_fragments(pieces: DataFrame, buckets: int) -> DataFrame:
         return pa.concat_tables(out)
 
     kind = pieces.schema["id"].dataType.simpleString()
-    return pieces.groupBy("frag").applyInArrow(run, f"bucket int, heads binary, grams binary, ranks binary, n bigint, set binary, id {kind}")
+    return pieces.groupBy("frag").applyInArrow(lean(run), f"bucket int, heads binary, grams binary, ranks binary, n bigint, set binary, id {kind}")
 
 
 def bounds(grams: np.ndarray) -> np.ndarray:
@@ -254,7 +266,7 @@ def gather(shared: DataFrame, percent: int) -> DataFrame:
     schema = "set binary, n bigint, own bigint, grams binary, rare array<bigint>, bounds array<bigint>"
 
     def run(table: pa.Table) -> pa.Table:
-        heads, grams, rank = unpack(table["heads"], (table["grams"], np.uint64), (table["ranks"], np.uint8))
+        heads, grams, rank = unpack(table, heads=HEAD, grams=np.uint64, ranks=np.uint8)
         sets, place = distinct_sets(heads)
         owner = np.repeat(place, heads["c"])
         by = np.lexsort((grams, rank, owner))
@@ -273,7 +285,7 @@ def gather(shared: DataFrame, percent: int) -> DataFrame:
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("set", "n", "own", "grams", "rare", "bounds"), cols, kinds, strict=True)})
 
-    return shared.filter("bucket IS NOT NULL").select("bucket", "heads", "grams", "ranks").groupBy("bucket").applyInArrow(run, schema)
+    return shared.filter("bucket IS NOT NULL").select("bucket", "heads", "grams", "ranks").groupBy("bucket").applyInArrow(lean(run), schema)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -297,7 +309,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "block", "node", "grams"])
 
-    pieces = sets.select("node", "grams").join(wanted, "node").select("node", "block", "grams").mapInArrow(split, "part int, block int, node bigint, grams binary")
+    pieces = sets.select("node", "grams").join(wanted, "node").select("node", "block", "grams").mapInArrow(lean(split), "part int, block int, node bigint, grams binary")
     asked = pairs.select(F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), block, "a", "b")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -328,7 +340,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         some = inter > 0
         return pa.table({"a": pa.array(a[some]), "b": pa.array(b[some]), "inter": pa.array(inter[some])})
 
-    partial = pieces.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(count, "a bigint, b bigint, inter bigint")
+    partial = pieces.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(lean(count), "a bigint, b bigint, inter bigint")
     return pairs.join(partial.groupBy("a", "b").agg(F.sum("inter").alias("inter")), ["a", "b"]).select("a", "b", "total", "inter")
 
 

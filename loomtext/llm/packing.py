@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, texts
+from .common import Workspace, documents, lean, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -199,7 +199,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(run[:, 3] + k // run[:, 4]), "offset": pa.array(run[:, 5] + k % run[:, 4] * n)})
 
     schema = ", ".join(f"{n} {held.schema[n].dataType.simpleString()}" for n in names) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema).select(*[F.col(n).alias(c) for c, n in mine.items()], "sequence_id", "offset")
+    return ranked.mapInArrow(lean(place), schema).select(*[F.col(n).alias(c) for c, n in mine.items()], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

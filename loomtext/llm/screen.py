@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Keys to a bucket, so that a bucket and its filter fit a Python worker many times over.
 BUCKET_ROWS = 200_000
 #: Keys whose filters are broadcast: 16 million take less than 40 MB.
@@ -109,7 +111,7 @@ def split_by(rows: DataFrame, key: Column, keys: DataFrame, most: int = MOST_KEY
         own = table["k"].to_numpy().view(np.uint64)
         return pa.table({"bucket": table["bucket"][:1], "filter": pa.array([BinaryFuse.build(own).to_bytes()], pa.binary())})
 
-    made = told.select("k", F.pmod("k", F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(build, "bucket bigint, filter binary").collect() if n else []
+    made = told.select("k", F.pmod("k", F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(lean(build), "bucket bigint, filter binary").collect() if n else []
     held = rows.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in made})
     ready: dict[int, BinaryFuse] = {}
 

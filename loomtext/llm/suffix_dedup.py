@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import ranges
-from .common import Workspace, documents, text_of, texts
+from .common import Workspace, documents, lean, text_of, texts
 from .screen import split_by
 from .suffix_array import repeats
 
@@ -162,7 +162,7 @@ def scan(held: DataFrame, length: int, gram: int, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(own)), batch.column(1).slice(done, len(own)), listed(key, pa.int64()), listed(seg, pa.int64()), listed(n.astype(np.int16), pa.int16()), listed(gap.astype(np.int16), pa.int16())], ["rid", "w", "key", "seg", "n", "gap"])
                 done += len(own)
 
-    return held.select("rid", "w", "text").mapInArrow(run, "rid bigint, w bigint, key array<bigint>, seg array<bigint>, n array<smallint>, gap array<smallint>")
+    return held.select("rid", "w", "text").mapInArrow(lean(run), "rid bigint, w bigint, key array<bigint>, seg array<bigint>, n array<smallint>, gap array<smallint>")
 
 
 def split(rows: DataFrame, span: int, length: int) -> DataFrame:
@@ -176,7 +176,7 @@ def split(rows: DataFrame, span: int, length: int) -> DataFrame:
                 which, lo, n, key, seg = cells(Spans(data), lo, n, (at := lo + gap), span, length)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(np.full(len(key), rid)), pa.array(np.full(len(key), w)), pa.array(lo, pa.int32()), pa.array(n, pa.int16()), pa.array(at[which] - lo, pa.int16())], ["key", "seg", "rid", "w", "lo", "n", "gap"])
 
-    return rows.mapInArrow(run, "key bigint, seg bigint, rid bigint, w bigint, lo int, n smallint, gap smallint")
+    return rows.mapInArrow(lean(run), "key bigint, seg bigint, rid bigint, w bigint, lo int, n smallint, gap smallint")
 
 
 #: A string for the transform: the key that names its bucket, bytes, weight, and the segments that it has one after the other.
@@ -219,7 +219,7 @@ def extract(rows: DataFrame, length: int) -> DataFrame:
                 b = strings(held)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rid2, pa.int64()), pa.array(lo2, pa.int32()), pa.array(size, pa.int32())], [*b.schema.names, "rid2", "lo2", "size"])
 
-    return rows.mapInArrow(run, STRING + ", rid2 bigint, lo2 int, size int")
+    return rows.mapInArrow(lean(run), STRING + ", rid2 bigint, lo2 int, size int")
 
 
 def second_places(rows: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def second_places(rows: DataFrame) -> DataFrame:
             if held:
                 yield strings(held)
 
-    return rows.mapInArrow(run, STRING)
+    return rows.mapInArrow(lean(run), STRING)
 
 
 def find(held: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -261,7 +261,7 @@ def find(held: DataFrame, buckets: int, length: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "seg", "first", "last"])
 
     bucket = F.pmod(F.xxhash64("gkey"), F.lit(buckets)).alias("bucket")
-    return held.select(bucket, "bytes", "w", "keys", "segs", "ns").groupBy("bucket").applyInArrow(run, "key bigint, seg bigint, first array<int>, last array<int>")
+    return held.select(bucket, "bytes", "w", "keys", "segs", "ns").groupBy("bucket").applyInArrow(lean(run), "key bigint, seg bigint, first array<int>, last array<int>")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -328,7 +328,7 @@ def unrolled(rows: DataFrame) -> DataFrame:
             base = before[np.minimum(first, max(0, len(before) - 1))] if len(before) else np.zeros(len(sizes), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid.to_numpy(), sizes)), pa.array(np.repeat(w.to_numpy(), sizes)), key.flatten(), seg.flatten(), pa.array((before - np.repeat(base, sizes)).astype(np.int32)), n, gap], ["rid", "w", "key", "seg", "lo", "n", "gap"])
 
-    return rows.select("rid", "w", "key", "seg", "n", "gap").mapInArrow(run, "rid bigint, w bigint, key bigint, seg bigint, lo int, n smallint, gap smallint")
+    return rows.select("rid", "w", "key", "seg", "n", "gap").mapInArrow(lean(run), "rid bigint, w bigint, key bigint, seg bigint, lo int, n smallint, gap smallint")
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -392,7 +392,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
 
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     alone, others = _screened(own, F.col("text"), spans)
-    found = others.select("doc_id", "_text", "a", "b").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = others.select("doc_id", "_text", "a", "b").mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     none = F.lit(0).cast("long")
     return found if alone is None else found.unionByName(alone.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
 
@@ -412,7 +412,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], [*batch.schema.names[:-3], "_new"])
 
     alone, others = _screened(own, text_of(mine[text_col]), spans)
-    rows = others.select(*mine.values(), "_text", "a", "b").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _new string")
+    rows = others.select(*mine.values(), "_text", "a", "b").mapInArrow(lean(run), ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _new string")
     rows = rows.select(*[(F.coalesce("_new", n) if n == mine[text_col] else F.col(n)).alias(n) for n in mine.values()])
     return (rows if alone is None else rows.unionByName(alone)).select(*[F.col(n).alias(c) for c, n in mine.items()])
 

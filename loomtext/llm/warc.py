@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batches
+from .common import Workspace, batches, lean
 
 CRLF = "\r\n"
 #: Rows of a file at most: readers take whole files.
@@ -165,7 +165,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0):
                 yield from batches((_row(h, block) for h, block in parse(data.as_py())), schema)
 
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(lean(run), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
