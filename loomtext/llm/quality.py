@@ -4,8 +4,8 @@ Every word has a sparse ternary index vector drawn from a hash of the word.  A
 word's vector is its own index vector plus those of its neighbours in all
 documents (random indexing, no labels), scaled to unit length; tasks sum what
 they read, and the sums are added up by blocks of slots; words live in ``SLOTS`` hashed
-slots, so the model's size is fixed.  Case is kept, and runs of letters, digits and
-signs are words.  A document is two pooled vectors: the mean of its words' vectors,
+slots, so the model's size is fixed.  Case is kept; words are runs of letters,
+digits and underscores, and runs of signs.  A document is two pooled vectors: the mean of its words' vectors,
 rare words weighing more, and the mean of the products of neighbours' vectors
 (component by component), which binds a word to the one before it.  A two-layer
 numpy network over these gives the logit of label 1, and a temperature fitted on a
@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, texts
+from .common import BoundedCache, documents, lean, texts
 
-SLOTS, DIM, ONES, WINDOW = 1 << 15, 128, 6, 2
+SLOTS, DIM, ONES, WINDOW = 1 << 15, 64, 6, 2
 HIDDEN, EPOCHS, MAX_ROWS = 48, 60, 4000
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 def slot_of(word: str) -> int:
@@ -150,7 +150,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([context.tobytes()], pa.binary())], ["block", "counts", "context"])
 
     counts, context = np.zeros(SLOTS), np.zeros_like(index)
-    for r in docs.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect():
+    for r in docs.mapInArrow(lean(run), schema).groupBy("block").applyInArrow(add, schema).collect():
         at = slice(r["block"] * size, (r["block"] + 1) * size)
         counts[at], context[at] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["context"], np.int64).reshape(size, DIM)
     norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         model = train([r[2] for r in found], np.array([r[3] for r in found]), *told.value)
         yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]}, schema=pa.schema([("model", pa.binary())]))
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.repartition(1).mapInArrow(lean(run), "model binary").first()
     return bytes(made["model"]) if made else train([], np.zeros(0), *vectors).to_bytes()
 
 
@@ -236,7 +236,7 @@ def _scored(rows: DataFrame, model: bytes, text_col: str) -> DataFrame:
                 out += own.scores(np.array([own.pool(reader(t.decode("utf-8", "replace"))) for t in held])).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_score"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_score", DoubleType()))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields]).add("_score", DoubleType()))
 
 
 def classify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
