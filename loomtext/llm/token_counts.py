@@ -6,7 +6,8 @@ never cross the places before a run of spaces or around a line feed.  A text is
 the concatenation of such pre-tokens and its count the sum of theirs.
 
 The first tier is a compact table of frequent pre-tokens and their lengths,
-learned from ``sample_rows`` rows (a parameter; it decides speed only) and
+learned from ``sample_rows`` rows (a parameter; it decides speed only) of the first
+``PARTS`` partitions, each of which sends its most frequent ones to the driver, and
 broadcast: at most ``table_size`` pre-tokens of 48 characters.  Misses are encoded
 by the library and held in a bounded cache of the worker.  There is no shuffle.
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, texts
+from .common import BoundedCache, documents, lean, texts
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+#: Partitions whose first rows the table is learned from.
+PARTS = 4
 SPACE = "▁"
 #: Spaces and what follows, up to a space or line feed; or trailing spaces; or a line feed.
 PRETOKEN = re.compile(" *[^ \n]+| +|\n")
@@ -78,8 +81,8 @@ def piece_length(model):
 
 
 def pack(lengths: dict[str, int]) -> bytes:
-    """The compact table: lengths as 16-bit numbers, then the pre-tokens, NUL between them."""
-    held = {k: v for k, v in lengths.items() if "\0" not in k and v < 65536}
+    """The compact table: lengths as 32-bit numbers, then the pre-tokens, NUL between them."""
+    held = {k: v for k, v in lengths.items() if "\0" not in k and v < 1 << 32}
     return np.array([len(held), *held.values()], np.uint32).tobytes() + "\0".join(held).encode()
 
 
@@ -89,21 +92,32 @@ def unpack(data: bytes) -> dict[str, int]:
 
 
 def frequent(docs: DataFrame, path: str, text_col: str = "text", sample_rows: int = 2000, table_size: int = 16384) -> bytes:
-    """The packed table of the pre-tokens most frequent in ``sample_rows`` rows."""
+    """The packed table of the pre-tokens most frequent in ``sample_rows`` rows.
+
+    Every partition would give one row, and only the first few are asked for, so no more are run.
+    """
+    own_rows = max(1, sample_rows // PARTS)
 
     def count(it):
-        model, seen = load(path), Counter()
+        seen, left = Counter(), own_rows
         for batch in it:
-            for _, held in texts(batch, text_col):
+            for _, held in texts(batch.slice(0, left), "text"):
                 for t in held:
                     seen.update(x for x in pretokens(t.decode("utf-8", "replace")) if len(x) <= 48)
-                if len(seen) > 2_000_000:
-                    seen = Counter(dict(seen.most_common(1_000_000)))
-        length = piece_length(model)
-        yield pa.RecordBatch.from_pydict({"table": [pack({k: length(k) for k, _ in seen.most_common(table_size)})]}, schema=pa.schema([("table", pa.binary())]))
-
-    rows = docs.select(text_col).limit(sample_rows).coalesce(1).mapInArrow(count, "table binary").collect()
-    return bytes(rows[0]["table"]) if rows else pack({})
+                if len(seen) > 1_000_000:
+                    seen = Counter(dict(seen.most_common(500_000)))
+            left -= min(left, batch.num_rows)
+            if not left:
+                break
+        top, length = seen.most_common(table_size), piece_length(load(path))
+        yield pa.RecordBatch.from_pydict({"token": pa.array([[k for k, _ in top]], pa.list_(pa.string())), "n": pa.array([[n for _, n in top]], pa.list_(pa.int64())), "length": pa.array([[length(k) for k, _ in top]], pa.list_(pa.int64()))})
+
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(count), "token array<string>, n array<bigint>, length array<bigint>").take(PARTS)
+    seen, lengths = Counter(), {}
+    for r in rows:
+        seen.update(dict(zip(r["token"], r["n"], strict=True)))
+        lengths |= dict(zip(r["token"], r["length"], strict=True))
+    return pack({k: lengths[k] for k, _ in seen.most_common(table_size)})
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, **table) -> DataFrame:
@@ -130,7 +144,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     counts.append(sum(map(tiers, pretokens(t.decode("utf-8", "replace")))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
