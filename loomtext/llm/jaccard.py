@@ -420,7 +420,8 @@ def classed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     own = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
     told = own.join(sets.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("root", "node").alias("top")), "set", "left")
     named = told.filter("top IS NOT NULL").groupBy("top").agg(F.min("id").alias("component_id"))
-    told = told.join(named, "top", "left").select("set", "top", F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = told.filter("top IS NULL").select("set", "top", F.col("id").alias("component_id"))
+    told = told.filter("top IS NOT NULL").join(named, "top").select("set", "top", "component_id").unionByName(alone)
     return rows, work.save(told, "classes"), work
 
 
