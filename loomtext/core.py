@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _free(taken: Collection[str], name: str) -> str:
+    """``name`` with as many underscores before it as make it a name that is not taken."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 class ChunkExpr(ABC):
     """Makes chunks of a corpus."""
 
@@ -59,6 +66,8 @@ class Corpus:
     """A table of atoms and named chunks of them."""
 
     def __init__(self, atoms: DataFrame):
+        if "_chunk" in atoms.columns:
+            raise ValueError("atoms cannot have a column _chunk")
         self.atoms = atoms
         self.chunks: dict[str, Chunks] = {}
 
@@ -67,9 +76,11 @@ class Corpus:
         return self.chunks[expr] if isinstance(expr, str) else expr(self)
 
     def set_chunk(self, name: str, chunks: Chunks, persist: bool = True) -> None:
-        """Store chunks of this corpus by name; they are kept by Spark unless ``persist`` is false."""
+        """Store chunks of this corpus by name; they are kept by Spark unless ``persist`` is false, and those that had the name no more."""
         if chunks.corpus is not self:
             raise ValueError("the chunks belong to another corpus")
+        if name in self.chunks and self.chunks[name] is not chunks:
+            self.unpersist(name)
         if persist:
             chunks.chunks.persist()
             chunks.chunk_atoms.persist()
@@ -144,17 +155,19 @@ class Chunks:
         for name, e in exprs.items():
             if not callable(e) or isinstance(e, str):
                 raise TypeError(f"{name} is not an attribute expression")
-        out = self.chunks
+        out, names = self.chunks, {}
+        for n in exprs:
+            names[n] = _free([*self.chunks.columns, *exprs, *names.values()], f"_{n}")
+        own = _free([*self.chunks.columns, *exprs, *names.values()], "_id")
         fused = {n: e for n, e in exprs.items() if isinstance(e, AtomAggregate)}
         if fused:
-            names = {n: f"_agg{i}" for i, n in enumerate(fused)}
-            rows = self.members().groupBy("_chunk").agg(*[e.aggregate(self).alias(names[n]) for n, e in fused.items()])
-            out = out.join(rows, F.col("id") == F.col("_chunk"), "left").drop("_chunk")
-            out = out.withColumns({n: e.finish(F.col(names[n])) for n, e in fused.items()}).drop(*names.values())
+            rows = self.members().groupBy(F.col("_chunk").alias(own)).agg(*[e.aggregate(self).alias(names[n]) for n, e in fused.items()])
+            out = out.join(rows, F.col("id") == F.col(f"`{own}`"), "left").drop(own)
+            out = out.withColumns({n: e.finish(F.col(f"`{names[n]}`")) for n, e in fused.items()}).drop(*[names[n] for n in fused])
         for name, e in exprs.items():
             if name not in fused:
-                values = e(self).select(F.col("id").alias("_id"), F.col("value").alias(name))
-                out = out.join(values, F.col("id") == F.col("_id"), "left").drop("_id")
+                values = e(self).select(F.col("id").alias(own), F.col("value").alias(name))
+                out = out.join(values, F.col("id") == F.col(f"`{own}`"), "left").drop(own)
         return out
 
     def enrich(self, **exprs: AttrExpr) -> Chunks:
@@ -174,6 +187,10 @@ class Chunks:
         """A table of attributes by name, then of aliases and computed attributes by keyword."""
         if missing := [a for a in [*attrs, *(e for e in exprs.values() if isinstance(e, str))] if a not in self.chunks.columns]:
             raise KeyError(missing[0])
-        made = {f"_new_{n}": e for n, e in exprs.items() if not isinstance(e, str)}
+        new: dict[str, str] = {}
+        for n, e in exprs.items():
+            if not isinstance(e, str):
+                new[n] = _free([*self.chunks.columns, *new.values()], f"_new_{n}")
+        made = {new[n]: exprs[n] for n in new}
         rows = self._with(made) if made else self.chunks
-        return rows.select(*[F.col(f"`{a}`") for a in attrs], *[F.col(f"`{e}`" if isinstance(e, str) else f"`_new_{n}`").alias(n) for n, e in exprs.items()])
+        return rows.select(*[F.col(f"`{a}`") for a in attrs], *[F.col(f"`{new.get(n, e)}`").alias(n) for n, e in exprs.items()])

@@ -27,13 +27,11 @@ class Tfidf(AttrExpr):
     ``analyzer`` ("word", "char", "char_wb" or a callable)``, tokenizer, preprocessor, strip_accents``.
     """
 
-    REJECTED = ("input", "encoding", "decode_error", "dtype")
-
     def __init__(self, stringifier: AttrExpr, query: str, *, lowercase: bool = True, token_pattern: str = DEFAULT, stop_words: list[str] | None = None, ngram_range: tuple[int, int] = (1, 1), binary: bool = False, min_df: float = 1, max_df: float = 1.0, max_features: int | None = None, vocabulary=None, norm: str | None = "l2", use_idf: bool = True, smooth_idf: bool = True, sublinear_tf: bool = False, analyzer: str | Callable = "word", tokenizer: Callable | None = None, preprocessor: Callable | None = None, strip_accents: str | Callable | None = None, **other):
         if other:
             raise TypeError(f"not supported: {sorted(other)}")
         if isinstance(stop_words, str):
-            raise ValueError("stop_words must be a list")
+            raise ValueError("stop_words must be a list of words; no list goes by a name")
         if norm not in ("l1", "l2", None):
             raise ValueError("norm must be l1, l2 or None")
         if not 1 <= ngram_range[0] <= ngram_range[1]:
@@ -95,11 +93,11 @@ class Tfidf(AttrExpr):
     def _idf(self, counts: DataFrame, total: DataFrame) -> DataFrame:
         """(term, idf) of the vocabulary."""
         share = lambda x: F.lit(x) * F.col("_all") if isinstance(x, float) else F.lit(x)
-        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_sum")).crossJoin(F.broadcast(total))
+        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.lit(1) if self.binary else F.col("tf")).alias("_sum")).crossJoin(F.broadcast(total))
         if self.vocabulary is not None:
             df = df.filter(F.col("term").isin(self.vocabulary))
         else:
-            if self.min_df != 1:
+            if isinstance(self.min_df, float) or self.min_df > 1:
                 df = df.filter(F.col("df") >= share(self.min_df))
             if not (isinstance(self.max_df, float) and self.max_df == 1.0):
                 df = df.filter(F.col("df") <= share(self.max_df))

@@ -67,8 +67,11 @@ class RegexMatchChunk(ChunkExpr):
         names = corpus.atoms.columns
         row = F.struct(F.col("ordinal").alias("_o"), F.col("id").alias("_i"), F.struct(*names).alias("_a"))
         rows = within.members().filter("text IS NOT NULL AND ordinal IS NOT NULL").groupBy("_chunk").agg(F.array_sort(F.collect_list(row)).alias("_atoms"))
-        rows = rows.withColumn("_m", F.explode(match_atoms(F.transform("_atoms", lambda x: x["_a"]["text"]), self.pattern)))
-        found = rows.select(F.struct(F.col("_chunk").alias("constraint"), F.col("_m.start").alias("start"), F.col("_m.end").alias("end")).alias("_chunk"), F.explode(F.expr("slice(_atoms, _m.first + 1, _m.last - _m.first + 1)")).alias("_x"))
+        # Each match takes its own atoms along before matches become rows, so no row holds the whole text.
+        rows = rows.withColumn("_ms", match_atoms(F.transform("_atoms", lambda x: x["_a"]["text"]), self.pattern))
+        own = F.transform("_ms", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.slice("_atoms", m["first"] + 1, m["last"] - m["first"] + 1).alias("atoms")))
+        rows = rows.select("_chunk", F.explode(own).alias("_m"))
+        found = rows.select(F.struct(F.col("_chunk").alias("constraint"), F.col("_m.start").alias("start"), F.col("_m.end").alias("end")).alias("_chunk"), F.explode("_m.atoms").alias("_x"))
         joined = found.select("_chunk", "_x._a.*")
         chunks = joined.select(F.col("_chunk").alias("id")).distinct().select("id", "id.constraint", "id.start", "id.end")
         return Chunks(corpus, chunks, joined=joined)

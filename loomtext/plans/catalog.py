@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import AtomData, AttrExpr, ChunkDelimitedStringify, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_table
+from .. import AtomData, AttrExpr, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_table
 
 TERMS = "the reand shtion"
 MATCH = "(the|und|les) [a-z]+ing"
@@ -125,6 +125,43 @@ def _atom_data(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
     return rows.select("doc_id", "line", F.array_join("words", "+").alias("words"), F.array_min("places").alias("first"), F.size("places").cast("long").alias("n"))
 
 
+class Initials(ChunkExpr):
+    """A chunk for each initial of a document's words: an extension, as a user would write one."""
+
+    def __call__(self, corpus: Corpus) -> Chunks:
+        joined = corpus.atoms.withColumn("_chunk", F.struct("document", F.lower(F.substring("text", 1, 1)).alias("initial")))
+        return Chunks(corpus, joined.select(F.col("_chunk").alias("id")).distinct().select("id", "id.document", "id.initial"), joined=joined)
+
+
+class Numerous(ChunkFilter):
+    """Chunks of at least so many atoms: an extension, too."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def __call__(self, chunks: Chunks) -> Chunks:
+        kept = chunks.bridge().groupBy("chunk").agg(F.count("*").alias("n")).filter(F.col("n") >= self.least)
+        return chunks.replace(chunks.chunks.join(kept, F.col("id") == F.col("chunk"), "left_semi"), filtered=True)
+
+
+def _initials(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).chunk(Initials()).filter(Numerous(4)).select("initial", doc_id="document", words=AtomData("text"))
+    return rows.select("doc_id", "initial", F.size("words").cast("long").alias("n"))
+
+
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = _docs(spark, sf)
+    of = {"documents": corpus.chunk("document"), "lines": corpus.chunk("line"), "numerous": corpus.chunk("line").filter(Numerous(30))}
+    return spark.range(1).select(*[F.lit(len(chunks)).cast("long").alias(name) for name, chunks in of.items()])
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = _docs(spark, sf)
+    corpus.set_chunk("window", corpus.chunk(FixedSizeChunk("document", 64)))
+    corpus.set_chunk("window", corpus.chunk(FixedSizeChunk("document", 12, -5)), persist=False)  # the name goes to the later ones
+    return corpus.chunk("line").select(doc_id="document", line="ordinal", value=ChunkOverlap("window", "count"))
+
+
 def queries():
     return {
         "retrieval": flagship,
@@ -161,6 +198,9 @@ def queries():
         "lineitem_order_chunks": lambda s, d: _line_items(s, d, Threshold("id", "<", 2000)),
         "lineitem_every_order": _line_items,
         "conversation_chunks": _turns,
+        "user_chunks_and_filter": _initials,
+        "chunk_lengths": _lengths,
+        "stored_chunks": _stored,
     }
 
 
@@ -246,4 +286,7 @@ SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (d
         "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
         "lineitem_every_order": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
         "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
+        "user_chunks_and_filter": _WORDS + "SELECT doc_id, lower(left(text, 1)) AS initial, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 4",
+        "chunk_lengths": _WORDS + "SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS lines, count(*) FILTER (n >= 30) AS numerous FROM (SELECT doc_id, line, count(*) AS n FROM w GROUP BY 1, 2)",
+        "stored_chunks": _overlap_sql("count(start)"),
     }

@@ -18,13 +18,16 @@ def corpus_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Words as atoms (id, document, line, text, ordinal from 1 in each document), documents and lines as chunks.
 
     Words are numbered inside the row, so nothing is shuffled.  Documents keep their other columns
-    as attributes.  A null text has no words, but its document is a chunk.
+    as attributes, one that is called id under the name id_ (or with more underscores).  A null text has no words, but its document is a chunk.
     """
     doc = F.col(f"`{id_col}`")
     words = docs.select(doc.alias("document"), F.posexplode(_words(F.col(f"`{text_col}`"))).alias("_p", "_w"))
     atoms = words.select(F.struct("document", (F.col("_p") + 1).cast("long").alias("ordinal")).alias("id"), "document", F.col("_w.line").alias("line"), F.col("_w.text").alias("text"), (F.col("_p") + 1).cast("long").alias("ordinal"))
     corpus = Corpus(atoms)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    other = "id_"
+    while other in docs.columns:
+        other += "_"
+    rest = [F.col(f"`{c}`").alias(other if c == "id" else c) for c in docs.columns if c not in (id_col, text_col)]
     corpus.set_chunk("document", Chunks(corpus, docs.select(doc.alias("id"), *rest), joined=atoms.withColumn("_chunk", F.col("document"))), persist=False)
     line = F.struct("document", "line")
     lines = docs.select(doc.alias("document"), F.explode(F.array_distinct(F.transform(_words(F.col(f"`{text_col}`")), lambda w: w["line"]))).alias("ordinal"))
