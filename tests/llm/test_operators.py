@@ -77,11 +77,15 @@ def check_warc(spark, pages, path, expected_rows):
     import json
 
     got = []
+    page = {r["capture_id"]: json.loads(r["metadata"]["fields"]).get("id") for r in rows}
+    assert len(page) == len(rows)
     for r in rows:
         told = json.loads(r["metadata"]["fields"])
         assert r["request"]["target_uri"] == r["response"]["target_uri"]
         assert r["response"]["type"] == "revisit" or r["response"]["digest_ok"]
-        got.append((told.get("id"), told.get("url"), r["response"]["payload_bytes"], r["response"]["payload_digest"], r["response"]["type"], told.get("refers_to")))
+        refers = r["response"]["refers_to"]
+        assert (refers is not None) == (r["response"]["type"] == "revisit")
+        got.append((told.get("id"), told.get("url"), r["response"]["payload_bytes"], r["response"]["payload_digest"], r["response"]["type"], refers and page[refers]))
     least = {}
     for i, _, html in expected_rows:
         if i is not None:
@@ -102,6 +106,25 @@ def test_warc_odd_rows(spark, tmp_path):
     check_warc(spark, pages, str(tmp_path / "a"), rows)
 
 
+def test_warc_foreign_and_damaged_archives(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, name, more, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    whole = record("warcinfo", "i", "", "software: x") + record("response", "r", "", "HTTP/1.1 200 OK\r\n\r\nbody") + record("request", "q", "WARC-Concurrent-To: <r>\r\n", "GET /")
+    (tmp_path / "CC-MAIN.warc").write_bytes(whole)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.warc.gz").write_bytes(gzip.compress(record("response", "s", "", "HTTP/1.1 200 OK\r\n\r\nmore")) + gzip.compress(record("metadata", "m", "WARC-Concurrent-To: <s>\r\n", "{}")))
+    (tmp_path / "cut.warc").write_bytes(record("response", "t", "", "HTTP/1.1 200 OK\r\n\r\nkept") + whole[:150])
+    (tmp_path / "none.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <u>\r\n\r\nno length")
+    (tmp_path / "other.txt").write_bytes(b"hello\r\n\r\n")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    records = warc.read_records(spark, str(tmp_path))
+    assert Counter(r["type"] for r in records.collect()) == {"response": 3, "request": 1, "metadata": 1, "warcinfo": 2, "damaged": 3}
+    got = {r["capture_id"]: r for r in warc.assemble(records).collect()}
+    assert set(got) == {"<r>", "<s>", "<t>"}
+    assert got["<r>"]["request"]["record_id"] == "<q>" and got["<s>"]["metadata"]["fields"] == "{}" and got["<t>"]["response"]["payload_bytes"] == 4
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "e"))
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "e"))).count() == 0
@@ -109,7 +132,7 @@ def test_warc_empty(spark, tmp_path):
 
 def test_warc_transactions_through_the_request(spark):
     records = spark.createDataFrame([("response", "r1", None), ("request", "q1", "r1"), ("metadata", "m1", "q1"), ("metadata", "m2", "gone"), ("request", "q0", "r1"), ("warcinfo", "w", None)], "type string, record_id string, concurrent_to string")
-    for c in ("target_uri string", "profile string", "payload_bytes bigint", "payload_digest string", "digest_ok boolean", "fields string"):
+    for c in ("refers_to string", "target_uri string", "profile string", "payload_bytes bigint", "payload_digest string", "digest_ok boolean", "fields string"):
         name, kind = c.split()
         from pyspark.sql import functions as F
 
