@@ -40,6 +40,7 @@ QUERY_EVERY = 100
 #: Rows and queries from which the scale is read; the distance that nine in ten unit vectors of many dimensions keep within.
 SAMPLE, TYPICAL = 512, 1.5
 FOUND = "query_id bigint, vec_id bigint, score double"
+USABLE = "id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
 
 
 class Tables:
@@ -143,6 +144,15 @@ def vectors(ids, values) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def matrices(ids: pa.Array, lists: pa.ListArray):
+    """(ids, matrix) of usable vectors, by length."""
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    ids, size = ids.to_numpy(), np.diff(at)
+    for d in np.unique(size).tolist():
+        own = size == d
+        yield ids[own], values[at[:-1][own][:, None] + np.arange(d)]
+
+
 def scales(rows: DataFrame, queries: DataFrame) -> dict[int, float]:
     """By length of vectors, the distance within which nine in ten pairs of a sampled query and a sampled row lie, over that of unit vectors."""
 
@@ -173,7 +183,7 @@ def _search(block: list[tuple[np.ndarray, np.ndarray]], settings: dict, scale: d
             ready[d] = (ids, m, tables, tables and tables.visits(m))
         kept = {d: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for d in ready}
         for batch in it:
-            for ids, rows in vectors(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, rows in matrices(batch.column(0), batch.column(1)):
                 if (d := rows.shape[1]) not in ready:
                     continue
                 qids, qs, tables, visits = ready[d]
@@ -213,7 +223,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     """query_id, rank, vec_id, score: the k nearest found of each row of ``queries`` among ``rows``."""
     spark = rows.sparkSession
     work = Workspace(spark, "ann")
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(USABLE)
     rows, queries = pick(rows), pick(queries).dropDuplicates(["id"])
 
     scale = scales(rows, queries)
