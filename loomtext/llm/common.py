@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,3 +195,27 @@ class BoundedCache(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def lowered(spaces: bytes, breaks: bytes = b"") -> bytes:
+    """A table for ``bytes.translate``: A-Z lower-cased, ``spaces`` made blanks and ``breaks`` line feeds."""
+    table = bytearray(range(256))
+    for c in range(0x41, 0x5B):
+        table[c] = c + 32
+    for c in spaces:
+        table[c] = 0x20
+    for c in breaks:
+        table[c] = 0x0A
+    return bytes(table)
+
+
+def tokens(data: bytes) -> pa.LargeBinaryArray:
+    """The words of ``data`` between blanks, and each line feed as a word of its own, found without a Python object a word."""
+    chars = np.frombuffer(data, np.uint8)
+    kept, line = chars != 0x20, chars == 0x0A
+    first = kept.copy()
+    first[1:] &= ~kept[:-1] | line[:-1] | line[1:]
+    starts = np.flatnonzero(first[kept])
+    chars = chars[kept]
+    offsets = np.append(starts, len(chars)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])

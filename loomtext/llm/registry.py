@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe_transducer, exact_dedup, jaccard, packing, pipeline, quality, sharding, suffix_dedup, token_counts, warc
+from . import ann, bpe_transducer, exact_dedup, jaccard, license_scan, packing, pipeline, quality, sharding, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_jaccard_join": jaccard.query,
+        "op11_license_scan": license_scan.query,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    held = {"op1_warc": warc.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "pipeline": pipeline.ORACLE_SQL}
+    held = {"op1_warc": warc.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op11_license_scan": license_scan.ORACLE, "pipeline": pipeline.ORACLE_SQL}
     return {k: v for k, v in held.items() if v}
