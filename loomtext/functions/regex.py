@@ -1,27 +1,172 @@
-"""Python regular expressions on Spark: native where the dialects agree, an Arrow UDF elsewhere."""
+"""Python regular expressions on Spark: native where the JVM's engine can be made to mean the same, an Arrow UDF elsewhere."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from re import _constants as op
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, running_sums
+
+#: Python's classes as members of a JVM class; a word character is a letter, any number or an underscore.
+WORD, DIGIT, SPACE = r"\p{L}\p{N}_", r"\p{Nd}", r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_WORD, ASCII_DIGIT, ASCII_SPACE = "a-zA-Z0-9_", "0-9", r" \t-\r"
+#: Members of a class that are tried one by one for others that are the same without case.
+MOST_CASES = 512
+
+
+class Unsafe(ValueError):
+    """What the JVM's engine might take otherwise."""
+
+
+def _char(code: int) -> str:
+    return chr(code) if chr(code).isascii() and chr(code).isalnum() else f"\\x{{{code:x}}}"
+
+
+@lru_cache(1)
+def _by_lower() -> dict[str, list[int]]:
+    """Characters by what they are in lower or in upper case, where that is another."""
+    out: dict[str, list[int]] = {}
+    for c in range(0x110000):
+        for other in {chr(c).lower(), chr(c).upper()}:
+            if len(other) == 1 and other != chr(c):
+                out.setdefault(other, []).append(c)
+    return out
+
+
+@lru_cache(4096)
+def _cases(code: int, ascii_only: bool) -> tuple[int, ...]:
+    """The characters that Python takes for this one without regard to case."""
+    own, found, todo = re.compile(re.escape(chr(code)), re.I | (re.A if ascii_only else 0)), {code}, [code]
+    while todo:
+        c = chr(todo.pop())
+        for other in {*map(ord, (x for x in (c.lower(), c.upper()) if len(x) == 1)), *_by_lower().get(c, ())} - found:
+            if own.fullmatch(chr(other)):
+                found.add(other)
+                todo.append(other)
+    return tuple(sorted(found))
+
+
+class _Translation:
+    """A parsed pattern written for the JVM, where each node says in itself what its flags mean."""
+
+    def __init__(self, pattern: str, flags: int):
+        parsed = _parser.parse(pattern, flags)
+        flags = parsed.state.flags
+        if flags & ~(re.I | re.M | re.S | re.U | re.A | re.X):
+            raise Unsafe("flags")
+        self.least = parsed.getwidth()[0]
+        self.text = self.sequence(parsed, flags, False)
+
+    def sequence(self, nodes, flags: int, repeated: bool) -> str:
+        return "".join(self.node(kind, value, flags, repeated) for kind, value in nodes)
+
+    def node(self, kind, value, flags: int, repeated: bool) -> str:
+        if kind is op.LITERAL:
+            return self.one_of([value], flags)
+        if kind is op.NOT_LITERAL:
+            return self.one_of([value], flags, "^")
+        if kind is op.ANY:
+            return "(?s:.)" if flags & re.S else r"[^\n]"
+        if kind is op.IN:
+            return self.members(value, flags)
+        if kind is op.BRANCH:
+            return "(?:" + "|".join(self.sequence(v, flags, repeated) for v in value[1]) + ")"
+        if kind is op.SUBPATTERN:
+            group, add, remove, nodes = value
+            return ("(?:" if group is None else "(") + self.sequence(nodes, flags & ~remove | add, repeated) + ")"
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+            low, high, nodes = value
+            if high != 1 and nodes.getwidth()[0] == 0:
+                raise Unsafe("a repeat of what may be empty")
+            high = "" if high is op.MAXREPEAT else high
+            tail = {op.MAX_REPEAT: "", op.MIN_REPEAT: "?", op.POSSESSIVE_REPEAT: "+"}[kind]
+            return f"(?:{self.sequence(nodes, flags, True)}){{{low},{high}}}{tail}"
+        if kind is op.ATOMIC_GROUP:
+            return f"(?>{self.sequence(value, flags, repeated)})"
+        if kind in (op.ASSERT, op.ASSERT_NOT):
+            way, nodes = value
+            return f"(?{'<' if way < 0 else ''}{'=' if kind is op.ASSERT else '!'}{self.sequence(nodes, flags, repeated)})"
+        if kind is op.AT:
+            return self.place(value, flags)
+        if kind is op.GROUPREF and not repeated and not flags & re.I:
+            return f"(?:\\{value})"
+        raise Unsafe(str(kind))
+
+    def place(self, where, flags: int) -> str:
+        word = ASCII_WORD if flags & re.A else WORD
+        edge = f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
+        inner = f"(?:(?<=[{word}])(?=[{word}])|(?<![{word}])(?![{word}]))"
+        start, end = (r"(?:\A|(?<=\n))", r"(?:\z|(?=\n))") if flags & re.M else (r"\A", r"(?=\n?\z)")
+        known = {op.AT_BEGINNING: start, op.AT_BEGINNING_STRING: r"\A", op.AT_END: end, op.AT_END_STRING: r"\z", op.AT_BOUNDARY: edge, op.AT_NON_BOUNDARY: inner}
+        if where not in known:
+            raise Unsafe(str(where))
+        return known[where]
+
+    def one_of(self, codes, flags: int, lead: str = "") -> str:
+        if flags & re.I:
+            codes = sorted({x for c in codes for x in _cases(c, bool(flags & re.A))})
+        if len(codes) == 1 and not lead:
+            return _char(codes[0])
+        return f"[{lead}{''.join(map(_char, codes))}]"
+
+    def members(self, value, flags: int) -> str:
+        plain = {op.CATEGORY_WORD: WORD, op.CATEGORY_DIGIT: DIGIT, op.CATEGORY_SPACE: SPACE}
+        if flags & re.A:
+            plain = {op.CATEGORY_WORD: ASCII_WORD, op.CATEGORY_DIGIT: ASCII_DIGIT, op.CATEGORY_SPACE: ASCII_SPACE}
+        negated = {op.CATEGORY_NOT_WORD: plain[op.CATEGORY_WORD], op.CATEGORY_NOT_DIGIT: plain[op.CATEGORY_DIGIT], op.CATEGORY_NOT_SPACE: plain[op.CATEGORY_SPACE]}
+        lead, parts = "", []
+        for kind, x in value:
+            if kind is op.NEGATE:
+                lead = "^"
+            elif kind is op.LITERAL:
+                parts += [_char(c) for c in (_cases(x, bool(flags & re.A)) if flags & re.I else (x,))]
+            elif kind is op.RANGE:
+                low, high = x
+                parts.append(f"{_char(low)}-{_char(high)}")
+                if flags & re.I:
+                    if high - low >= MOST_CASES:
+                        raise Unsafe("a wide range without regard to case")
+                    parts += [_char(c) for k in range(low, high + 1) for c in _cases(k, bool(flags & re.A)) if not low <= c <= high]
+            elif kind is op.CATEGORY and x in plain:
+                parts.append(plain[x])
+            elif kind is op.CATEGORY and x in negated:
+                parts.append(f"[^{negated[x]}]")
+            else:
+                raise Unsafe(str(kind))
+        if lead and any(p.startswith("[^") for p in parts):
+            # A negated class inside one is written as what both exclude, so that nothing hangs on how unions are negated.
+            return "(?:(?![" + "".join(parts) + "])(?s:.))"
+        return f"[{lead}{''.join(parts)}]"
+
+
+@lru_cache(256)
+def _translated(pattern: str, flags: int) -> tuple[str | None, int]:
+    try:
+        own = _Translation(pattern, flags)
+    except Unsafe:
+        return None, _parser.parse(pattern, flags).getwidth()[0]
+    return own.text, own.least
+
+
 def native_pattern(pattern: str, flags: int = 0) -> str | None:
-    """The pattern for the JVM's engine, or None where it might mean something else there.
+    """The pattern written for the JVM's engine, or None where that might take it otherwise.
 
-    Literal text, explicit ASCII classes, groups and simple quantifiers mean the same to both.
+    Refused are matches of nothing (the JVM finds them inside characters beyond 16 bits, too),
+    repeats of what may be empty, conditional groups, references in repeats or without regard to case.
     """
-    flags = int(flags)
-    if flags & ~(re.IGNORECASE | re.MULTILINE | re.DOTALL | re.UNICODE):
-        return None
-    if not pattern.isascii() or re.search(r"\\[^.\[\](){}|*+?^/-]|\(\?(?!:)|\{|&&|\[\[|[*+?]\+|\$", pattern.removeprefix("(?i)")):
-        return None
-    lead = ("iu" if flags & re.IGNORECASE or pattern.startswith("(?i)") else "") + ("m" if flags & re.MULTILINE else "") + ("s" if flags & re.DOTALL else "")
-    if "." in pattern and "s" not in lead or "^" in re.sub(r"\[\^", "[", pattern) and "m" in lead:
-        return None  # line ends differ
-    return (f"(?{lead})" if lead else "") + pattern.removeprefix("(?i)")
+    text, least = _translated(pattern, int(flags))
+    return text if least > 0 else None
+
+
+def match_width(pattern: str, flags: int = 0) -> int:
+    """The fewest characters that a match can have."""
+    return _translated(pattern, int(flags))[1]
 
 
 def count_matches(text: Column, pattern: str, flags: int = 0, engine: str = "auto") -> Column:
@@ -39,6 +184,40 @@ def count_matches(text: Column, pattern: str, flags: int = 0, engine: str = "aut
     return counted(text)
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """``match_atoms`` on the JVM, for a text of atoms without blanks that are joined by a space, and a pattern written for the JVM that matches something.
+
+    Matches alternate with the gaps that splitting leaves, and places follow from their lengths; the
+    atoms that start before a place are the blanks before it, and the first one.
+    """
+    nothing = F.array().cast("array<struct<start:int,end:int,first:int,last:int>>")
+    blank = lambda x: F.substring(x, -1, 1) == " "
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    pairs = lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.flatten(F.zip_with(F.slice(F.split(t, pattern, -1), 1, F.size(found)), found, lambda g, m: F.array(g, m))))
+    joined = lambda values, others, name: F.zip_with(values, others, lambda v, o: F.struct(v.alias("v"), o.alias(name)))
+
+    def spans(parts: Column) -> Column:
+        """Gaps and matches in turn, from the first gap on."""
+        n = F.size(parts)
+        gap, before = F.slice(F.concat(F.array(F.lit("")), parts), 1, n), F.slice(F.concat(F.array(F.lit(""), F.lit("")), parts), 1, n)
+        ends = running_sums(F.transform(parts, lambda x: F.length(x).cast("bigint")))
+        blanks_to = running_sums(F.transform(parts, lambda x: blanks(x).cast("bigint")))
+        whole = joined(joined(joined(joined(parts, gap, "gap"), before, "before"), ends, "end"), blanks_to, "blanks")
+        matches = F.filter(whole, lambda p, i: i % 2 == 1)
+
+        def match(p: Column) -> Column:
+            x, gap, before, end, last = p["v"]["v"]["v"]["v"], p["v"]["v"]["v"]["gap"], p["v"]["v"]["before"], p["v"]["end"], p["blanks"]
+            start = end - F.length(x)
+            # An atom that starts right where the match does belongs to it, not to what is before.
+            own = blank(F.when(F.length(gap) > 0, gap).otherwise(before))
+            first = F.when(start == 0, F.lit(0)).otherwise(last - blanks(x) + F.when(own, 0).otherwise(1))
+            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+        return F.filter(F.transform(matches, match), lambda m: m["first"] <= m["last"])
+
+    return F.coalesce(let(let(text, pairs), lambda parts: F.when(F.size(parts) > 0, spans(parts))), nothing)
+
+
 def match_atoms(texts: Column, pattern: str) -> Column:
     """For the texts of consecutive atoms, joined by a space: the pattern's matches that reach an atom's start.
 
