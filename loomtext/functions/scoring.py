@@ -11,12 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import AttrExpr, Chunks
+from ..core import TextScore
+from .arrays import term_counts
 
 DEFAULT = r"(?u)\b\w\w+\b"
 
 
-class Tfidf(AttrExpr):
+#: What a chunk without any term of the query is joined by; no term begins so.
+NO_TERM = "\0"
+
+
+class Tfidf(TextScore):
     """Dot product of a chunk's and the query's TF-IDF vectors, fitted on the chunks at hand.
 
     By default both have unit length and ``idf = ln((1 + n) / (1 + df)) + 1``, so the score is the
@@ -90,10 +95,12 @@ class Tfidf(AttrExpr):
         grams = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
         return F.flatten(F.array(*[grams(n) for n in range(low, high + 1)]))
 
-    def _idf(self, counts: DataFrame, total: DataFrame) -> DataFrame:
-        """(term, idf) of the vocabulary."""
+    def _idf(self, df: DataFrame) -> DataFrame:
+        """(term, idf) of the vocabulary, out of (term, df, sum) with a row for the number of chunks under a null term."""
+        # Aggregates, not filters: a filter would go below the grouping, and this would be another scan.
+        total = df.agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("_all"))
         share = lambda x: F.lit(x) * F.col("_all") if isinstance(x, float) else F.lit(x)
-        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.lit(1) if self.binary else F.col("tf")).alias("_sum")).crossJoin(F.broadcast(total))
+        df = df.crossJoin(F.broadcast(total))
         if self.vocabulary is not None:
             df = df.filter(F.col("term").isin(self.vocabulary))
         else:
@@ -102,7 +109,7 @@ class Tfidf(AttrExpr):
             if not (isinstance(self.max_df, float) and self.max_df == 1.0):
                 df = df.filter(F.col("df") <= share(self.max_df))
             if self.max_features is not None:
-                df = df.orderBy(F.desc("_sum"), "term").limit(self.max_features)
+                df = df.filter("term IS NOT NULL").orderBy(F.desc("sum"), "term").limit(self.max_features)
         more = 1 if self.smooth_idf else 0
         idf = F.log((F.col("_all") + more) / (F.col("df") + more)) + 1 if self.use_idf else F.lit(1.0)
         return df.select("term", idf.alias("idf"))
@@ -110,18 +117,27 @@ class Tfidf(AttrExpr):
     def _weight(self, tf: Column) -> Column:
         return F.lit(1.0) if self.binary and not self.sublinear_tf else (F.lit(1.0) if self.binary else F.log(tf.cast("double")) + 1) if self.sublinear_tf else tf.cast("double")
 
-    def __call__(self, chunks: Chunks) -> DataFrame:
-        rows = self.stringifier(chunks).select("id", self.terms(F.coalesce("value", F.lit(""))).alias("terms"))
-        counts = rows.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        total = chunks.chunks.agg(F.count(F.lit(1)).alias("_all"))
-        idf = self._idf(counts, total)
+    def score(self, texts: DataFrame) -> DataFrame:
+        rows = texts.select("id", self.terms(F.coalesce("value", F.lit(""))).alias("terms"))
         asked = Counter(self.analyze(self.query))
+        # One row a chunk and distinct term; how often it is there matters only where features are ranked by it.
+        if self.max_features is not None and not self.binary:
+            once = F.transform(term_counts("terms"), lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf")))
+        else:
+            once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("tf")))
+        chunk = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+        df = rows.select(F.explode(F.concat(once, chunk)).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("sum"))
+        idf = self._idf(df)
         w = self._weight(F.col("tf")) * F.col("idf")
         pairs = [x for t, n in sorted(asked.items()) for x in (F.lit(t), self._weight(F.lit(n)))]
         qtf = F.coalesce(F.element_at(F.create_map(*pairs), F.col("term")), F.lit(0.0)) if pairs else F.lit(0.0)
         size = {"l2": lambda x: F.sqrt(F.sum(x * x)), "l1": lambda x: F.sum(F.abs(x)), None: lambda x: F.lit(1.0)}[self.norm]
-        scored = counts.join(idf, "term").groupBy("id").agg(F.sum(w * qtf * F.col("idf")).alias("dot"), size(w).alias("own"))
-        whole = idf.filter(F.col("term").isin(list(asked)) if asked else F.lit(False)).agg(F.coalesce(size(qtf * F.col("idf")), F.lit(0.0)).alias("query"))
+        # Chunks without a term of the query score 0: they go along as one row each, spread over keys that no term has.
+        hit = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(asked)])) if asked else F.lit(False)
+        counts = rows.select("id", F.explode_outer(term_counts(F.when(hit, F.col("terms")))).alias("x"))
+        counts = counts.select("id", F.coalesce("x.term", F.concat(F.lit(NO_TERM), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))).alias("term"), F.col("x.tf").alias("tf"))
+        scored = counts.join(idf, "term", "left").groupBy("id").agg(F.sum(w * qtf * F.col("idf")).alias("dot"), size(w).alias("own"))
+        mine = F.when(F.col("term").isin(list(asked)), qtf * F.col("idf")) if asked else F.lit(0.0)
+        whole = idf.agg(F.coalesce(size(mine), F.lit(0.0)).alias("query"))
         value = F.when(F.col("own") * F.col("query") > 0, F.col("dot") / (F.col("own") * F.col("query"))).otherwise(F.lit(0.0))
-        scored = scored.crossJoin(F.broadcast(whole)).select(F.col("id").alias("_i"), value.alias("_v"))
-        return chunks.chunks.select("id").join(scored, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_v", F.lit(0.0)).alias("value"))
+        return scored.crossJoin(F.broadcast(whole)).select("id", F.coalesce(value, F.lit(0.0)).alias("value"))

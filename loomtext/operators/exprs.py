@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import AtomAggregate, AttrExpr, ChunkExpr, Chunks
+from ..core import Across, AtomAggregate, Atoms, AttrExpr, ChunkExpr, Chunks
+from ..functions.arrays import covered
 from ..functions.regex import count_matches
 
 
@@ -36,6 +37,10 @@ class AtomData(AtomAggregate):
             raise KeyError(self.attr)
         return _ordered(chunks, F.col(f"`{own}`"))
 
+    def within(self, atoms: Atoms, chunks: Chunks) -> Column | None:
+        own = "id" if self.attr == "atom" and "atom" not in atoms else self.attr
+        return F.when(atoms.size > 0, atoms.values(own)) if own in atoms else None
+
 
 class SimpleStringify(AtomAggregate):
     """The atoms' texts in order, joined by a delimiter; null texts are skipped, a chunk without atoms is null."""
@@ -47,6 +52,10 @@ class SimpleStringify(AtomAggregate):
         _need_text(chunks)
         return F.array_join(_ordered(chunks, F.col("text")), self.delimiter)
 
+    def within(self, atoms: Atoms, chunks: Chunks) -> Column | None:
+        _need_text(chunks)
+        return F.when(atoms.size > 0, F.array_join(atoms.values("text"), self.delimiter))
+
 
 class RegexCount(AttrExpr):
     """How often a Python pattern matches a chunk's string; null for a null string.
@@ -64,6 +73,10 @@ class RegexCount(AttrExpr):
     def count(self, text: Column) -> Column:
         return count_matches(text, self.pattern, self.flags, self.engine)
 
+    def within(self, atoms: Atoms, chunks: Chunks) -> Column | None:
+        text = self.stringifier.within(atoms, chunks)
+        return None if text is None else self.count(text)
+
     def __call__(self, chunks: Chunks) -> DataFrame:
         return self.stringifier(chunks).select("id", self.count(F.col("value")).alias("value"))
 
@@ -93,7 +106,16 @@ class ChunkOverlap(AttrExpr):
             raise ValueError(f"agg must be one of {self.AGGS}")
         self.chunk_b, self.agg, self.distinct = chunk_b, agg, distinct
 
+    def across(self, chunks: Chunks) -> Across | None:
+        """Counted in the frame's rows: a running count over the places of how many of the other chunks cover each."""
+        other = chunks.corpus.chunk(self.chunk_b)
+        if other.spans is None or not other.fresh or other.filtered or other.spans.frame is not chunks.spans.frame:
+            return None
+        return Across((chunks.spans.places(), other.spans.places(), F.size(f"`{chunks.spans.frame.atoms}`")), lambda own, others, size: covered(own, others, size, self.agg, self.distinct))
+
     def __call__(self, chunks: Chunks) -> DataFrame:
+        if (own := chunks.inside(self)) is not None:
+            return own
         other = chunks.corpus.chunk(self.chunk_b).bridge().select(F.col("atom").alias("_b"))
         # Counted by atom first: the join then never multiplies rows.
         other = other.groupBy("_b").agg((F.lit(1) if self.distinct else F.count(F.lit(1))).cast("long").alias("_n"))
@@ -115,7 +137,26 @@ class ChunkDelimitedStringify(AttrExpr):
     def __init__(self, chunk_delimiters: Sequence[tuple[ChunkExpr | str, str]], *, atom_delimiter: str = " "):
         self.chunk_delimiters, self.atom_delimiter = list(chunk_delimiters), atom_delimiter
 
+    def within(self, atoms: Atoms, chunks: Chunks) -> Column | None:
+        """By the atoms' own keys, where every kind of chunk has them."""
+        _need_text(chunks)
+        keys = chunks.spans.frame.keys or {}
+        if not all(isinstance(kind, str) and chunks.corpus.native(kind, chunks.spans.frame) for kind, _ in self.chunk_delimiters):
+            return None
+        text = chunks.spans.frame.fields["text"]
+
+        def piece(x: Column, y: Column) -> Column:
+            follow = F.when(y.isNull(), F.lit(""))
+            for kind, delimiter in self.chunk_delimiters:
+                follow = follow.when(keys[kind](x) != keys[kind](y), F.lit(delimiter))
+            return F.concat(text(x, F.lit(0)), follow.otherwise(F.lit(self.atom_delimiter)))
+
+        following = F.slice(atoms.array, 2, F.greatest(atoms.size - 1, F.lit(0)))
+        return F.array_join(F.zip_with(atoms.array, following, piece), "")
+
     def __call__(self, chunks: Chunks) -> DataFrame:
+        if (own := chunks.inside(self)) is not None:
+            return own
         _need_text(chunks)
         rows = chunks.members().select("_chunk", "id", "ordinal", "text")
         for i, (kind, _) in enumerate(self.chunk_delimiters):

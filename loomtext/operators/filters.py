@@ -36,7 +36,7 @@ def _comparable(kind: T.DataType, value) -> bool:
 class TopK(ChunkFilter):
     """The ``k`` chunks with the highest attribute, or with ``reverse`` the lowest; null and NaN are never among them.
 
-    Ties go to the smaller natural key.
+    Ties go to the smaller natural key.  Tables made of these chunks come in this order.
     """
 
     def __init__(self, attr: str, k: int, reverse: bool = False):
@@ -46,9 +46,9 @@ class TopK(ChunkFilter):
 
     def __call__(self, chunks: Chunks) -> Chunks:
         column, _, floating = _column(chunks, self.attr)
-        rows = chunks.chunks.filter(column.isNotNull() & ~F.isnan(column) if floating else column.isNotNull())
-        ties = [F.col(c) for c in NATURAL if c in rows.columns and c != self.attr]
-        return chunks.replace(rows.orderBy(column.asc() if self.reverse else column.desc(), *ties).limit(self.k), filtered=True)
+        usable = chunks.keep(column.isNotNull() & ~F.isnan(column) if floating else column.isNotNull())
+        ties = [F.col(c) for c in NATURAL if c in chunks.chunks.columns and c != self.attr]
+        return usable.first(self.k, column.asc() if self.reverse else column.desc(), *ties)
 
 
 class Threshold(ChunkFilter):
@@ -70,7 +70,7 @@ class Threshold(ChunkFilter):
             test &= ~F.isnan(column)
         if isinstance(self.value, float) and math.isnan(self.value):
             test = F.lit(False)
-        return chunks.replace(chunks.chunks.filter(test), filtered=True)
+        return chunks.keep(test)
 
 
 class EqualTo(ChunkFilter):
@@ -85,4 +85,4 @@ class EqualTo(ChunkFilter):
         test = column.isin(own) if own else F.lit(False)
         if len(own) < len(self.values):
             test |= column.isNull()
-        return chunks.replace(chunks.chunks.filter(test), filtered=True)
+        return chunks.keep(test)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import AtomData, AttrExpr, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_table
+from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents
 
 TERMS = "the reand shtion"
 MATCH = "(the|und|les) [a-z]+ing"
@@ -17,14 +17,14 @@ def _docs(spark: SparkSession, sf: str) -> Corpus:
     return corpus_from_documents(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-class Rounded(AttrExpr):
-    """Another expression's value at six places, so that ties are ties to every engine."""
+class Rounded(TextScore):
+    """Another score at six places, so that ties are ties to every engine: an extension, as a user would write one."""
 
-    def __init__(self, expr: AttrExpr):
-        self.expr = expr
+    def __init__(self, expr: TextScore):
+        self.expr, self.stringifier = expr, expr.stringifier
 
-    def __call__(self, chunks: Chunks) -> DataFrame:
-        return self.expr(chunks).select("id", F.round("value", 6).alias("value"))
+    def score(self, texts: DataFrame) -> DataFrame:
+        return self.expr.score(texts).select("id", F.round("value", 6).alias("value"))
 
 
 def _windows(size: int, offset: int, closed: str = "left"):
@@ -70,61 +70,81 @@ def _tfidf_options(spark: SparkSession, sf: str) -> DataFrame:
 
 def _merge_counts(spark: SparkSession, sf: str, *tests: Column) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    both = Corpus.merge([corpus_from_documents(docs.filter(t)) for t in tests])
-    parts = [both.atoms.agg(F.count("*").alias("n")).select(F.lit("atoms").alias("kind"), "n")] + [both.chunk(k).chunks.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("document", "line")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return Corpus.merge([corpus_from_documents(docs.filter(t)) for t in tests]).sizes()
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """A Tesseract table as scanning ``docs`` might give it: 10 words to a line, 4 lines to a paragraph, 5 paragraphs to a page."""
-    words = corpus_from_documents(docs).atoms.select("document", (F.col("ordinal") - 1).alias("i"), "text")
-    at = {"page_num": F.floor(F.col("i") / 200) + 1, "par_num": F.floor(F.col("i") % 200 / 40) + 1, "line_num": F.floor(F.col("i") % 40 / 10) + 1, "word_num": F.col("i") % 10 + 1}
-    words = words.select("document", "text", *[e.cast("long").alias(n) for n, e in at.items()]).withColumn("block_num", F.lit(1).cast("long"))
-    numbers = ["page_num", "block_num", "par_num", "line_num", "word_num"]
-    out = words.select("document", F.lit(5).alias("level"), *numbers, "text")
-    for level in range(1, 5):
-        zero = [F.col(n) if i < level else F.lit(0).cast("long").alias(n) for i, n in enumerate(numbers)]
-        out = out.unionByName(words.select("document", F.lit(level).alias("level"), *zero, F.lit("").alias("text")).distinct())
-    return out.withColumns({n: F.lit(0).cast("long") for n in ("left", "top", "width", "height")} | {"conf": F.when(F.col("level") == 5, 90.0).otherwise(-1.0)})
+    """(document, rows): what Tesseract might give for each of ``docs``: 10 words to a line, 4 lines to a paragraph, 5 paragraphs to a page."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    per = {1: 200, 2: 200, 3: 40, 4: 10, 5: 1}
+
+    def row(level: int, i: Column, text: Column) -> Column:
+        numbers = {"page_num": F.floor(i / 200) + 1, "block_num": F.lit(1), "par_num": F.floor(i % 200 / 40) + 1, "line_num": F.floor(i % 40 / 10) + 1, "word_num": i % 10 + 1}
+        at = [(n if k < level else F.lit(0)).cast("long").alias(name) for k, (name, n) in enumerate(numbers.items())]
+        return F.struct(F.lit(level).alias("level"), *at, *[F.lit(0).cast("long").alias(n) for n in ("left", "top", "width", "height")], F.lit(90.0 if level == 5 else -1.0).alias("conf"), text.alias("text"))
+
+    def level(k: int) -> Column:
+        starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(per[k]))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: row(k, i, F.lit("")))
+
+    rows = F.concat(*[level(k) for k in range(1, 5)], F.transform("words", lambda w, i: row(5, i, w)))
+    return docs.select(F.col("doc_id").alias("document"), words.alias("words")).select("document", rows.alias("rows"))
+
+
+def _scans(spark: SparkSession, sf: str) -> Corpus:
+    docs = scanned(spark.read.parquet(f"{sf}/documents.parquet")).filter(F.size("rows") > 0)
+    return corpus_from_tesseract_documents(docs, "document", "rows")
 
 
 def _ocr_levels(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = corpus_from_tesseract_table(scanned(spark.read.parquet(f"{sf}/documents.parquet")), document_col="document")
-    counts = [corpus.chunk(k).select("id").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("document", "page", "block", "paragraph", "line")]
-    out = corpus.atoms.agg(F.count("*").alias("n")).select(F.lit("atoms").alias("kind"), "n")
-    for c in counts:
-        out = out.unionByName(c)
-    return out
+    return _scans(spark, sf).sizes()
 
 
-def _ocr_pages(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
-    corpus = corpus_from_tesseract_table(scanned(spark.read.parquet(f"{sf}/documents.parquet")), document_col="document")
-    return corpus.chunk("page").filter(*filters).select(doc_id="document", page="ordinal", body=ChunkDelimitedStringify([("paragraph", "¶"), ("line", "|")]))
+def _ocr_pages(spark: SparkSession, sf: str, *delimiters: tuple[str, str]) -> DataFrame:
+    return _scans(spark, sf).chunk("page").select(doc_id="document", page="ordinal", body=ChunkDelimitedStringify(delimiters))
 
 
-def _enrich_chain(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
-    chunks = _docs(spark, sf).chunk("line").filter(*filters).enrich(the=RegexCount(SimpleStringify(), "the"), body=SimpleStringify("_"))
+def _enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _docs(spark, sf).chunk("line").enrich(the=RegexCount(SimpleStringify(), "the"), body=SimpleStringify("_"))
     return chunks.filter(Threshold("the", ">=", 1), TopK("the", 50)).select("the", "body", doc_id="document", line="ordinal")
 
 
-def _line_items(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
+def _enrich_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts first, and more of the few lines that they leave."""
+    best = _docs(spark, sf).chunk("line").enrich(the=RegexCount(SimpleStringify(), "the")).filter(Threshold("the", ">=", 2), TopK("the", 50))
+    return best.enrich(of=RegexCount(SimpleStringify(), "o[fr]")).filter(Threshold("of", ">=", 1)).select("the", "of", doc_id="document", line="ordinal", body=SimpleStringify("_"))
+
+
+def _line_items(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     corpus = corpus_from_rows(spark.read.parquet(f"{sf}/lineitem.parquet"), keys, {"order": "l_orderkey", "part": "l_partkey"})
-    rows = corpus.chunk("order").filter(*filters).select(order_key="id", flags=AtomData("l_returnflag"), lines=AtomData("l_linenumber"))
+    rows = corpus.chunk("order").select(order_key="id", flags=AtomData("l_returnflag"), lines=AtomData("l_linenumber"))
     return rows.select("order_key", F.array_join("flags", "").alias("flags"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
+def _order_parts(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    corpus = corpus_from_rows(spark.read.parquet(f"{sf}/lineitem.parquet"), keys, {"order": "l_orderkey"})
+    rows = corpus.chunk("order").select(order_key="id", parts=AtomData("l_partkey"))
+    return rows.select("order_key", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), F.size("parts").cast("long").alias("n"))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("turn", "ordinal")
     corpus = corpus_from_rows(rows, ["conv_id", "ordinal"], {"conversation": "conv_id"})
     return corpus.chunk("conversation").select(conv_id="id", roles=AtomData("role"), body=SimpleStringify("\n")).select("conv_id", F.array_join("roles", ">").alias("roles"), "body")
 
 
-def _atom_data(spark: SparkSession, sf: str, *filters: Threshold) -> DataFrame:
-    rows = _docs(spark, sf).chunk("line").filter(*filters).select(doc_id="document", line="ordinal", words=AtomData("text"), places=AtomData("ordinal"))
+def _atom_data(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).chunk("line").select(doc_id="document", line="ordinal", words=AtomData("text"), places=AtomData("ordinal"))
     return rows.select("doc_id", "line", F.array_join("words", "+").alias("words"), F.array_min("places").alias("first"), F.size("places").cast("long").alias("n"))
 
 
+def _document_data(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).chunk("document").select(doc_id="id", words=AtomData("text"), lines=AtomData("line"))
+    return rows.select("doc_id", F.array_join("words", "+").alias("words"), F.array_max("lines").alias("last_line"), F.size(F.array_distinct("lines")).cast("long").alias("n_lines"))
+
+
 class Initials(ChunkExpr):
     """A chunk for each initial of a document's words: an extension, as a user would write one."""
 
@@ -151,8 +171,9 @@ def _initials(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _docs(spark, sf)
-    of = {"documents": corpus.chunk("document"), "lines": corpus.chunk("line"), "numerous": corpus.chunk("line").filter(Numerous(30))}
-    return spark.range(1).select(*[F.lit(len(chunks)).cast("long").alias(name) for name, chunks in of.items()])
+    numerous = corpus.chunk("line").filter(Numerous(30)).select("id").agg(F.count(F.lit(1)).alias("numerous"))
+    sizes = corpus.sizes().agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(f"{k}s") for k in ("document", "line")])
+    return sizes.crossJoin(numerous)  # a row each
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,9 +190,9 @@ def queries():
         "equal_to": lambda s, d: _docs(s, d).chunk("document").filter(EqualTo("lang", ["fr", "es", None])).select("lang", doc_id="id", body=SimpleStringify()),
         "topk": lambda s, d: _docs(s, d).chunk("document").filter(TopK("n_chars", 25)).select("n_chars", doc_id="id"),
         "topk_reverse": lambda s, d: _docs(s, d).chunk("document").filter(TopK("n_chars", 25, reverse=True)).select("n_chars", doc_id="id"),
-        "stringify_line": lambda s, d: _docs(s, d).chunk("line").filter(Threshold("ordinal", "<=", 2)).select(doc_id="document", line="ordinal", body=SimpleStringify("~")),
+        "stringify_line": lambda s, d: _docs(s, d).chunk("line").select(doc_id="document", line="ordinal", body=SimpleStringify("~"), the=RegexCount(SimpleStringify(), "the")),
         "delimited_stringify": lambda s, d: _docs(s, d).chunk("document").select(doc_id="id", body=ChunkDelimitedStringify([("line", " / ")], atom_delimiter="_")),
-        "atom_data": lambda s, d: _atom_data(s, d, Threshold("ordinal", "<=", 1)),
+        "atom_data": _document_data,
         "stringify_every_line": lambda s, d: _docs(s, d).chunk("line").select(doc_id="document", line="ordinal", body=SimpleStringify("~")),
         "atom_data_every_line": _atom_data,
         "fixed_size_tumbling": _windows(64, 0),
@@ -188,14 +209,14 @@ def queries():
         "overlap_frac": _overlap("frac"),
         "tfidf_scores": _tfidf_scores,
         "tfidf_options": _tfidf_options,
-        "merge_counts": lambda s, d: _merge_counts(s, d, F.col("lang") == "fr", F.col("lang") == "de"),
+        "merge_counts": lambda s, d: _merge_counts(s, d, F.col("lang") == "fr", F.col("lang") == "de", ~F.coalesce(F.col("lang").isin("fr", "de"), F.lit(False))),
         "merge_counts_every_lang": lambda s, d: _merge_counts(s, d, F.col("lang").eqNullSafe("fr"), ~F.col("lang").eqNullSafe("fr")),
         "ocr_levels": _ocr_levels,
-        "ocr_pages": lambda s, d: _ocr_pages(s, d, Threshold("ordinal", "<=", 2)),
-        "ocr_every_page": _ocr_pages,
-        "enrich_chain": lambda s, d: _enrich_chain(s, d, Threshold("ordinal", "<", 5)),
+        "ocr_pages": lambda s, d: _ocr_pages(s, d, ("line", "|")),
+        "ocr_every_page": lambda s, d: _ocr_pages(s, d, ("paragraph", "¶"), ("line", "|")),
+        "enrich_chain": _enrich_twice,
         "enrich_chain_every_line": _enrich_chain,
-        "lineitem_order_chunks": lambda s, d: _line_items(s, d, Threshold("id", "<", 2000)),
+        "lineitem_order_chunks": _order_parts,
         "lineitem_every_order": _line_items,
         "conversation_chunks": _turns,
         "user_chunks_and_filter": _initials,
@@ -248,9 +269,9 @@ def oracle_sql():
         "equal_to": _WORDS + f"SELECT lang, doc_id, s AS body FROM documents LEFT JOIN ({whole}) USING (doc_id) WHERE lang IN ('fr', 'es') OR lang IS NULL",
         "topk": "SELECT n_chars, doc_id FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 25",
         "topk_reverse": "SELECT n_chars, doc_id FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars, doc_id LIMIT 25",
-        "stringify_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body FROM w WHERE line <= 2 GROUP BY 1, 2",
+        "stringify_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body, CAST(len(regexp_extract_all(string_agg(text, ' ' ORDER BY ordinal), 'the')) AS BIGINT) AS the FROM w GROUP BY 1, 2",
         "delimited_stringify": _WORDS + ", f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM w) SELECT documents.doc_id, coalesce(b, '') AS body FROM documents LEFT JOIN (SELECT doc_id, string_agg(f.text || CASE WHEN n IS NULL THEN '' WHEN n <> line THEN ' / ' ELSE '_' END, '' ORDER BY ordinal) AS b FROM f GROUP BY 1) USING (doc_id)",
-        "atom_data": _WORDS + "SELECT doc_id, line, string_agg(text, '+' ORDER BY ordinal) AS words, min(ordinal) AS first, count(*) AS n FROM w WHERE line <= 1 GROUP BY 1, 2",
+        "atom_data": _WORDS + "SELECT doc_id, words, CAST(last_line AS INTEGER) AS last_line, coalesce(n_lines, -1) AS n_lines FROM documents LEFT JOIN (SELECT doc_id, string_agg(text, '+' ORDER BY ordinal) AS words, max(line) AS last_line, count(DISTINCT line) AS n_lines FROM w GROUP BY 1) USING (doc_id)",
         "stringify_every_line": _WORDS + "SELECT doc_id, line, string_agg(text, '~' ORDER BY ordinal) AS body FROM w GROUP BY 1, 2",
         "atom_data_every_line": _WORDS + "SELECT doc_id, line, string_agg(text, '+' ORDER BY ordinal) AS words, min(ordinal) AS first, count(*) AS n FROM w GROUP BY 1, 2",
         "fixed_size_tumbling": _WORDS + _window_sql(64, 0) + _JOINED,
@@ -276,14 +297,14 @@ i AS (SELECT term, ln(1.0 * n / count(*)) + 1 AS idf FROM t, n GROUP BY term, n
 q AS (SELECT sum(idf) AS qn FROM i WHERE term IN ({terms})),
 d AS (SELECT doc_id, sum(CASE WHEN term IN ({terms}) THEN tf * idf * idf ELSE 0 END) / (sum(tf * idf) * any_value(qn)) AS score FROM t JOIN i USING (term), q GROUP BY doc_id)
 SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (doc_id)""",
-        "merge_counts": _WORDS + ", v AS (SELECT * FROM w WHERE lang IN ('fr', 'de')) SELECT 'atoms' AS kind, count(*) AS n FROM v UNION ALL SELECT 'document', count(*) FROM documents WHERE lang IN ('fr', 'de') UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM v)",
+        "merge_counts": _WORDS + "SELECT 'atoms' AS kind, count(*) AS n FROM w UNION ALL SELECT 'document', count(*) FROM documents UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM w)",
         "merge_counts_every_lang": _WORDS + "SELECT 'atoms' AS kind, count(*) AS n FROM w UNION ALL SELECT 'document', count(*) FROM documents UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM w)",
         "ocr_levels": scanned_sql + "SELECT 'atoms' AS kind, count(*) AS n FROM p UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'block', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'paragraph', count(*) FROM (SELECT DISTINCT doc_id, par FROM p) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, l FROM p)",
-        "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f WHERE page < 2 GROUP BY 1, 2",
-        "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w WHERE line < 5 GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
+        "ocr_pages": scanned_sql + ", f AS (SELECT *, lead(l) OVER (PARTITION BY doc_id, page ORDER BY ordinal) AS nl FROM p) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN nl IS NULL THEN '' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f GROUP BY 1, 2",
+        "enrich_chain": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, CAST(len(regexp_extract_all(s, 'o[fr]')) AS BIGINT) AS of, body, doc_id, line FROM b) SELECT * FROM (SELECT * FROM c WHERE the >= 2 ORDER BY the DESC, doc_id, line LIMIT 50) WHERE of >= 1",
         "ocr_every_page": scanned_sql + ", f AS (SELECT *, lead(par) OVER o AS np, lead(l) OVER o AS nl FROM p WINDOW o AS (PARTITION BY doc_id, page ORDER BY ordinal)) SELECT doc_id, page + 1 AS page, string_agg(text || CASE WHEN np IS NULL THEN '' WHEN np <> par THEN '¶' WHEN nl <> l THEN '|' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f GROUP BY 1, 2",
         "enrich_chain_every_line": _WORDS + ", b AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY ordinal) AS s, string_agg(text, '_' ORDER BY ordinal) AS body FROM w GROUP BY 1, 2), c AS (SELECT CAST(len(regexp_extract_all(s, 'the')) AS BIGINT) AS the, body, doc_id, line FROM b) SELECT * FROM c WHERE the >= 1 ORDER BY the DESC, doc_id, line LIMIT 50",
-        "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
+        "lineitem_order_chunks": "SELECT l_orderkey AS order_key, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS parts, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
         "lineitem_every_order": "SELECT l_orderkey AS order_key, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS flags, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
         "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
         "user_chunks_and_filter": _WORDS + "SELECT doc_id, lower(left(text, 1)) AS initial, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 4",

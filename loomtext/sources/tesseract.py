@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Chunks, Corpus
+from ..core import Chunks, Corpus, Frame, Spans, _beside
+from ..functions.arrays import running_counts
+from .text import corpus_of_frame
 
 #: Level numbers of the table, containers before what they contain.
 LEVELS = ("page", "block", "paragraph", "line", "word")
 NUMBERS = ("page_num", "block_num", "par_num", "line_num", "word_num")
+BOX = ("left", "top", "width", "height")
 
 
 def corpus_from_tesseract_table(table: DataFrame, document_id: str | None = None, document_col: str | None = None) -> Corpus:
@@ -43,3 +46,47 @@ def corpus_from_tesseract_table(table: DataFrame, document_id: str | None = None
         chunks = rows.filter(F.col("level") == i).select(parent.alias("document" if i == 1 else LEVELS[i - 2]), *shape, F.col(f"n_{name}").alias("ordinal"), key(name).alias("id"))
         attach(name, chunks, F.col(f"_{name}"))
     return corpus
+
+
+def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col: str) -> Corpus:
+    """``corpus_from_tesseract_table`` of a table with a row for each document and its Tesseract rows in an array.
+
+    Levels are counted and chunks are intervals inside the row: nothing is shuffled, and a document
+    must fit a row.  An array may be null or empty and its rows in any order; null rows are skipped.
+    """
+    own, words, table, name = "__document", "__words", "__rows", (lambda level: f"__{level}")
+    rows = F.filter(F.coalesce(F.col(f"`{rows_col}`"), F.array()), lambda r: r.isNotNull())
+    ordered = F.array_sort(F.transform(rows, lambda r: F.struct(*[r[n].alias(n) for n in NUMBERS], r["level"].alias("level"), *[r[n].alias(n) for n in (*BOX, "conf", "text")])))
+    docs = docs.select(F.col(f"`{document_col}`").alias("id"), F.col(f"`{document_col}`").alias(own), ordered.alias(table))
+    docs = docs.withColumn("__n", running_counts(F.transform(table, lambda r: r["level"].cast("int")), len(LEVELS)))
+    counted = F.col(table)
+    counted = F.transform(counted, lambda r: F.struct(r.alias("row")))
+    for i in range(1, len(LEVELS) + 1):
+        counted = F.zip_with(counted, f"__n.n{i}", _beside(["row", *(f"n{k}" for k in range(1, i))], f"n{i}"))
+    docs = docs.select("id", own, counted.alias(table))
+    key = lambda level, n: F.struct(F.col(own).alias("document"), F.lit(level).alias("level"), n.alias("ordinal"))
+
+    def items(i: int) -> Column:
+        """The rows of a level with the places of the words up to the next of them."""
+        kept = F.filter(table, lambda r: r["row"]["level"] == i)
+        last = F.coalesce(F.get(F.col(table), F.size(table) - 1)["n5"], F.lit(0).cast("bigint"))
+        ends = F.concat(F.slice(F.transform(kept, lambda r: r["n5"]), 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(last))
+        shape = BOX[2:] if i == 1 else BOX
+        parent = (lambda r: F.col(own)) if i == 1 else (lambda r: key(LEVELS[i - 2], r[f"n{i - 1}"]))
+        of = "document" if i == 1 else LEVELS[i - 2]
+        made = lambda r, end: F.struct(parent(r).alias(of), *[r["row"][n].alias(n) for n in shape], r[f"n{i}"].alias("ordinal"), key(LEVELS[i - 1], r[f"n{i}"]).alias("id"), r["n5"].cast("int").alias("_a"), (end - 1).cast("int").alias("_b"))
+        return F.filter(F.zip_with(kept, ends, lambda r, end: F.when(r.isNotNull(), made(r, end))), lambda c: c.isNotNull())
+
+    docs = docs.select("id", own, F.filter(table, lambda r: r["row"]["level"] == len(LEVELS)).alias(words), *[items(i).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)])
+    fields = {n: (lambda x, i, n=n: x["row"][n]) for n in (*BOX, "text")}
+    fields |= {
+        "confidence": lambda x, i: x["row"]["conf"],
+        "ordinal": lambda x, i: x["n5"],
+        "id": lambda x, i: key("word", x["n5"]),
+        "tesseract_coord": lambda x, i: F.struct(*[x["row"][n].alias(n) for n in NUMBERS]),
+        "document": lambda x, i: F.col(own),
+    }
+    keys = {level: (lambda x, i=i: x[f"n{i}"]) for i, level in enumerate(LEVELS[:-1], 1)}
+    frame = Frame(docs, words, fields, (own,), keys, consecutive=True)
+    shapes = {level: [("document" if i == 1 else LEVELS[i - 2]), *(BOX[2:] if i == 1 else BOX), "ordinal", "id"] for i, level in enumerate(LEVELS[:-1], 1)}
+    return corpus_of_frame(frame, {"document": Spans(frame, ["id"]), **{level: Spans(frame, shapes[level], F.col(name(level))) for level in LEVELS[:-1]}})
