@@ -95,49 +95,60 @@ class Tfidf(TextScore):
         grams = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
         return F.flatten(F.array(*[grams(n) for n in range(low, high + 1)]))
 
-    def _idf(self, df: DataFrame) -> DataFrame:
-        """(term, idf) of the vocabulary, out of (term, df, sum) with a row for the number of chunks under a null term."""
-        # Aggregates, not filters: a filter would go below the grouping, and this would be another scan.
-        total = df.agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("_all"))
+    def _kept(self, df: Column) -> Column:
+        """Whether a term of so many chunks is in the vocabulary, but for ``max_features``; ``_all`` is the number of chunks."""
         share = lambda x: F.lit(x) * F.col("_all") if isinstance(x, float) else F.lit(x)
-        df = df.crossJoin(F.broadcast(total))
-        if self.vocabulary is not None:
-            df = df.filter(F.col("term").isin(self.vocabulary))
-        else:
-            if isinstance(self.min_df, float) or self.min_df > 1:
-                df = df.filter(F.col("df") >= share(self.min_df))
-            if not (isinstance(self.max_df, float) and self.max_df == 1.0):
-                df = df.filter(F.col("df") <= share(self.max_df))
-            if self.max_features is not None:
-                df = df.filter("term IS NOT NULL").orderBy(F.desc("sum"), "term").limit(self.max_features)
+        test = df > 0
+        if self.vocabulary is None and (isinstance(self.min_df, float) or self.min_df > 1):
+            test &= df >= share(self.min_df)
+        if self.vocabulary is None and not (isinstance(self.max_df, float) and self.max_df == 1.0):
+            test &= df <= share(self.max_df)
+        return test
+
+    def _idf(self, df: Column) -> Column:
         more = 1 if self.smooth_idf else 0
-        idf = F.log((F.col("_all") + more) / (F.col("df") + more)) + 1 if self.use_idf else F.lit(1.0)
-        return df.select("term", idf.alias("idf"))
+        return F.log((F.col("_all") + more) / (df + more)) + 1 if self.use_idf else F.lit(1.0)
 
     def _weight(self, tf: Column) -> Column:
         return F.lit(1.0) if self.binary and not self.sublinear_tf else (F.lit(1.0) if self.binary else F.log(tf.cast("double")) + 1) if self.sublinear_tf else tf.cast("double")
 
+    def _length(self, weights: Column) -> Column:
+        return {"l2": F.sqrt(F.sum(weights * weights)), "l1": F.sum(F.abs(weights)), None: F.lit(1.0)}[self.norm]
+
+    def _terms_of_all(self, rows: DataFrame) -> DataFrame:
+        """(term, df, sum) of all terms; how often a term is there counts only where features are ranked by it."""
+        one = lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("tf"))
+        ranked = self.max_features is not None and not self.binary
+        once = F.transform(term_counts("terms"), lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"))) if ranked else F.transform(F.array_distinct("terms"), one)
+        return rows.select(F.explode(once).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("sum"))
+
+    def _asked(self, rows: DataFrame, asked: Counter) -> DataFrame:
+        """One row: the number of chunks and the length of the query, out of how many chunks have each of its terms."""
+        names = sorted(asked)
+        counts = rows.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.array_contains("terms", t)).alias(f"_{i}") for i, t in enumerate(names)])
+        known = lambda i, t: self._kept(F.col(f"_{i}")) if self.vocabulary is None or t in self.vocabulary else F.lit(False)
+        weights = [F.when(known(i, t), self._weight(F.lit(asked[t])) * self._idf(F.col(f"_{i}"))).otherwise(0.0) for i, t in enumerate(names)]
+        size = {"l2": lambda: F.sqrt(sum(w * w for w in weights)), "l1": lambda: sum(F.abs(w) for w in weights), None: lambda: F.lit(1.0)}[self.norm]
+        return counts.select("_all", (size() if weights else F.lit(0.0)).alias("_query"))
+
     def score(self, texts: DataFrame) -> DataFrame:
         rows = texts.select("id", self.terms(F.coalesce("value", F.lit(""))).alias("terms"))
         asked = Counter(self.analyze(self.query))
-        # One row a chunk and distinct term; how often it is there matters only where features are ranked by it.
-        if self.max_features is not None and not self.binary:
-            once = F.transform(term_counts("terms"), lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf")))
-        else:
-            once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("tf")))
-        chunk = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
-        df = rows.select(F.explode(F.concat(once, chunk)).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("sum"))
-        idf = self._idf(df)
-        w = self._weight(F.col("tf")) * F.col("idf")
+        df = self._terms_of_all(rows).crossJoin(F.broadcast(self._asked(rows, asked)))
+        df = df.filter(self._kept(F.col("df")) if self.vocabulary is None else F.col("term").isin(self.vocabulary))
+        if self.max_features is not None and self.vocabulary is None:
+            df = df.orderBy(F.desc("sum"), "term").limit(self.max_features)
+        idf = df.select("term", self._idf(F.col("df")).alias("idf"), "_query")
         pairs = [x for t, n in sorted(asked.items()) for x in (F.lit(t), self._weight(F.lit(n)))]
         qtf = F.coalesce(F.element_at(F.create_map(*pairs), F.col("term")), F.lit(0.0)) if pairs else F.lit(0.0)
-        size = {"l2": lambda x: F.sqrt(F.sum(x * x)), "l1": lambda x: F.sum(F.abs(x)), None: lambda x: F.lit(1.0)}[self.norm]
+        if self.max_features is not None and self.norm is not None:
+            # Which of the query's terms are features is known by the ranking only.
+            idf = idf.drop("_query").crossJoin(F.broadcast(idf.agg(F.coalesce(self._length(qtf * F.col("idf")), F.lit(0.0)).alias("_query"))))
         # Chunks without a term of the query score 0: they go along as one row each, spread over keys that no term has.
         hit = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(asked)])) if asked else F.lit(False)
         counts = rows.select("id", F.explode_outer(term_counts(F.when(hit, F.col("terms")))).alias("x"))
         counts = counts.select("id", F.coalesce("x.term", F.concat(F.lit(NO_TERM), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))).alias("term"), F.col("x.tf").alias("tf"))
-        scored = counts.join(idf, "term", "left").groupBy("id").agg(F.sum(w * qtf * F.col("idf")).alias("dot"), size(w).alias("own"))
-        mine = F.when(F.col("term").isin(list(asked)), qtf * F.col("idf")) if asked else F.lit(0.0)
-        whole = idf.agg(F.coalesce(size(mine), F.lit(0.0)).alias("query"))
+        w = self._weight(F.col("tf")) * F.col("idf")
+        scored = counts.join(idf, "term", "left").groupBy("id").agg(F.sum(w * qtf * F.col("idf")).alias("dot"), self._length(w).alias("own"), F.max("_query").alias("query"))
         value = F.when(F.col("own") * F.col("query") > 0, F.col("dot") / (F.col("own") * F.col("query"))).otherwise(F.lit(0.0))
-        return scored.crossJoin(F.broadcast(whole)).select("id", F.coalesce(value, F.lit(0.0)).alias("value"))
+        return scored.select("id", F.coalesce(value, F.lit(0.0)).alias("value"))
