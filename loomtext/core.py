@@ -205,6 +205,8 @@ class Frame:
     keys: dict[str, Callable[[Column], Column]] | None = None
     consecutive: bool = False
     plain: bool = False
+    #: What the rows of spans call the place where a span begins.
+    place: str = "__place"
 
 
 class Atoms:
@@ -218,11 +220,9 @@ class Atoms:
 
     def values(self, name: str) -> Column:
         """An array of a column of the atoms."""
-        return F.transform(self.array, lambda x, i: self.frame.fields[name](x, F.col(PLACE) + i))
+        return F.transform(self.array, lambda x, i: self.frame.fields[name](x, F.col(f"`{self.frame.place}`") + i))
 
 
-#: Where a span begins in its frame's array, in the rows of spans.
-PLACE = "__place"
 #: So many ids are broadcast at most.
 FEW = 100_000
 
@@ -261,7 +261,7 @@ class Spans:
         scalars = [F.col(f"`{s}`") for s in frame.scalars] if atoms else []
         if self._items is None:
             own = [F.col(f"`{a}`") for a in self.attributes] + [F.col(f"__v{j}")[0].alias(n) for j, n in enumerate(across)]
-            return table.select(*own, *scalars, *([array, F.lit(0).alias(PLACE)] if atoms else []))
+            return table.select(*own, *scalars, *([array, F.lit(0).alias(frame.place)] if atoms else []))
         # Zipped, not indexed, and the atoms bound once: what stands in a lambda is computed for each element.
         zipped = F.transform(self.items(), lambda c: F.struct(c.alias("c")))
         for j in range(len(across)):
@@ -278,13 +278,13 @@ class Spans:
         whole = let(array, lambda held: F.transform("__z", lambda z: one(z, held))) if atoms else F.transform("__z", lambda z: one(z, None))
         table = table.select(*scalars, F.explode(whole).alias("__c"))
         own = [F.col(f"__c.x{j}").alias(a) for j, a in enumerate(self.attributes)] + [F.col(f"__c.y{j}").alias(n) for j, n in enumerate(across)]
-        held = [*scalars, F.col("__c.atoms").alias(frame.atoms), F.col("__c.place").alias(PLACE)] if atoms else []
+        held = [*scalars, F.col("__c.atoms").alias(frame.atoms), F.col("__c.place").alias(frame.place)] if atoms else []
         return table.select(*own, *held)
 
     def unnest(self, rows: DataFrame) -> DataFrame:
         """``rows`` with their atoms as a row for each atom of each span: the atoms' columns and ``_chunk``."""
         atoms = Atoms(self.frame)
-        whole = F.transform(atoms.array, lambda x, i: F.struct(*[f(x, F.col(PLACE) + i).alias(n) for n, f in self.frame.fields.items()]))
+        whole = F.transform(atoms.array, lambda x, i: F.struct(*[f(x, F.col(f"`{self.frame.place}`") + i).alias(n) for n, f in self.frame.fields.items()]))
         return rows.select(F.col("id").alias("_chunk"), F.explode(whole).alias("__x")).select(*[F.col(f"__x.`{n}`").alias(n) for n in self.frame.fields], "_chunk")
 
 

@@ -16,8 +16,6 @@ from .arrays import let, running_sums
 #: Python's classes as members of a JVM class; a word character is a letter, any number or an underscore.
 WORD, DIGIT, SPACE = r"\p{L}\p{N}_", r"\p{Nd}", r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_WORD, ASCII_DIGIT, ASCII_SPACE = "a-zA-Z0-9_", "0-9", r" \t-\r"
-#: Members of a class that are tried one by one for others that are the same without case.
-MOST_CASES = 512
 
 
 class Unsafe(ValueError):
@@ -29,27 +27,22 @@ def _char(code: int) -> str:
 
 
 @lru_cache(1)
-def _by_lower() -> dict[str, list[int]]:
-    """Characters by what they are in lower or in upper case, where that is another."""
-    out: dict[str, list[int]] = {}
-    for c in range(0x110000):
-        for other in {chr(c).lower(), chr(c).upper()}:
-            if len(other) == 1 and other != chr(c):
-                out.setdefault(other, []).append(c)
-    return out
+def _cased() -> tuple[str, ...]:
+    """The characters that have another case."""
+    return tuple(c for c in map(chr, range(0x110000)) if c.lower() != c or c.upper() != c)
 
 
 @lru_cache(4096)
-def _cases(code: int, ascii_only: bool) -> tuple[int, ...]:
-    """The characters that Python takes for this one without regard to case."""
-    own, found, todo = re.compile(re.escape(chr(code)), re.I | (re.A if ascii_only else 0)), {code}, [code]
-    while todo:
-        c = chr(todo.pop())
-        for other in {*map(ord, (x for x in (c.lower(), c.upper()) if len(x) == 1)), *_by_lower().get(c, ())} - found:
-            if own.fullmatch(chr(other)):
-                found.add(other)
-                todo.append(other)
-    return tuple(sorted(found))
+def _either_case(python: str, jvm: str, flags: int) -> str:
+    """A class for the JVM that means one of Python's without regard to case: it is tried on every character that has a case."""
+    plain, own = re.compile(python, flags & ~re.I), re.compile(python, flags)
+    more, less = [], []
+    for c in _cased():
+        with_, without = own.fullmatch(c), plain.fullmatch(c)
+        if bool(with_) != bool(without):
+            (more if with_ else less).append(_char(ord(c)))
+    own = f"(?![{''.join(less)}]){jvm}" if less else jvm
+    return f"(?:[{''.join(more)}]|{own})" if more else f"(?:{own})"
 
 
 class _Translation:
@@ -68,9 +61,9 @@ class _Translation:
 
     def node(self, kind, value, flags: int, repeated: bool) -> str:
         if kind is op.LITERAL:
-            return self.one_of([value], flags)
+            return self.one_of(value, flags)
         if kind is op.NOT_LITERAL:
-            return self.one_of([value], flags, "^")
+            return self.one_of(value, flags, "^")
         if kind is op.ANY:
             return "(?s:.)" if flags & re.S else r"[^\n]"
         if kind is op.IN:
@@ -108,41 +101,36 @@ class _Translation:
             raise Unsafe(str(where))
         return known[where]
 
-    def one_of(self, codes, flags: int, lead: str = "") -> str:
-        if flags & re.I:
-            codes = sorted({x for c in codes for x in _cases(c, bool(flags & re.A))})
-        if len(codes) == 1 and not lead:
-            return _char(codes[0])
-        return f"[{lead}{''.join(map(_char, codes))}]"
+    def one_of(self, code: int, flags: int, lead: str = "") -> str:
+        return self.members([*([(op.NEGATE, None)] if lead else []), (op.LITERAL, code)], flags)
 
     def members(self, value, flags: int) -> str:
-        plain = {op.CATEGORY_WORD: WORD, op.CATEGORY_DIGIT: DIGIT, op.CATEGORY_SPACE: SPACE}
-        if flags & re.A:
-            plain = {op.CATEGORY_WORD: ASCII_WORD, op.CATEGORY_DIGIT: ASCII_DIGIT, op.CATEGORY_SPACE: ASCII_SPACE}
-        negated = {op.CATEGORY_NOT_WORD: plain[op.CATEGORY_WORD], op.CATEGORY_NOT_DIGIT: plain[op.CATEGORY_DIGIT], op.CATEGORY_NOT_SPACE: plain[op.CATEGORY_SPACE]}
-        lead, parts = "", []
+        kinds = {op.CATEGORY_WORD: ("w", WORD, ASCII_WORD), op.CATEGORY_DIGIT: ("d", DIGIT, ASCII_DIGIT), op.CATEGORY_SPACE: ("s", SPACE, ASCII_SPACE)}
+        kinds |= {no: (kinds[yes][0].upper(), *(f"[^{x}]" for x in kinds[yes][1:])) for no, yes in ((op.CATEGORY_NOT_WORD, op.CATEGORY_WORD), (op.CATEGORY_NOT_DIGIT, op.CATEGORY_DIGIT), (op.CATEGORY_NOT_SPACE, op.CATEGORY_SPACE))}
+        lead, parts, python = "", [], []
         for kind, x in value:
             if kind is op.NEGATE:
                 lead = "^"
             elif kind is op.LITERAL:
-                parts += [_char(c) for c in (_cases(x, bool(flags & re.A)) if flags & re.I else (x,))]
+                parts.append(_char(x))
+                python.append(f"\\U{x:08x}")
             elif kind is op.RANGE:
-                low, high = x
-                parts.append(f"{_char(low)}-{_char(high)}")
-                if flags & re.I:
-                    if high - low >= MOST_CASES:
-                        raise Unsafe("a wide range without regard to case")
-                    parts += [_char(c) for k in range(low, high + 1) for c in _cases(k, bool(flags & re.A)) if not low <= c <= high]
-            elif kind is op.CATEGORY and x in plain:
-                parts.append(plain[x])
-            elif kind is op.CATEGORY and x in negated:
-                parts.append(f"[^{negated[x]}]")
+                parts.append(f"{_char(x[0])}-{_char(x[1])}")
+                python.append(f"\\U{x[0]:08x}-\\U{x[1]:08x}")
+            elif kind is op.CATEGORY and x in kinds:
+                name, wide, narrow = kinds[x]
+                parts.append(narrow if flags & re.A else wide)
+                python.append(f"\\{name}")
             else:
                 raise Unsafe(str(kind))
         if lead and any(p.startswith("[^") for p in parts):
-            # A negated class inside one is written as what both exclude, so that nothing hangs on how unions are negated.
-            return "(?:(?![" + "".join(parts) + "])(?s:.))"
-        return f"[{lead}{''.join(parts)}]"
+            # Said by a lookahead, so that nothing hangs on how the JVM negates unions.
+            own = "(?:(?![" + "".join(parts) + "])(?s:.))"
+        elif len(value) == 1 and value[0][0] is op.LITERAL:
+            own = parts[0]
+        else:
+            own = f"[{lead}{''.join(parts)}]"
+        return _either_case(f"[{lead}{''.join(python)}]", own, flags & (re.I | re.A)) if flags & re.I else own
 
 
 @lru_cache(256)

@@ -108,7 +108,7 @@ class RegexMatchChunk(ChunkExpr):
             raise ValueError("the pattern or the corpus does not allow the JVM's engine")
         names = corpus.atoms.columns
         row = F.struct(F.col("ordinal").alias("_o"), F.col("id").alias("_i"), F.struct(*names).alias("_a"))
-        rows = within.members().filter("text IS NOT NULL AND ordinal IS NOT NULL").groupBy("_chunk").agg(F.array_sort(F.collect_list(row)).alias("_atoms"))
+        rows = within.members().filter("text IS NOT NULL AND ordinal IS NOT NULL").groupBy("_chunk").agg(F.sort_array(F.collect_list(row)).alias("_atoms"))
         # Each match takes its own atoms along before matches become rows, so no row holds the whole text.
         rows = rows.withColumn("_ms", match_atoms(F.transform("_atoms", lambda x: x["_a"]["text"]), self.pattern))
         own = F.transform("_ms", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.slice("_atoms", m["first"] + 1, m["last"] - m["first"] + 1).alias("atoms")))

@@ -15,7 +15,7 @@ from ..functions.regex import count_matches
 def _ordered(chunks: Chunks, value: Column) -> Column:
     """The atoms' values in the order of ordinals (if there are any), then of ids; nulls stay."""
     names = ["ordinal", "id"] if "ordinal" in chunks.corpus.atoms.columns else ["id"]
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)], value.alias("v"))))
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)], value.alias("v"))))
     return F.transform(rows, lambda x: x["v"])
 
 
@@ -168,6 +168,6 @@ class ChunkDelimitedStringify(AttrExpr):
         for i, (_, delimiter) in enumerate(self.chunk_delimiters):
             follow = follow.when(F.col(f"_d{i}") != F.lead(f"_d{i}").over(order), F.lit(delimiter))
         rows = rows.withColumn("_piece", F.concat("text", follow.otherwise(F.lit(self.atom_delimiter))))
-        pieces = F.array_sort(F.collect_list(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("v"))))
+        pieces = F.sort_array(F.collect_list(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("v"))))
         joined = rows.groupBy("_chunk").agg(F.array_join(F.transform(pieces, lambda x: x["v"]), "").alias("_v"))
         return chunks.chunks.select("id").join(joined, F.col("id") == F.col("_chunk"), "left").select("id", F.coalesce("_v", F.lit("")).alias("value"))

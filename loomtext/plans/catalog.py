@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents
+from ..functions.arrays import fenced
 
 TERMS = "the reand shtion"
 MATCH = "(the|und|les) [a-z]+ing"
@@ -88,12 +89,12 @@ def scanned(docs: DataFrame) -> DataFrame:
         return F.transform(starts, lambda i: row(k, i, F.lit("")))
 
     rows = F.concat(*[level(k) for k in range(1, 5)], F.transform("words", lambda w, i: row(5, i, w)))
-    return docs.select(F.col("doc_id").alias("document"), words.alias("words")).select("document", rows.alias("rows"))
+    return docs.select(F.col("doc_id").alias("document"), fenced(words).alias("words")).select("document", fenced(rows).alias("rows"))
 
 
 def _scans(spark: SparkSession, sf: str) -> Corpus:
-    docs = scanned(spark.read.parquet(f"{sf}/documents.parquet")).filter(F.size("rows") > 0)
-    return corpus_from_tesseract_documents(docs, "document", "rows")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("text").rlike(r"\S"))
+    return corpus_from_tesseract_documents(scanned(docs), "document", "rows")
 
 
 def _ocr_levels(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Chunks, Corpus, Frame, Spans, _beside
-from ..functions.arrays import running_counts
+from ..core import Chunks, Corpus, Frame, Spans
+from ..functions.arrays import fenced, let, running_counts
 from .text import corpus_of_frame
 
 #: Level numbers of the table, containers before what they contain.
@@ -55,34 +55,40 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
     must fit a row.  An array may be null or empty and its rows in any order; null rows are skipped.
     """
     own, words, table, name = "__document", "__words", "__rows", (lambda level: f"__{level}")
-    rows = F.filter(F.coalesce(F.col(f"`{rows_col}`"), F.array()), lambda r: r.isNotNull())
-    ordered = F.array_sort(F.transform(rows, lambda r: F.struct(*[r[n].alias(n) for n in NUMBERS], r["level"].alias("level"), *[r[n].alias(n) for n in (*BOX, "conf", "text")])))
+    rows = F.coalesce(F.col(f"`{rows_col}`"), F.array())
+    ordered = F.sort_array(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.struct(*[r[n].alias(n) for n in NUMBERS], r["level"].alias("level"), *[r[n].alias(n) for n in (*BOX, "conf", "text")])))
     docs = docs.select(F.col(f"`{document_col}`").alias("id"), F.col(f"`{document_col}`").alias(own), ordered.alias(table))
-    docs = docs.withColumn("__n", running_counts(F.transform(table, lambda r: r["level"].cast("int")), len(LEVELS)))
-    counted = F.col(table)
-    counted = F.transform(counted, lambda r: F.struct(r.alias("row")))
-    for i in range(1, len(LEVELS) + 1):
-        counted = F.zip_with(counted, f"__n.n{i}", _beside(["row", *(f"n{k}" for k in range(1, i))], f"n{i}"))
-    docs = docs.select("id", own, counted.alias(table))
+    # Only containers are counted; so many words are before one as its place less the containers before it.
+    held = F.filter(F.transform(table, lambda r, i: F.when(r["level"] < len(LEVELS), F.struct(r.alias("row"), i.alias("at")))), lambda c: c.isNotNull())
+    docs = docs.select("id", own, F.filter(table, lambda r: r["level"] == len(LEVELS)).alias(words), fenced(held).alias("__held"))
+    docs = docs.withColumn("__n", running_counts(F.transform("__held", lambda c: c["row"]["level"].cast("int")), len(LEVELS) - 1))
+    zipped = F.arrays_zip("__held", *[F.col(f"__n.n{i}") for i in range(1, len(LEVELS))])
+    zipped = F.transform(zipped, lambda c, i: F.struct(c["__held"]["row"].alias("row"), (c["__held"]["at"] - i).alias("before"), *[c[f"n{k}"].alias(f"n{k}") for k in range(1, len(LEVELS))]))
+    docs = docs.select("id", own, words, fenced(zipped).alias(table))
     key = lambda level, n: F.struct(F.col(own).alias("document"), F.lit(level).alias("level"), n.alias("ordinal"))
 
     def items(i: int) -> Column:
         """The rows of a level with the places of the words up to the next of them."""
-        kept = F.filter(table, lambda r: r["row"]["level"] == i)
-        last = F.coalesce(F.get(F.col(table), F.size(table) - 1)["n5"], F.lit(0).cast("bigint"))
-        ends = F.concat(F.slice(F.transform(kept, lambda r: r["n5"]), 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(last))
         shape = BOX[2:] if i == 1 else BOX
         parent = (lambda r: F.col(own)) if i == 1 else (lambda r: key(LEVELS[i - 2], r[f"n{i - 1}"]))
         of = "document" if i == 1 else LEVELS[i - 2]
-        made = lambda r, end: F.struct(parent(r).alias(of), *[r["row"][n].alias(n) for n in shape], r[f"n{i}"].alias("ordinal"), key(LEVELS[i - 1], r[f"n{i}"]).alias("id"), r["n5"].cast("int").alias("_a"), (end - 1).cast("int").alias("_b"))
-        return F.filter(F.zip_with(kept, ends, lambda r, end: F.when(r.isNotNull(), made(r, end))), lambda c: c.isNotNull())
+        made = lambda r, end: F.struct(parent(r).alias(of), *[r["row"][n].alias(n) for n in shape], r[f"n{i}"].alias("ordinal"), key(LEVELS[i - 1], r[f"n{i}"]).alias("id"), r["before"].alias("_a"), (F.coalesce(end, F.size(words)) - 1).alias("_b"))
+        return let(F.filter(table, lambda r: r["row"]["level"] == i), lambda kept: F.zip_with(kept, F.slice(F.transform(kept, lambda r: r["before"]), 2, F.greatest(F.size(kept) - 1, F.lit(0))), made))
 
-    docs = docs.select("id", own, F.filter(table, lambda r: r["row"]["level"] == len(LEVELS)).alias(words), *[items(i).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)])
+    def numbers(level: str) -> Column:
+        """For each word the number of the level's chunk that it is in; 0 before the first."""
+        own_places = F.transform(name(level), lambda c: F.array_repeat(c["ordinal"], c["_b"] - c["_a"] + 1))
+        before = F.coalesce(F.get(F.col(name(level)), F.lit(0))["_a"], F.size(words))
+        return F.flatten(F.concat(F.array(F.array_repeat(F.lit(0).cast("bigint"), before)), own_places))
+
+    docs = docs.select("id", own, words, *[fenced(items(i)).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)])
+    numbered = F.arrays_zip(F.col(words).alias("row"), *[numbers(level).alias(f"n{i}") for i, level in enumerate(LEVELS[:-1], 1)])
+    docs = docs.select("id", own, fenced(numbered).alias(words), *map(name, LEVELS[:-1]))
     fields = {n: (lambda x, i, n=n: x["row"][n]) for n in (*BOX, "text")}
     fields |= {
         "confidence": lambda x, i: x["row"]["conf"],
-        "ordinal": lambda x, i: x["n5"],
-        "id": lambda x, i: key("word", x["n5"]),
+        "ordinal": lambda x, i: (i + 1).cast("bigint"),
+        "id": lambda x, i: key("word", (i + 1).cast("bigint")),
         "tesseract_coord": lambda x, i: F.struct(*[x["row"][n].alias(n) for n in NUMBERS]),
         "document": lambda x, i: F.col(own),
     }

@@ -25,7 +25,7 @@ def corpus_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     while other in docs.columns:
         other += "_"
     rest = {c: other if c == "id" else c for c in docs.columns if c not in (id_col, text_col)}
-    words, firsts, own = (_free([*docs.columns, "__c"], n) for n in ("__words", "__lines", "__document"))
+    words, firsts, own, place = (_free([*docs.columns, "__c"], n) for n in ("__words", "__lines", "__document", "__place"))
     table = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{id_col}`").alias(own), *[F.col(f"`{c}`").alias(n) for c, n in rest.items()], F.coalesce(_lines(F.col(f"`{text_col}`").cast("string")), F.array()).alias(firsts))
     # Beside the words, where each line's begin; lines without words are not there.
     sizes = running_sums(F.transform(firsts, lambda x: F.size(x).cast("bigint")))
@@ -39,7 +39,7 @@ def corpus_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "text": lambda x, i: x["text"],
         "ordinal": lambda x, i: ordinal(i),
     }
-    frame = Frame(table, words, fields, (own,), {"line": lambda x: x["line"]}, consecutive=True, plain=True)
+    frame = Frame(table, words, fields, (own,), {"line": lambda x: x["line"]}, consecutive=True, plain=True, place=place)
     return corpus_of_frame(frame, {"document": Spans(frame, ["id", *rest.values()]), "line": Spans(frame, ["id", "document", "ordinal"], F.transform(firsts, lambda c: F.struct(F.struct(F.col(own).alias("document"), c["line"].alias("line")).alias("id"), F.col(own).alias("document"), c["line"].alias("ordinal"), c["_a"], c["_b"])))})
 
 
