@@ -141,27 +141,28 @@ class Tfidf(TextScore):
         df = df.filter(self._kept(F.col("df")) if self.vocabulary is None else F.col("term").isin(self.vocabulary))
         if self.max_features is not None and self.vocabulary is None:
             df = df.orderBy(F.desc("sum"), "term").limit(self.max_features)
-        idf = df.select("term", self._idf(F.col("df")).alias("idf"))
+        # The query's length goes along with each term: read apart, it would be another pass over the chunks.
+        idf = df.select("term", "df", self._idf(F.col("df")).alias("idf"), "_query")
         pairs = [x for t, n in sorted(asked.items()) for x in (F.lit(t), self._weight(F.lit(n)))]
         qtf = F.coalesce(F.element_at(F.create_map(*pairs), F.col("term")), F.lit(0.0)) if pairs else F.lit(0.0)
-        whole = told.select(F.col("_query").alias("query"))
         if self.max_features is not None and self.vocabulary is None:
             # Which of the query's terms are features is known by the ranking only.
-            whole = idf.agg(F.coalesce(self._length(qtf * F.col("idf")), F.lit(0.0)).alias("query"))
+            idf = idf.drop("_query").crossJoin(F.broadcast(idf.agg(F.coalesce(self._length(qtf * F.col("idf")), F.lit(0.0)).alias("_query"))))
         # Chunks without a term of the query score 0: they go along as one row each.
         hit = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(asked)])) if asked else F.lit(False)
         counts = rows.select("id", F.explode_outer(term_counts(F.when(hit, F.col("terms")))).alias("x")).select("id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
         # Most of them are looked up in a table of frequent terms and summed up where they are; what is left is shuffled.
-        often = df.filter(F.length("term") <= LONGEST).orderBy(F.desc("df"), "term").limit(FREQUENT).select(F.col("term").alias("_t"), self._idf(F.col("df")).alias("idf"))
+        often = idf.orderBy(F.length("term") > LONGEST, F.desc("df"), "term").limit(FREQUENT).select(F.when(F.length("term") <= LONGEST, F.col("term")).alias("_t"), "idf", "_query")
         here = counts.join(F.broadcast(often), F.col("term") == F.col("_t"), "left")
         w = self._weight(F.col("tf")) * F.col("idf")
         parts = {None: lambda x: F.lit(0.0), "l1": F.abs, "l2": lambda x: x * x}[self.norm]
-        own = [F.sum(w * qtf * F.col("idf")).alias("dot"), F.sum(parts(w)).alias("own")]
+        own = [F.sum(w * qtf * F.col("idf")).alias("dot"), F.sum(parts(w)).alias("own"), F.max("_query").alias("query")]
         here = here.groupBy("id", F.when(F.col("idf").isNull(), F.col("term")).alias("term"), F.when(F.col("idf").isNull(), F.col("tf")).alias("tf")).agg(*own)
         # Null keys would all meet in one task.
         there = here.withColumn("term", F.coalesce("term", F.concat(F.lit(NO_TERM), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string")))).join(idf, "term", "left")
+        asked_for = F.max(F.coalesce("query", "_query")).alias("query")
         total = lambda name, rest: F.sum(F.coalesce(name, F.lit(0.0)) + F.coalesce(rest, F.lit(0.0)))
-        scored = there.groupBy("id").agg(total("dot", w * qtf * F.col("idf")).alias("dot"), total("own", parts(w)).alias("own"))
-        scored = scored.withColumn("own", {"l2": F.sqrt("own"), "l1": F.col("own"), None: F.lit(1.0)}[self.norm]).crossJoin(F.broadcast(whole))
+        scored = there.groupBy("id").agg(total("dot", w * qtf * F.col("idf")).alias("dot"), total("own", parts(w)).alias("own"), asked_for)
+        scored = scored.withColumn("own", {"l2": F.sqrt("own"), "l1": F.col("own"), None: F.lit(1.0)}[self.norm])
         value = F.when(F.col("own") * F.col("query") > 0, F.col("dot") / (F.col("own") * F.col("query"))).otherwise(F.lit(0.0))
         return scored.select("id", F.coalesce(value, F.lit(0.0)).alias("value"))

@@ -254,7 +254,7 @@ def test_no_python_in_the_plan(spark, name):
 
 def test_retrieval_plan_is_short(spark):
     text = plan(spark, "retrieval")
-    assert len(re.findall("FileScan parquet", text)) <= 7 and len(re.findall(r"\bExchange ", text)) <= 9
+    assert len(re.findall("FileScan parquet", text)) <= 6 and len(re.findall(r"\bExchange ", text)) <= 8
 
 
 def test_only_what_is_asked_is_read(spark):
