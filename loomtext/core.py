@@ -125,7 +125,10 @@ class Corpus:
         return kind in (frame.keys or {}) and own.spans is not None and own.spans.frame is frame and own.kind == kind and not own.filtered
 
     def set_chunk(self, name: str, chunks: Chunks, persist: bool = True) -> None:
-        """Store chunks of this corpus by name; they are kept by Spark unless ``persist`` is false, and those that had the name no more."""
+        """Store chunks of this corpus by name; they are kept by Spark unless ``persist`` is false, and those that had the name no more.
+
+        Kept are the chunks' rows and their bridge.  What is computed inside the rows of a frame needs neither.
+        """
         if chunks.corpus is not self:
             raise ValueError("the chunks belong to another corpus")
         if name in self.chunks and self.chunks[name] is not chunks:
