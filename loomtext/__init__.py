@@ -8,7 +8,8 @@ from .functions.scoring import Tfidf
 from .operators.chunkers import FixedSizeChunk, RegexMatchChunk
 from .operators.exprs import AtomData, ChunkDelimitedStringify, ChunkOverlap, RegexCount, SimpleStringify
 from .operators.filters import EqualTo, Threshold, TopK
+from .sources.store import open_corpus, save_corpus
 from .sources.tesseract import corpus_from_tesseract_documents, corpus_from_tesseract_table
 from .sources.text import corpus_from_documents, corpus_from_rows
 
-__all__ = ["AtomAggregate", "AtomData", "Atoms", "AttrExpr", "ChunkDelimitedStringify", "ChunkExpr", "ChunkFilter", "ChunkOverlap", "Chunks", "Corpus", "EqualTo", "FixedSizeChunk", "Frame", "RegexCount", "RegexMatchChunk", "SimpleStringify", "Spans", "TextScore", "Tfidf", "Threshold", "TopK", "corpus_from_documents", "corpus_from_rows", "corpus_from_tesseract_documents", "corpus_from_tesseract_table"]
+__all__ = ["AtomAggregate", "AtomData", "Atoms", "AttrExpr", "ChunkDelimitedStringify", "ChunkExpr", "ChunkFilter", "ChunkOverlap", "Chunks", "Corpus", "EqualTo", "FixedSizeChunk", "Frame", "RegexCount", "RegexMatchChunk", "SimpleStringify", "Spans", "TextScore", "Tfidf", "Threshold", "TopK", "corpus_from_documents", "corpus_from_rows", "corpus_from_tesseract_documents", "corpus_from_tesseract_table", "open_corpus", "save_corpus"]

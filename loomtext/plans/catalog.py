@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents
+from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents, open_corpus, save_corpus
 from ..functions.arrays import fenced
+from ..sources.store import scratch
 
 TERMS = "the reand shtion"
 MATCH = "(the|und|les) [a-z]+ing"
@@ -177,11 +178,28 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.crossJoin(numerous)  # a row each
 
 
+def _reopened(corpus: Corpus, name: str) -> Corpus:
+    """The corpus as read back from where it is stored."""
+    spark = corpus.atoms.sparkSession
+    path = scratch(spark, name)
+    save_corpus(corpus, path)
+    return open_corpus(spark, path)
+
+
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _docs(spark, sf)
-    corpus.set_chunk("window", corpus.chunk(FixedSizeChunk("document", 64)))
-    corpus.set_chunk("window", corpus.chunk(FixedSizeChunk("document", 12, -5)), persist=False)  # the name goes to the later ones
-    return corpus.chunk("line").select(doc_id="document", line="ordinal", value=ChunkOverlap("window", "count"))
+    corpus.set_chunk("window", corpus.chunk(FixedSizeChunk("document", 24, -8)), persist=False)
+    windows = _reopened(corpus, "stored-chunks").chunk("window")
+    return windows.select(doc_id="constraint", start="start", body=ChunkDelimitedStringify([("line", " / ")]))
+
+
+def _stored_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their parts and how many of their lines a supplier got back, from stored bridges."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(*keys, F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("returned_to"))
+    corpus = corpus_from_rows(rows, keys, {"order": "l_orderkey", "returned": "returned_to"})
+    rows = _reopened(corpus, "stored-orders").chunk("order").select(order_key="id", returned=ChunkOverlap("returned", "count"), parts=AtomData("l_partkey"))
+    return rows.select("order_key", "returned", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
 
 
 def queries():
@@ -223,6 +241,7 @@ def queries():
         "user_chunks_and_filter": _initials,
         "chunk_lengths": _lengths,
         "stored_chunks": _stored,
+        "stored_orders": _stored_orders,
     }
 
 
@@ -310,5 +329,6 @@ SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (d
         "conversation_chunks": "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
         "user_chunks_and_filter": _WORDS + "SELECT doc_id, lower(left(text, 1)) AS initial, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 4",
         "chunk_lengths": _WORDS + "SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS lines, count(*) FILTER (n >= 30) AS numerous FROM (SELECT doc_id, line, count(*) AS n FROM w GROUP BY 1, 2)",
-        "stored_chunks": _overlap_sql("count(start)"),
+        "stored_chunks": _WORDS + _window_sql(24, -8) + ", f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, start ORDER BY ordinal) AS n FROM x) SELECT doc_id, start, string_agg(text || CASE WHEN n IS NULL THEN '' WHEN n <> line THEN ' / ' ELSE ' ' END, '' ORDER BY ordinal) AS body FROM f GROUP BY 1, 2",
+        "stored_orders": "SELECT l_orderkey AS order_key, count(*) FILTER (l_returnflag = 'R' AND l_suppkey IS NOT NULL) AS returned, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS parts FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1",
     }
