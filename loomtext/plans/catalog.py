@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents, open_corpus, save_corpus
+from .. import AtomData, ChunkDelimitedStringify, ChunkExpr, ChunkFilter, ChunkOverlap, Chunks, Corpus, EqualTo, FixedSizeChunk, RegexCount, RegexMatchChunk, SimpleStringify, TermIndex, TextScore, Tfidf, Threshold, TopK, corpus_from_documents, corpus_from_rows, corpus_from_tesseract_documents, open_corpus, save_corpus
 from ..functions.arrays import fenced
 from ..sources.store import scratch
 
 TERMS = "the reand shtion"
+#: What the index is asked at once.
+QUERIES = (TERMS, "und les und", "license MIT warranty", "of the", "zzzz", "")
 MATCH = "(the|und|les) [a-z]+ing"
 
 
@@ -70,6 +72,17 @@ def _tfidf_options(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).chunk("document").select(doc_id="id", score=Rounded(expr))
 
 
+def _many_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best documents of several queries, from one index."""
+    expr = Tfidf(SimpleStringify(), "")
+    texts = _docs(spark, sf).chunk("document").select("id", value=expr.stringifier)
+    index = TermIndex.build(texts, scratch(spark, "index"), expr)
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, value string")
+    found = index.scores(asked).withColumn("score", F.round("value", 6)).filter("score > 0")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).filter("rank <= 5").select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def _merge_counts(spark: SparkSession, sf: str, *tests: Column) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return Corpus.merge([corpus_from_documents(docs.filter(t)) for t in tests]).sizes()
@@ -228,6 +241,7 @@ def queries():
         "overlap_frac": _overlap("frac"),
         "tfidf_scores": _tfidf_scores,
         "tfidf_options": _tfidf_options,
+        "many_queries": _many_queries,
         "merge_counts": lambda s, d: _merge_counts(s, d, F.col("lang") == "fr", F.col("lang") == "de", ~F.coalesce(F.col("lang").isin("fr", "de"), F.lit(False))),
         "merge_counts_every_lang": lambda s, d: _merge_counts(s, d, F.col("lang").eqNullSafe("fr"), ~F.col("lang").eqNullSafe("fr")),
         "ocr_levels": _ocr_levels,
@@ -317,6 +331,15 @@ i AS (SELECT term, ln(1.0 * n / count(*)) + 1 AS idf FROM t, n GROUP BY term, n
 q AS (SELECT sum(idf) AS qn FROM i WHERE term IN ({terms})),
 d AS (SELECT doc_id, sum(CASE WHEN term IN ({terms}) THEN tf * idf * idf ELSE 0 END) / (sum(tf * idf) * any_value(qn)) AS score FROM t JOIN i USING (term), q GROUP BY doc_id)
 SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN d USING (doc_id)""",
+        "many_queries": _WORDS + rf""", s AS ({every}), n AS (SELECT count(*) AS n FROM s),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM s) GROUP BY ALL),
+i AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM t, n GROUP BY term, n),
+a AS (SELECT query_id, term, count(*) * any_value(idf) AS w FROM (SELECT query_id, unnest(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERIES))}) AS v(query_id, q)) JOIN i USING (term) GROUP BY ALL),
+g AS (SELECT query_id, sqrt(sum(w * w)) AS size FROM a GROUP BY 1),
+l AS (SELECT doc_id, sqrt(sum(tf * tf * idf * idf)) AS size FROM t JOIN i USING (term) GROUP BY 1),
+d AS (SELECT query_id, doc_id, sum(tf * idf * w) AS dot FROM t JOIN i USING (term) JOIN a USING (term) GROUP BY 1, 2),
+r AS (SELECT query_id, doc_id, round(dot / (g.size * l.size), 6) AS score FROM d JOIN g USING (query_id) JOIN l USING (doc_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 5""",
         "merge_counts": _WORDS + "SELECT 'atoms' AS kind, count(*) AS n FROM w UNION ALL SELECT 'document', count(*) FROM documents UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM w)",
         "merge_counts_every_lang": _WORDS + "SELECT 'atoms' AS kind, count(*) AS n FROM w UNION ALL SELECT 'document', count(*) FROM documents UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, line FROM w)",
         "ocr_levels": scanned_sql + "SELECT 'atoms' AS kind, count(*) AS n FROM p UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'block', count(*) FROM (SELECT DISTINCT doc_id, page FROM p) UNION ALL SELECT 'paragraph', count(*) FROM (SELECT DISTINCT doc_id, par FROM p) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT doc_id, l FROM p)",
