@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Elements that a running sum takes at a time: a fold copies what it has, so blocks are summed first and then shifted.
@@ -16,6 +16,13 @@ BLOCK = 64
 PLACES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have rows cross to Python 1,000 at a time, unless the session names a number: of Spark's own 10,000 whole texts a worker would hold the words several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, also where a lambda would compute it for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .arrays import term_counts
+from .arrays import small_batches, term_counts
 from .scoring import FREQUENT, LONGEST, Tfidf
 
 #: Folders of terms, and postings of one term that go to a file.
@@ -54,11 +54,12 @@ class TermIndex:
         if expr.max_features is not None:
             raise ValueError("an index keeps all terms: max_features cannot be set")
         spark = texts.sparkSession
+        small_batches(spark)
         self = cls(spark, path, expr)
         self._id = texts.schema["id"].dataType
         rows = texts.select("id", expr.terms(F.coalesce("value", F.lit(""))).alias("terms"))
-        told = rows.agg(F.count(F.lit(1)).alias("_all"))
-        df = expr._terms_of_all(rows).crossJoin(F.broadcast(told))  # one row
+        df = expr._terms_of_all(rows)
+        df = df.filter("NOT every").crossJoin(F.broadcast(expr._all(df)))  # one row
         df = df.filter(expr._kept(F.col("df")) if expr.vocabulary is None else F.col("term").isin(expr.vocabulary))
         df = df.select(_part(F.col("term")).alias("part"), "term", "df", expr._idf(F.col("df")).alias("idf"))
         df.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/terms")

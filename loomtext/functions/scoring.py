@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import TextScore
-from .arrays import term_counts
+from .arrays import fenced, small_batches, term_counts
 
 DEFAULT = r"(?u)\b\w\w+\b"
 
@@ -118,26 +118,37 @@ class Tfidf(TextScore):
         return {"l2": F.sqrt(F.sum(weights * weights)), "l1": F.sum(F.abs(weights)), None: F.lit(1.0)}[self.norm]
 
     def _terms_of_all(self, rows: DataFrame) -> DataFrame:
-        """(term, df, sum) of all terms; how often a term is there counts only where features are ranked by it."""
-        one = lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("tf"))
+        """(term, every, df, sum) of all terms, and a row with ``every`` that counts the chunks; how often a term is there counts only where features are ranked by it.
+
+        The term is fenced, so that no filter or join goes below the counts: all that reads them shares one pass over the chunks and one exchange.
+        """
+        one = lambda t, tf, every: F.struct(t.alias("term"), tf.cast("bigint").alias("tf"), F.lit(every).alias("every"))
         ranked = self.max_features is not None and not self.binary
-        once = F.transform(term_counts("terms"), lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"))) if ranked else F.transform(F.array_distinct("terms"), one)
-        return rows.select(F.explode(once).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("sum"))
+        once = F.transform(term_counts("terms"), lambda x: one(x["term"], x["tf"], False)) if ranked else F.transform(F.array_distinct("terms"), lambda t: one(t, F.lit(1), False))
+        found = rows.select(F.explode(F.concat(once, F.array(one(F.lit(""), F.lit(1), True)))).alias("x"))
+        counts = found.groupBy(F.col("x.term").alias("term"), F.col("x.every").alias("every")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("sum"))
+        return counts.select(fenced(F.col("term")).alias("term"), fenced(F.col("every")).alias("every"), "df", "sum")
+
+    def _all(self, df: DataFrame, *also: Column) -> DataFrame:
+        """One row: ``_all``, the number of chunks, and other aggregates of ``_terms_of_all``."""
+        return df.agg(F.coalesce(F.max(F.when(F.col("every"), F.col("df"))), F.lit(0).cast("bigint")).alias("_all"), *also)
 
-    def _asked(self, rows: DataFrame, asked: Counter) -> DataFrame:
+    def _asked(self, df: DataFrame, asked: Counter) -> DataFrame:
         """One row: the number of chunks and the length of the query, out of how many chunks have each of its terms."""
         names = sorted(asked)
-        counts = rows.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.array_contains("terms", t)).alias(f"_{i}") for i, t in enumerate(names)])
+        told = lambda t: F.coalesce(F.max(F.when(~F.col("every") & (F.col("term") == t), F.col("df"))), F.lit(0).cast("bigint"))
+        counts = self._all(df, *[told(t).alias(f"_{i}") for i, t in enumerate(names)])
         known = lambda i, t: self._kept(F.col(f"_{i}")) if self.vocabulary is None or t in self.vocabulary else F.lit(False)
         weights = [F.when(known(i, t), self._weight(F.lit(asked[t])) * self._idf(F.col(f"_{i}"))).otherwise(0.0) for i, t in enumerate(names)]
         size = {"l2": lambda: F.sqrt(sum(w * w for w in weights)), "l1": lambda: sum(F.abs(w) for w in weights), None: lambda: F.lit(1.0)}[self.norm]
         return counts.select("_all", (size() if weights else F.lit(0.0)).alias("_query"))
 
     def score(self, texts: DataFrame) -> DataFrame:
+        small_batches(texts.sparkSession)
         rows = texts.select("id", self.terms(F.coalesce("value", F.lit(""))).alias("terms"))
         asked = Counter(self.analyze(self.query))
-        told = self._asked(rows, asked)
-        df = self._terms_of_all(rows).crossJoin(F.broadcast(told))
+        df = self._terms_of_all(rows)
+        df = df.filter("NOT every").crossJoin(F.broadcast(self._asked(df, asked)))
         df = df.filter(self._kept(F.col("df")) if self.vocabulary is None else F.col("term").isin(self.vocabulary))
         if self.max_features is not None and self.vocabulary is None:
             df = df.orderBy(F.desc("sum"), "term").limit(self.max_features)
