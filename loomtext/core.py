@@ -228,6 +228,10 @@ class Atoms:
 
 #: So many ids are broadcast at most.
 FEW = 100_000
+#: So many rows a filter keeps together with their atoms, and so many are put in order in one task.
+HELD, SORTED = 100, 1_000
+#: More than there can be of these, also where ids repeat.
+ALL = 2_000_000_000
 
 
 class Spans:
@@ -296,22 +300,23 @@ class Chunks:
 
     ``joined`` may give the bridge already joined with the atoms (their columns and
     ``_chunk``), which saves the join; ``bridge`` is then read off it.  ``spans`` gives chunks
-    as intervals, which need neither; ``where`` are tests of theirs that hold.
+    as intervals, which need neither; ``where`` are tests of theirs that hold.  ``held`` may give the
+    rows along with their atoms, so that what is computed next needs no other pass over the frame.
     """
 
-    def __init__(self, corpus: Corpus, chunks: DataFrame | None = None, chunk_atoms: DataFrame | None = None, joined: DataFrame | None = None, filtered: bool = False, spans: Spans | None = None, where: tuple[Column, ...] | None = None):
+    def __init__(self, corpus: Corpus, chunks: DataFrame | None = None, chunk_atoms: DataFrame | None = None, joined: DataFrame | None = None, filtered: bool = False, spans: Spans | None = None, where: tuple[Column, ...] | None = None, held: DataFrame | None = None):
         if chunk_atoms is None and joined is None and spans is None:
             raise ValueError("chunk_atoms, joined or spans is needed")
         self.corpus, self.spans, self._where = corpus, spans, () if where is None and chunks is None else where
         self.chunks = self._narrow(spans.rows()) if chunks is None else chunks
         self._joined = joined if joined is not None or chunk_atoms is not None else spans.unnest(spans.rows(atoms=True))
         self.chunk_atoms = self._joined.select(F.col("_chunk").alias("chunk"), F.col("id").alias("atom")) if chunk_atoms is None else chunk_atoms
-        self._filtered = filtered
+        self._filtered, self._held = filtered, held
         #: The kind that a source made the chunks as.
         self.kind: str | None = None
         #: What order a filter left the rows in, and whether they are few enough to be broadcast.
         self.order: tuple[Column, ...] = ()
-        self.few = False
+        self.few = self.sorted = False
 
     def __len__(self) -> int:
         return self.chunks.count()
@@ -334,6 +339,8 @@ class Chunks:
         """The rows of the spans that are still there, with their attributes and what ``Spans.rows`` adds."""
         if self.fresh:
             return self._narrow(self.spans.rows(atoms, across))
+        if self._held is not None and not across:
+            return self._held
         rows = self.spans.rows(atoms, across)
         rows = rows.select(F.col("id").alias("__id"), *[c for c in rows.columns if c not in self.spans.attributes])
         own = F.broadcast(self.chunks) if self.few else self.chunks
@@ -366,22 +373,24 @@ class Chunks:
             return self.chunk_atoms
         return self.chunk_atoms.join(self.chunks.select(F.col("id").alias("chunk")), "chunk", "left_semi")
 
-    def replace(self, chunks: DataFrame, filtered: bool | None = None) -> Chunks:
+    def replace(self, chunks: DataFrame, filtered: bool | None = None, held: DataFrame | None = None) -> Chunks:
         """The same bridge under other rows."""
-        out = Chunks(self.corpus, chunks, self.chunk_atoms, self._joined, self._filtered if filtered is None else filtered, self.spans)
-        out.order, out.few = self.order, self.few
+        out = Chunks(self.corpus, chunks, self.chunk_atoms, self._joined, self._filtered if filtered is None else filtered, self.spans, held=held)
+        out.order, out.few, out.sorted = self.order, self.few, self.sorted
         return out
 
     def keep(self, test: Column) -> Chunks:
         """Those chunks that pass a test of their attributes."""
         if self.fresh:
             return Chunks(self.corpus, None, self.chunk_atoms, self._joined, True, self.spans, (*self._where, test))
-        return self.replace(self.chunks.filter(test), filtered=True)
+        return self.replace(self.chunks.filter(test), filtered=True, held=None if self._held is None else self._held.filter(test))
 
     def first(self, k: int, *order: Column) -> Chunks:
         """The first ``k`` chunks in an order, which the tables made of them keep."""
-        out = self.replace(self.chunks.orderBy(*order).limit(k), filtered=True)
-        out.order, out.few = order, k <= FEW
+        # Whole documents are not held: a task would keep so many of the largest.
+        held = self._held.orderBy(*order).limit(k) if self._held is not None and k <= HELD and not self.spans.whole else None
+        out = self.replace(self.chunks.orderBy(*order).limit(k) if held is None else held.select(*[F.col(f"`{c}`") for c in self.chunks.columns]), filtered=True, held=held)
+        out.order, out.few, out.sorted = order, k <= FEW, k <= SORTED
         return out
 
     def _with(self, exprs: dict[str, AttrExpr]) -> DataFrame:
@@ -424,8 +433,20 @@ class Chunks:
         """Add attributes; expressions see the chunks as they are, not each other.  A name that exists is a ``ValueError``."""
         if taken := set(exprs) & set(self.chunks.columns):
             raise ValueError(f"attributes exist: {sorted(taken)}")
+        if (held := self._holding(exprs)) is not None:
+            return self.replace(held.select(*[F.col(f"`{c}`") for c in (*self.chunks.columns, *exprs)]), held=held)
         return self.replace(self._with(exprs).select(*self.chunks.columns, *exprs))
 
+    def _holding(self, exprs: dict[str, AttrExpr]) -> DataFrame | None:
+        """The rows with their atoms and new attributes, where all of these can be computed in the row; else None."""
+        if self.spans is None or not exprs or not (self.fresh or self._held is not None) or not all(isinstance(e, AttrExpr) for e in exprs.values()):
+            return None
+        atoms, rows = Atoms(self.spans.frame), self.spread(atoms=True)
+        within = {n: e.within(atoms, self) for n, e in exprs.items()}
+        if any(v is None for v in within.values()) or set(exprs) & set(rows.columns):
+            return None
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns], *[v.alias(n) for n, v in within.items()])
+
     def filter(self, *filters: ChunkFilter) -> Chunks:
         """Apply filters one after the other."""
         out = self
@@ -444,5 +465,7 @@ class Chunks:
         made = {new[n]: exprs[n] for n in new}
         rows = self._with(made) if made else self.chunks
         if self.order and made:
+            # A range partitioning would compute the rows twice, to find its bounds; few are sorted where they lie and then merged.  The limit cuts none.
             rows = rows.orderBy(*self.order)
+            rows = rows.limit(ALL) if self.sorted else rows
         return rows.select(*[F.col(f"`{a}`") for a in attrs], *[F.col(f"`{new.get(n, e)}`").alias(n) for n, e in exprs.items()])
