@@ -16,16 +16,18 @@ import numpy as np
 
 #: Levels at which intervals are wide and all open boundaries are looked at together.
 WIDE = 10
-#: Single steps back in an interval before the jumps from run to run.
-WALK = 8
-#: Such jumps before a level is done like the first ones.
-JUMPS = 150
+#: Single steps back in an interval before the runs of equal bytes that are left of it are looked at together.
+WALK = 3
 
 
 def sorted_places(key: np.ndarray, bits: int) -> np.ndarray:
     """Places in the order of their keys (of at most 63 - ``bits`` bits), ties by place."""
     if len(key) < 1 << bits:
-        return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+        placed = key << bits
+        placed |= np.arange(len(key))
+        placed.sort()
+        placed &= (1 << bits) - 1
+        return placed
     return np.argsort(key, kind="stable")
 
 
@@ -39,19 +41,19 @@ def suffix_order(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     for j in range(h):
         key <<= 9
         m = max(0, n - j)
-        key[:m] |= np.where(left[:m] > j, codes[j:], 0)
+        key[:m] |= np.where(left[:m] > j, codes[j:], codes.dtype.type(0))
     while True:
         order = sorted_places(key, 21)
         held = key[order]
         new = np.r_[False, held[1:] != held[:-1]]
         if h >= depth or new.sum() == n - 1:
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        after = np.zeros(n, np.int64)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
+        key = rank.astype(np.int64)
+        key *= n + 1
         m = max(0, n - h)
-        after[:m] = np.where(left[:m] > h, rank[h:] + 1, 0)
-        key = rank * (n + 1) + after
+        key[:m] += np.where(left[:m] > h, rank[h:] + np.int32(1), np.int32(0))
         h *= 2
 
 
@@ -70,7 +72,8 @@ def short_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     following = np.full(n, n, np.int32)  # the next place that the same byte precedes
     here, prior = by_code[open_], by_code[open_ - 1]
     following[prior] = here
-    run_start = np.maximum.accumulate(np.where(np.r_[True, before[1:] != before[:-1]], np.arange(n, dtype=np.int32), 0))
+    run_last = np.append(np.flatnonzero(before[1:] != before[:-1]), n - 1).astype(np.int32)  # the last place of each run of equal bytes before
+    run_of = np.repeat(np.arange(len(run_last), dtype=np.int32), np.diff(run_last, prepend=-1))
     held = bytearray((~same).tobytes())
     known = np.frombuffer(held, bool)
     fresh = np.flatnonzero(known).astype(np.int32)
@@ -80,25 +83,29 @@ def short_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndar
         narrow = level >= WIDE
         if narrow:
             border = fresh[fresh > 0]
-            at, found, low = border - 1, [], None
-            for walked in range(WALK + JUMPS):  # back to the start of the interval
-                if not len(at):
-                    break
+            at, found = border - 1, []
+
+            def extend(at: np.ndarray, border: np.ndarray) -> None:
                 ext = step[at[following[at] >= border]] + 1
                 ext = ext[ext < n]
-                found.append(ext[~known[ext]])
-                if walked < WALK:
-                    more = ~known[at]
-                    at, border = at[more] - 1, border[more]
-                    continue
-                if low is None:
-                    low = np.array([held.rfind(1, 0, x + 1) for x in at.tolist()], np.int64)
-                at = run_start[at] - 1
-                more = at >= low
-                at, border, low = at[more], border[more], low[more]
-            narrow = not len(at)
+                found.append(ext[~known[ext]])  # noqa: B023
+
+            for _ in range(WALK):  # back to the start of the interval
+                extend(at, border)
+                more = ~known[at]
+                at, border = at[more] - 1, border[more]
+                if not len(at):
+                    break
+            if len(at):
+                extend(at, border)
+                first = run_of[[held.rfind(1, 0, x + 1) for x in at.tolist()]]
+                size = (run_of[at] - first).astype(np.int64)
+                narrow = size.sum() <= n
+                if narrow:
+                    runs = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+                    extend(run_last[runs], np.repeat(border, size))
         if narrow:
-            fresh = np.unique(np.concatenate(found)) if found else fresh[:0]
+            fresh = np.unique(np.concatenate(found))
         else:
             hit = ~known[open_]
             open_, here, prior = open_[hit], here[hit], prior[hit]
@@ -122,12 +129,12 @@ def repeats(strings: list[bytes], weights: np.ndarray, length: int) -> list[np.n
     sizes = np.array([len(s) for s in strings])
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    codes = data.astype(np.int64) + 1
+    codes = data.astype(np.int16) + np.int16(1)
     codes[ends] = 0
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    left = ends[owner] - np.arange(len(codes))
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
+    left = ends.astype(np.int32)[owner] - np.arange(len(codes), dtype=np.int32)
     order = suffix_order(codes, left, length + 1)
-    starts = short_prefixes(codes.astype(np.int16), order, length)
+    starts = short_prefixes(codes, order, length)
     group = np.cumsum(starts) - 1
     whole = left[order] >= length
     total = np.bincount(group[whole], weights[owner[order[whole]]], minlength=int(group[-1]) + 1)

@@ -43,25 +43,42 @@ from .screen import split_by
 from .suffix_array import repeats
 
 LENGTH, GRAM = 200, 32
-#: Bytes that a bucket holds on average, and distinct segments of a key that are gathered: those of one bucket.
-BUCKET_BYTES = 900_000
-HOT = BUCKET_BYTES // (LENGTH + 50)
+#: Bytes that a bucket holds on average, few enough for the processor's caches, and distinct segments of a key that are gathered.
+BUCKET_BYTES = 450_000
+HOT = 900_000 // (LENGTH + 50)
 #: Distances of start and anchor that one segment spans, from the first split to the last.
 SPANS = (57, 8, 1)
+#: Bytes of text that are hashed at a time: arrays of 8 bytes for each stay near the processor.
+SLICE = 1 << 17
 #: Equal segments that are strung together at most.
 CHAIN = 64
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` (a power of two) bytes from each byte on."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    m = 1
-    while m < gram:
-        h = h[:-m] * np.uint64(0xD6E8FEB86659FD93) + h[m:]
-        h ^= h >> np.uint64(32)
-        m *= 2
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """A hash, another for any other bytes, of the 8 bytes from each byte on."""
+    n = max(0, len(data) - 7)
+    h = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        own = len(h[k::8])
+        h[k::8] = data[k : k + 8 * own].view(np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` (8 times a power of two) bytes from each byte on, from those of 8."""
+    h, m = words, 8
+    while m < gram:
+        mixed = h[:-m] * np.uint64(0xD6E8FEB86659FD93)
+        mixed += h[m:]
+        mixed ^= mixed >> np.uint64(32)
+        h, m = mixed, 2 * m
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -76,10 +93,11 @@ def window_min(keys: np.ndarray, width: int) -> np.ndarray:
 class Spans:
     """Hashes of any spans of some bytes: a polynomial of the mixed hashes of the 8 bytes at each place."""
 
-    def __init__(self, data: np.ndarray):
-        g = gram_hashes(data, 8)
-        self.power, self.inverse = _powers(len(g) + 1)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * self.power[: len(g)], dtype=np.uint64)])
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.power, self.inverse = _powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * self.power[:n], out=self.total[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
         h = (self.total[end - 7] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +112,7 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _table(max(1 << 21, 1 << n.bit_length()))
+    return _table(max(2 * SLICE, 1 << n.bit_length()))
 
 
 def cells(spans: Spans, p: np.ndarray, n: np.ndarray, at: np.ndarray, span: int, length: int) -> tuple[np.ndarray, ...]:
@@ -114,22 +132,24 @@ def cells(spans: Spans, p: np.ndarray, n: np.ndarray, at: np.ndarray, span: int,
 def anchors(held: list[bytes], length: int, gram: int, span: int) -> tuple[np.ndarray, ...]:
     """(text, starts, anchor's distance from the first, key, segment's hash) of each segment, by text and start."""
     data = np.frombuffer(b"".join(held), np.uint8)
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, none, none
     sizes = np.fromiter(map(len, held), np.int64, len(held))
-    hashes = gram_hashes(data, gram)
-    least = window_min(hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(held)), sizes)
-    p = np.flatnonzero(np.arange(len(at)) + length <= np.cumsum(sizes)[owner[: len(at)]])
-    if not len(p):
-        return none, none, none, none, none
-    a, o = at[p], owner[p]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])])
-    n = np.diff(np.r_[first, len(p)])
-    o, a, p = o[first], a[first], p[first]
-    which, lo, n, key, seg = cells(Spans(data), p, n, a, span, length)
+    ends = np.cumsum(sizes)
+    begin, close = ends - sizes, ends - length + 1  # a text's starts are those from begin to before close
+    if not (close > begin).any():
+        return (np.zeros(0, np.int64),) * 5
+    words = byte_words(data)
+    gram = max(gram, 8)
+    least = gram_hashes(words, gram)
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
+    least = window_min(least, length - gram + 1)
+    p = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begin[close > begin], close[close > begin]]))
+    n = np.diff(p, append=p[-1])
+    o = np.searchsorted(begin, p, "right") - 1
+    own = p < close[o]
+    p, n, o = p[own], n[own], o[own]
+    a = (least[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    which, lo, n, key, seg = cells(Spans(words), p, n, a, span, length)
     return o[which], n, a[which] - lo, key, seg
 
 
@@ -155,7 +175,7 @@ def scan(held: DataFrame, length: int, gram: int, span: int) -> DataFrame:
     def run(it):
         for batch in it:
             done = 0
-            for _, own in texts(batch, "text", 1 << 20):
+            for _, own in texts(batch, "text", SLICE):
                 o, n, gap, key, seg = anchors(own, length, gram, span)
                 ends = pa.array(np.searchsorted(o, np.arange(len(own) + 1)).astype(np.int32))
                 listed = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(x, t))  # noqa: B023, E731
@@ -173,7 +193,7 @@ def split(rows: DataFrame, span: int, length: int) -> DataFrame:
             for rid, w, t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
                 lo, n, gap = (np.array([r[c] for r in runs], np.int64) for c in ("lo", "n", "gap"))
-                which, lo, n, key, seg = cells(Spans(data), lo, n, (at := lo + gap), span, length)
+                which, lo, n, key, seg = cells(Spans(byte_words(data)), lo, n, (at := lo + gap), span, length)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(np.full(len(key), rid)), pa.array(np.full(len(key), w)), pa.array(lo, pa.int32()), pa.array(n, pa.int16()), pa.array(at[which] - lo, pa.int16())], ["key", "seg", "rid", "w", "lo", "n", "gap"])
 
     return rows.mapInArrow(lean(run), "key bigint, seg bigint, rid bigint, w bigint, lo int, n smallint, gap smallint")

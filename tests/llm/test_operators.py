@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,42 @@ def test_suffix_removal_keeps_whole_characters(spark):
     assert got == {1: "a日本", 2: "bbx", 3: None, 4: ""}
 
 
+def test_suffix_kernels_stay_small():
+    rng = random.Random(9)
+    base = [bytes(rng.choice(b"abcdefgh ") for _ in range(40_000)) for _ in range(5)]
+    held = [b"".join(rng.choice(base)[rng.randrange(36_000) :][:1500] for _ in range(3)) for _ in range(28)] + [b"", b"x" * 199, b"x" * 200, b"y" * 5000]
+    suffix_dedup._table.cache_clear()
+    tracemalloc.start()
+    o, n, gap, key, _ = suffix_dedup.anchors(held, 200, 32, 57)
+    scanned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    cut = [b[i : i + 257] for b in base for i in range(0, 39_000, 100)][: suffix_dedup.BUCKET_BYTES // 258]
+    suffix_array.repeats(cut, np.ones(len(cut), np.int64), 200)
+    transformed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scanned < 20e6 and transformed < 60e6
+    # Every start is in one segment, and equal strings have equal keys and distances, whatever stands around them.
+    keys = {}
+    for i, t in enumerate(held):
+        lo = 0
+        for m, g, k in zip(n[o == i], gap[o == i], key[o == i], strict=True):
+            for p in range(lo, lo + m):
+                assert keys.setdefault(t[p : p + 200], (k, lo + g - p)) == (k, lo + g - p)
+            lo += m
+        assert lo == max(0, len(t) - 199)
+
+
+def test_repeats_between_many_runs():
+    # Wide intervals with many runs of equal bytes before them, at levels beyond the first.
+    rng = random.Random(2)
+    line = b"a common line that all have in the very middle"
+    held = [bytes(rng.choice(b"pqrs") for _ in range(rng.randrange(1, 9))) + line + bytes(rng.choice(b"tuvw") for _ in range(rng.randrange(1, 9))) for _ in range(800)]
+    for length in (12, len(line), len(line) + 3):
+        seen = Counter(s[i : i + length] for s in held for i in range(len(s) - length + 1))
+        got = suffix_array.repeats(held, np.ones(len(held), np.int64), length)
+        assert [x.tolist() for x in got] == [[i for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1] for s in held]
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.digests(empty).count() == 0 and suffix_dedup.remove(empty).count() == 0
 
