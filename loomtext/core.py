@@ -151,7 +151,8 @@ class Corpus:
             out = [told(self.atoms, "atoms"), *(told(c.chunks, n) for n, c in self.chunks.items())]
         else:
             # A frame of another corpus would count other atoms; a corpus made of a frame has only its own.
-            own = {"atoms": F.size(f"`{frames[0].atoms}`")} | {n: F.lit(1) if s.whole else F.size(s.items()) for n, s in spans.items()}
+            atoms = F.size(f"`{frames[0].atoms}`") if frames[0].count is None else frames[0].count
+            own = {"atoms": atoms} | {n: s.count() for n, s in spans.items()}
             sums = frames[0].table.agg(*[F.coalesce(F.sum(c.cast("bigint")), F.lit(0).cast("bigint")).alias(f"n{j}") for j, c in enumerate(own.values())])
             out.append(sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"n{j}").alias("n")) for j, n in enumerate(own)]))))
         rows = out[0]
@@ -210,6 +211,8 @@ class Frame:
     plain: bool = False
     #: What the rows of spans call the place where a span begins.
     place: str = "__place"
+    #: How many atoms a row has, where that is known without the array.
+    count: Column | None = None
 
 
 class Atoms:
@@ -239,11 +242,12 @@ class Spans:
 
     ``items`` is an array in the frame's table of (``id``, further attributes, ``_a``, ``_b``): the
     first and the last place, the last smaller if there are no atoms.  Without ``items`` the rows
-    themselves are the chunks, and ``attributes`` are columns of the table.
+    themselves are the chunks, and ``attributes`` are columns of the table.  ``count`` may say how many
+    items there are without the array.
     """
 
-    def __init__(self, frame: Frame, attributes: list[str], items: Column | None = None):
-        self.frame, self.attributes, self._items = frame, attributes, items
+    def __init__(self, frame: Frame, attributes: list[str], items: Column | None = None, count: Column | None = None):
+        self.frame, self.attributes, self._items, self._count = frame, attributes, items, count
 
     @property
     def whole(self) -> bool:
@@ -255,6 +259,10 @@ class Spans:
             return self._items
         return F.array(F.struct(F.col("id"), F.lit(0).alias("_a"), (F.size(f"`{self.frame.atoms}`") - 1).alias("_b")))
 
+    def count(self) -> Column:
+        """How many spans a row of the frame has."""
+        return F.lit(1) if self.whole else F.size(self.items()) if self._count is None else self._count
+
     def places(self) -> Column:
         return F.transform(self.items(), lambda c: F.struct(c["_a"].cast("int").alias("a"), c["_b"].cast("int").alias("b")))
 

@@ -57,14 +57,17 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
     own, words, table, name = "__document", "__words", "__rows", (lambda level: f"__{level}")
     rows = F.coalesce(F.col(f"`{rows_col}`"), F.array())
     ordered = F.sort_array(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.struct(*[r[n].alias(n) for n in NUMBERS], r["level"].alias("level"), *[r[n].alias(n) for n in (*BOX, "conf", "text")])))
-    docs = docs.select(F.col(f"`{document_col}`").alias("id"), F.col(f"`{document_col}`").alias(own), ordered.alias(table))
+    # Counted off the rows as they come: who asks for numbers of chunks only needs no order and no intervals.
+    at_level = lambda i: lambda r: r["level"] == i
+    tallies = [f"__count_{level}" for level in LEVELS]
+    docs = docs.select(F.col(f"`{document_col}`").alias("id"), F.col(f"`{document_col}`").alias(own), ordered.alias(table), *[F.size(F.filter(rows, at_level(i))).alias(n) for i, n in enumerate(tallies, 1)])
     # Only containers are counted; so many words are before one as its place less the containers before it.
     held = F.filter(F.transform(table, lambda r, i: F.when(r["level"] < len(LEVELS), F.struct(r.alias("row"), i.alias("at")))), lambda c: c.isNotNull())
-    docs = docs.select("id", own, F.filter(table, lambda r: r["level"] == len(LEVELS)).alias(words), fenced(held).alias("__held"))
+    docs = docs.select("id", own, F.filter(table, lambda r: r["level"] == len(LEVELS)).alias(words), fenced(held).alias("__held"), *tallies)
     docs = docs.withColumn("__n", running_counts(F.transform("__held", lambda c: c["row"]["level"].cast("int")), len(LEVELS) - 1))
     zipped = F.arrays_zip("__held", *[F.col(f"__n.n{i}") for i in range(1, len(LEVELS))])
     zipped = F.transform(zipped, lambda c, i: F.struct(c["__held"]["row"].alias("row"), (c["__held"]["at"] - i).alias("before"), *[c[f"n{k}"].alias(f"n{k}") for k in range(1, len(LEVELS))]))
-    docs = docs.select("id", own, words, fenced(zipped).alias(table))
+    docs = docs.select("id", own, words, fenced(zipped).alias(table), *tallies)
     key = lambda level, n: F.struct(F.col(own).alias("document"), F.lit(level).alias("level"), n.alias("ordinal"))
 
     def items(i: int) -> Column:
@@ -81,9 +84,9 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
         before = F.coalesce(F.get(F.col(name(level)), F.lit(0))["_a"], F.size(words))
         return F.flatten(F.concat(F.array(F.array_repeat(F.lit(0).cast("bigint"), before)), own_places))
 
-    docs = docs.select("id", own, words, *[fenced(items(i)).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)])
+    docs = docs.select("id", own, words, *[fenced(items(i)).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)], *tallies)
     numbered = F.arrays_zip(F.col(words).alias("row"), *[numbers(level).alias(f"n{i}") for i, level in enumerate(LEVELS[:-1], 1)])
-    docs = docs.select("id", own, fenced(numbered).alias(words), *map(name, LEVELS[:-1]))
+    docs = docs.select("id", own, fenced(numbered).alias(words), *map(name, LEVELS[:-1]), *tallies)
     fields = {n: (lambda x, i, n=n: x["row"][n]) for n in (*BOX, "text")}
     fields |= {
         "confidence": lambda x, i: x["row"]["conf"],
@@ -93,6 +96,6 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
         "document": lambda x, i: F.col(own),
     }
     keys = {level: (lambda x, i=i: x[f"n{i}"]) for i, level in enumerate(LEVELS[:-1], 1)}
-    frame = Frame(docs, words, fields, (own,), keys, consecutive=True)
+    frame = Frame(docs, words, fields, (own,), keys, consecutive=True, count=F.col(tallies[-1]))
     shapes = {level: [("document" if i == 1 else LEVELS[i - 2]), *(BOX[2:] if i == 1 else BOX), "ordinal", "id"] for i, level in enumerate(LEVELS[:-1], 1)}
-    return corpus_of_frame(frame, {"document": Spans(frame, ["id"]), **{level: Spans(frame, shapes[level], F.col(name(level))) for level in LEVELS[:-1]}})
+    return corpus_of_frame(frame, {"document": Spans(frame, ["id"]), **{level: Spans(frame, shapes[level], F.col(name(level)), F.col(n)) for level, n in zip(LEVELS[:-1], tallies, strict=False)}})
