@@ -298,9 +298,11 @@ class Spans:
 
     def unnest(self, rows: DataFrame) -> DataFrame:
         """``rows`` with their atoms as a row for each atom of each span: the atoms' columns and ``_chunk``."""
-        atoms = Atoms(self.frame)
-        whole = F.transform(atoms.array, lambda x, i: F.struct(*[f(x, F.col(f"`{self.frame.place}`") + i).alias(n) for n, f in self.frame.fields.items()]))
-        return rows.select(F.col("id").alias("_chunk"), F.explode(whole).alias("__x")).select(*[F.col(f"__x.`{n}`").alias(n) for n in self.frame.fields], "_chunk")
+        # The elements as they are, and columns made of them after: what nobody reads is then never made.
+        frame = self.frame
+        scalars = [F.col(f"`{s}`") for s in frame.scalars]
+        each = rows.select(F.col("id").alias("_chunk"), *scalars, F.col(f"`{frame.place}`").alias("__at"), F.posexplode(F.col(f"`{frame.atoms}`")).alias("__i", "__x"))
+        return each.select(*[f(F.col("__x"), F.col("__at") + F.col("__i")).alias(n) for n, f in frame.fields.items()], "_chunk")
 
 
 class Chunks:
