@@ -39,6 +39,8 @@ from .common import BoundedCache, documents, lean, texts
 
 SLOTS, DIM, ONES, WINDOW = 1 << 15, 64, 6, 2
 HIDDEN, EPOCHS, MAX_ROWS = 48, 60, 4000
+#: Words of a text whose contexts are summed at a time, and words whose slots a task remembers, twice: less costs little time.
+PART, CACHED = 1 << 14, 40_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -46,12 +48,12 @@ def slot_of(word: str) -> int:
     return zlib.crc32(word.encode()) % SLOTS
 
 
-def index_vectors() -> np.ndarray:
+def index_vectors(kind: type = np.float32) -> np.ndarray:
     """(SLOTS, DIM) sparse ternary vectors, the same for every process."""
     rng = np.random.default_rng(20240101)
-    out = np.zeros((SLOTS, DIM), np.float32)
+    out = np.zeros((SLOTS, DIM), kind)
     at = rng.integers(0, DIM, (SLOTS, ONES))
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), (SLOTS, ONES)), 1)
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], kind), (SLOTS, ONES)), 1)
     return out
 
 
@@ -59,7 +61,7 @@ class Reader:
     """The slots of a text's words."""
 
     def __init__(self):
-        self.slots = BoundedCache(slot_of)
+        self.slots = BoundedCache(slot_of, CACHED)
 
     def __call__(self, text: str) -> np.ndarray:
         words = TOKEN.findall(text)
@@ -107,9 +109,9 @@ class Model:
 def add_context(at: np.ndarray, index: np.ndarray, counts: np.ndarray, context: np.ndarray) -> None:
     """Count a text's slots, and add to each word's context the index vectors of its neighbours."""
     counts += np.bincount(at, minlength=SLOTS)
-    for i in range(0, len(at), 65536):
+    for i in range(0, len(at), PART):
         low = max(0, i - WINDOW)
-        near, own = index[at[low : i + 65536 + WINDOW]], at[i : i + 65536]
+        near, own = index[at[low : i + PART + WINDOW]], at[i : i + PART]
         total = np.zeros((len(own), DIM), np.int8)
         for k in range(1, WINDOW + 1):
             start = max(0, k - i)  # the text's first words have no words before them
@@ -124,12 +126,12 @@ def add_context(at: np.ndarray, index: np.ndarray, counts: np.ndarray, context:
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, weights) of all slots by random indexing over the texts of ``docs`` (text)."""
-    index, blocks = index_vectors(), 64
+    blocks = 64
     size = SLOTS // blocks
     schema = "block int, counts binary, context binary"
 
     def run(it):
-        read, own = Reader(), index.astype(np.int8)
+        read, own = Reader(), index_vectors(np.int8)  # made here: 8 MB would travel with every task
         counts, context = np.zeros(SLOTS, np.int64), np.zeros((SLOTS, DIM), np.int64)
         for batch in it:
             for _, held in texts(batch, "text"):
@@ -149,6 +151,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 context += np.frombuffer(c.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([context.tobytes()], pa.binary())], ["block", "counts", "context"])
 
+    index = index_vectors()
     counts, context = np.zeros(SLOTS), np.zeros_like(index)
     for r in docs.mapInArrow(lean(run), schema).groupBy("block").applyInArrow(add, schema).collect():
         at = slice(r["block"] * size, (r["block"] + 1) * size)

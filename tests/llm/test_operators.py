@@ -645,3 +645,28 @@ def test_jaccard_keeps_one_of_each_component_whatever_the_ids(spark):
     got = [(r["doc_id"], (r["text"] or "").lower()) for r in jaccard.keep_one(docs).collect()]
     want = [(None, far[0]), (None, far[1]), (1, far[2]), (1, far[3]), (2, far[4]), (2, far[5]), (4, far[6] + " tail"), (None, ""), (None, ""), (1, " ")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_quality_takes_no_tables_along():
+    """What is sent with every task is small, and contexts do not depend on the slices in which they are summed."""
+    from pyspark import cloudpickle
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        groupBy = applyInArrow = lambda self, *a: self
+        collect = lambda self: []
+
+    quality.word_vectors(docs := Docs())
+    assert len(cloudpickle.dumps(docs.run)) < 100_000
+    at = np.random.default_rng(5).integers(0, 300, 3 * quality.PART + 7)
+    index, found = quality.index_vectors(np.int8), []
+    for part in (quality.PART, len(at)):
+        own, quality.PART = quality.PART, part
+        counts, context = np.zeros(quality.SLOTS, np.int64), np.zeros((quality.SLOTS, quality.DIM), np.int64)
+        quality.add_context(at, index, counts, context)
+        quality.PART = own
+        found.append((counts, context))
+    assert all((x == y).all() for x, y in zip(*found, strict=True))
