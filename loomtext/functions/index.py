@@ -57,8 +57,10 @@ class TermIndex:
         small_batches(spark)
         self = cls(spark, path, expr)
         self._id = texts.schema["id"].dataType
-        rows = texts.select("id", expr.terms(F.coalesce("value", F.lit(""))).alias("terms"))
-        df = expr._terms_of_all(rows)
+        # Texts are taken apart once, and their terms kept until the index is written.
+        texts.select("id", term_counts(expr.terms(F.coalesce("value", F.lit("")))).alias("x")).write.parquet(f"{path}/counts")
+        held = spark.read.schema(f"id {self._id.simpleString()}, x array<struct<term:string,tf:bigint>>").parquet(f"{path}/counts")
+        df = expr._terms_of_all(held.select("id", F.col("x.term").alias("terms")))
         df = df.filter("NOT every").crossJoin(F.broadcast(expr._all(df)))  # one row
         df = df.filter(expr._kept(F.col("df")) if expr.vocabulary is None else F.col("term").isin(expr.vocabulary))
         df = df.select(_part(F.col("term")).alias("part"), "term", "df", expr._idf(F.col("df")).alias("idf"))
@@ -66,7 +68,7 @@ class TermIndex:
         terms = self.terms()
         # Most postings find their term in a table that is broadcast; those of rare terms are shuffled.
         often = terms.orderBy(F.length("term") > LONGEST, F.desc("df"), "term").limit(FREQUENT).filter(F.length("term") <= LONGEST)
-        counts = self._counts(texts, "id").join(F.broadcast(often.select(F.col("term").alias("_t"), F.col("df").alias("_df"), F.col("idf").alias("_idf"))), F.col("term") == F.col("_t"), "left")
+        counts = held.select("id", F.explode("x").alias("x")).select("id", "x.term", "x.tf").join(F.broadcast(often.select(F.col("term").alias("_t"), F.col("df").alias("_df"), F.col("idf").alias("_idf"))), F.col("term") == F.col("_t"), "left")
         rare = terms.join(F.broadcast(often.select("term")), "term", "left_anti").select("term", "df", "idf")
         weight = expr._weight(F.col("tf")) * F.col("idf")
         found = counts.filter("_t IS NOT NULL").select("id", "term", "tf", F.col("_df").alias("df"), F.col("_idf").alias("idf"))
@@ -75,6 +77,8 @@ class TermIndex:
         found = found.select(_part(F.col("term")).alias("part"), salt.alias("salt"), "term", "id", weight.alias("weight"))
         found.repartition("part", "salt").sortWithinPartitions("part", "term").drop("salt").write.partitionBy("part").parquet(f"{path}/postings")
         self.postings().groupBy("id").agg(self._length(F.sum(self._norm(F.col("weight")))).alias("length")).write.parquet(f"{path}/lengths")
+        counted = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/counts")
+        counted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(counted, True)
         return self
 
     def terms(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,16 @@ def test_an_empty_index_and_no_queries(spark):
 def test_max_features_is_refused(spark):
     with pytest.raises(ValueError, match="max_features"):
         built(spark, chunks_of(spark), max_features=2)
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def words(text):
+        with open(seen, "a") as f:
+            f.write(".")
+        return text.split()
+
+    index = built(spark, chunks_of(spark), tokenizer=words)
+    assert len(seen.read_text()) == len(TEXTS)
+    assert {p.name for p in Path(index.path.removeprefix("file:")).iterdir() if p.is_dir()} == {"terms", "postings", "lengths"}
