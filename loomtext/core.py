@@ -243,11 +243,11 @@ class Spans:
     ``items`` is an array in the frame's table of (``id``, further attributes, ``_a``, ``_b``): the
     first and the last place, the last smaller if there are no atoms.  Without ``items`` the rows
     themselves are the chunks, and ``attributes`` are columns of the table.  ``count`` may say how many
-    items there are without the array.
+    items there are without the array.  ``stored``: ``items`` is a column of the table as it stands.
     """
 
-    def __init__(self, frame: Frame, attributes: list[str], items: Column | None = None, count: Column | None = None):
-        self.frame, self.attributes, self._items, self._count = frame, attributes, items, count
+    def __init__(self, frame: Frame, attributes: list[str], items: Column | None = None, count: Column | None = None, stored: bool = False):
+        self.frame, self.attributes, self._items, self._count, self.stored = frame, attributes, items, count, stored
 
     @property
     def whole(self) -> bool:
@@ -289,8 +289,12 @@ class Spans:
                 parts += [F.slice(held, c["_a"] + 1, F.greatest(c["_b"] - c["_a"] + 1, F.lit(0))).alias("atoms"), c["_a"].alias("place")]
             return F.struct(*parts)
 
-        table = table.select(*scalars, *([array] if atoms else []), zipped.alias("__z"))
-        whole = let(array, lambda held: F.transform("__z", lambda z: one(z, held))) if atoms else F.transform("__z", lambda z: one(z, None))
+        if self.stored and not across:  # nothing to compute first, so the atoms are not copied once more
+            zipped = lambda held: F.transform(self.items(), lambda c: one({"c": c}, held))
+        else:
+            table = table.select(*scalars, *([array] if atoms else []), zipped.alias("__z"))
+            zipped = lambda held: F.transform("__z", lambda z: one(z, held))
+        whole = let(array, zipped) if atoms else zipped(None)
         table = table.select(*scalars, F.explode(whole).alias("__c"))
         own = [F.col(f"__c.x{j}").alias(a) for j, a in enumerate(self.attributes)] + [F.col(f"__c.y{j}").alias(n) for j, n in enumerate(across)]
         held = [*scalars, F.col("__c.atoms").alias(frame.atoms), F.col("__c.place").alias(frame.place)] if atoms else []

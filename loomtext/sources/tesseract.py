@@ -61,32 +61,45 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
     at_level = lambda i: lambda r: r["level"] == i
     tallies = [f"__count_{level}" for level in LEVELS]
     docs = docs.select(F.col(f"`{document_col}`").alias("id"), F.col(f"`{document_col}`").alias(own), ordered.alias(table), *[F.size(F.filter(rows, at_level(i))).alias(n) for i, n in enumerate(tallies, 1)])
-    # Only containers are counted; so many words are before one as its place less the containers before it.
+    # Containers with the number of words before them: that is their place less the containers before.
     held = F.filter(F.transform(table, lambda r, i: F.when(r["level"] < len(LEVELS), F.struct(r.alias("row"), i.alias("at")))), lambda c: c.isNotNull())
+    held = F.transform(held, lambda c, i: F.struct(c["row"].alias("row"), (c["at"] - i).alias("before")))
     docs = docs.select("id", own, F.filter(table, lambda r: r["level"] == len(LEVELS)).alias(words), fenced(held).alias("__held"), *tallies)
-    docs = docs.withColumn("__n", running_counts(F.transform("__held", lambda c: c["row"]["level"].cast("int")), len(LEVELS) - 1))
-    zipped = F.arrays_zip("__held", *[F.col(f"__n.n{i}") for i in range(1, len(LEVELS))])
-    zipped = F.transform(zipped, lambda c, i: F.struct(c["__held"]["row"].alias("row"), (c["__held"]["at"] - i).alias("before"), *[c[f"n{k}"].alias(f"n{k}") for k in range(1, len(LEVELS))]))
-    docs = docs.select("id", own, words, fenced(zipped).alias(table), *tallies)
     key = lambda level, n: F.struct(F.col(own).alias("document"), F.lit(level).alias("level"), n.alias("ordinal"))
+    spans, levels = (lambda i: f"__at_{i}"), range(1, len(LEVELS))
+
+    def placed(i: int) -> Column:
+        """The rows of a level with the places of the words up to the next of them; a row's number is its place here."""
+        made = lambda c, end: F.struct(c["row"].alias("row"), c["before"].alias("_a"), (F.coalesce(end, F.size(words)) - 1).alias("_b"))
+        return let(F.filter("__held", lambda c: c["row"]["level"] == i), lambda kept: F.zip_with(kept, F.slice(F.transform(kept, lambda c: c["before"]), 2, F.greatest(F.size(kept) - 1, F.lit(0))), made))
+
+    def parents(i: int) -> Column:
+        """For each row of a level the number of the level above."""
+        each = F.zip_with("__held", f"__n.n{i - 1}", lambda c, n: F.struct((c["row"]["level"] == i).alias("own"), n.alias("n")))
+        return F.transform(F.filter(each, lambda x: x["own"]), lambda x: x["n"])
 
     def items(i: int) -> Column:
-        """The rows of a level with the places of the words up to the next of them."""
         shape = BOX[2:] if i == 1 else BOX
-        parent = (lambda r: F.col(own)) if i == 1 else (lambda r: key(LEVELS[i - 2], r[f"n{i - 1}"]))
         of = "document" if i == 1 else LEVELS[i - 2]
-        made = lambda r, end: F.struct(parent(r).alias(of), *[r["row"][n].alias(n) for n in shape], r[f"n{i}"].alias("ordinal"), key(LEVELS[i - 1], r[f"n{i}"]).alias("id"), r["before"].alias("_a"), (F.coalesce(end, F.size(words)) - 1).alias("_b"))
-        return let(F.filter(table, lambda r: r["row"]["level"] == i), lambda kept: F.zip_with(kept, F.slice(F.transform(kept, lambda r: r["before"]), 2, F.greatest(F.size(kept) - 1, F.lit(0))), made))
+        made = lambda c, j, parent: F.struct(parent.alias(of), *[c["row"][n].alias(n) for n in shape], j.alias("ordinal"), key(LEVELS[i - 1], j).alias("id"), c["_a"].alias("_a"), c["_b"].alias("_b"))
+        number = lambda j: (j + 1).cast("bigint")
+        if i == 1:
+            return F.transform(spans(i), lambda c, j: made(c, number(j), F.col(own)))
+        both = F.zip_with(spans(i), f"__parent_{i}", lambda c, n: F.struct(c.alias("c"), n.alias("n")))
+        return F.transform(both, lambda z, j: made(z["c"], number(j), key(LEVELS[i - 2], z["n"])))
 
-    def numbers(level: str) -> Column:
+    def numbers(i: int) -> Column:
         """For each word the number of the level's chunk that it is in; 0 before the first."""
-        own_places = F.transform(name(level), lambda c: F.array_repeat(c["ordinal"], c["_b"] - c["_a"] + 1))
-        before = F.coalesce(F.get(F.col(name(level)), F.lit(0))["_a"], F.size(words))
+        own_places = F.transform(spans(i), lambda c, j: F.array_repeat((j + 1).cast("bigint"), c["_b"] - c["_a"] + 1))
+        before = F.coalesce(F.get(F.col(spans(i)), F.lit(0))["_a"], F.size(words))
         return F.flatten(F.concat(F.array(F.array_repeat(F.lit(0).cast("bigint"), before)), own_places))
 
-    docs = docs.select("id", own, words, *[fenced(items(i)).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)], *tallies)
-    numbered = F.arrays_zip(F.col(words).alias("row"), *[numbers(level).alias(f"n{i}") for i, level in enumerate(LEVELS[:-1], 1)])
-    docs = docs.select("id", own, fenced(numbered).alias(words), *map(name, LEVELS[:-1]), *tallies)
+    # Counted, in Python, is only what tells the containers' parents: who does not ask for them never runs it.
+    docs = docs.select("id", own, words, "__held", *[fenced(placed(i)).alias(spans(i)) for i in levels], *tallies)
+    docs = docs.withColumn("__n", running_counts(F.transform("__held", lambda c: c["row"]["level"].cast("int")), len(LEVELS) - 1))
+    docs = docs.select("id", own, words, *map(spans, levels), *[fenced(parents(i)).alias(f"__parent_{i}") for i in levels[1:]], *tallies)
+    numbered = F.arrays_zip(F.col(words).alias("row"), *[numbers(i).alias(f"n{i}") for i in levels])
+    docs = docs.select("id", own, fenced(numbered).alias(words), *[fenced(items(i)).alias(name(level)) for i, level in enumerate(LEVELS[:-1], 1)], *tallies)
     fields = {n: (lambda x, i, n=n: x["row"][n]) for n in (*BOX, "text")}
     fields |= {
         "confidence": lambda x, i: x["row"]["conf"],
@@ -98,4 +111,4 @@ def corpus_from_tesseract_documents(docs: DataFrame, document_col: str, rows_col
     keys = {level: (lambda x, i=i: x[f"n{i}"]) for i, level in enumerate(LEVELS[:-1], 1)}
     frame = Frame(docs, words, fields, (own,), keys, consecutive=True, count=F.col(tallies[-1]))
     shapes = {level: [("document" if i == 1 else LEVELS[i - 2]), *(BOX[2:] if i == 1 else BOX), "ordinal", "id"] for i, level in enumerate(LEVELS[:-1], 1)}
-    return corpus_of_frame(frame, {"document": Spans(frame, ["id"]), **{level: Spans(frame, shapes[level], F.col(name(level)), F.col(n)) for level, n in zip(LEVELS[:-1], tallies, strict=False)}})
+    return corpus_of_frame(frame, {"document": Spans(frame, ["id"]), **{level: Spans(frame, shapes[level], F.col(name(level)), F.col(n), stored=True) for level, n in zip(LEVELS[:-1], tallies, strict=False)}})
