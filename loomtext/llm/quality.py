@@ -29,19 +29,22 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, lean, texts
+from .common import documents, lean, texts
 
 SLOTS, DIM, ONES, WINDOW = 1 << 15, 64, 6, 2
 HIDDEN, EPOCHS, MAX_ROWS = 48, 60, 4000
-#: Words of a text whose contexts are summed at a time, and words whose slots a task remembers, twice: less costs little time.
-PART, CACHED = 1 << 14, 40_000
-TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Words whose contexts are summed at a time, few enough that sums of 16 bits hold them (a component is at most 2 * WINDOW).
+PART = 0xFFFF // (4 * WINDOW)
+#: Bytes of text whose words are found at a time, and bytes of the words whose slots are found together.
+SLICE, LONGEST = 1 << 17, 64
+TOKEN = re.compile(r"(\w+)|[^\w\s]+")
 
 
 def slot_of(word: str) -> int:
@@ -57,15 +60,63 @@ def index_vectors(kind: type = np.float32) -> np.ndarray:
     return out
 
 
-class Reader:
-    """The slots of a text's words."""
-
-    def __init__(self):
-        self.slots = BoundedCache(slot_of, CACHED)
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = TOKEN.findall(text)
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each code point (0 between words), and what makes up a CRC-32's last bits: each byte's share by its distance from the end, and the length's."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for m in TOKEN.finditer(np.arange(len(kinds), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        kinds[m.start() : m.end()] = 1 if m[1] else 2
+    length = np.array([zlib.crc32(bytes(n)) for n in range(LONGEST + 1)], np.uint32)
+    shares = np.array([[zlib.crc32(bytes([c]) + bytes(n)) for c in range(256)] for n in range(LONGEST)], np.uint32) ^ length[1:, None]
+    return kinds, (shares % SLOTS).astype(np.uint16).ravel(), (length % SLOTS).astype(np.uint16)
+
+
+def _found(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, slot) of each word of UTF-8 bytes, without a Python object a word."""
+    kinds, shares, length = _tables()
+    data = np.frombuffer(text, np.uint8)
+    kind = kinds[data if text.isascii() else np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)]
+    edges = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    own = kind[edges] > 0
+    if len(kind) < len(data):
+        edges = np.flatnonzero((data & 0xC0) != 0x80)[edges]
+    sizes = np.diff(edges, append=len(data))
+    left = np.repeat((edges + sizes - 1).astype(np.int32), sizes) - np.arange(len(data), dtype=np.int32)
+    left = np.minimum(left, LONGEST - 1, out=left) << 8
+    left |= data
+    slots = np.bitwise_xor.reduceat(shares.take(left), edges)[own]
+    edges, sizes = edges[own], sizes[own]
+    slots ^= length[np.minimum(sizes, LONGEST)]
+    for i in np.flatnonzero(sizes > LONGEST):
+        slots[i] = slot_of(text[edges[i] : edges[i] + sizes[i]].decode())
+    return edges, slots
+
+
+def slots(held: list[bytes]) -> list[np.ndarray]:
+    """The slots of the words of each text, of which several are looked at together and long ones in parts that end at a blank."""
+    out: list[np.ndarray] = []
+    held = [t.decode("utf-8", "replace").encode() for t in held]
+    at = 0
+    while at < len(held):
+        if len(held[at]) > SLICE:
+            t, start, parts = held[at], 0, []
+            while start < len(t):
+                end = len(t) if len(t) - start <= SLICE else t.find(b" ", start + SLICE)
+                end = len(t) if end < 0 else end
+                parts.append(_found(t[start:end])[1])
+                start = end
+            out.append(np.concatenate(parts))
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(held) and (size := size + len(held[end])) <= SLICE:
+            end += 1
+        own = held[at:end]
+        ends = np.cumsum([len(t) + 1 for t in own])
+        first, found = _found(b"\n".join([*own, b""]))
+        out += np.split(found, np.searchsorted(first, ends[:-1]))
+        at = end
+    return out
 
 
 class Model:
@@ -80,7 +131,7 @@ class Model:
         total, bound, weight = np.zeros(DIM), np.zeros(DIM), 0.0
         for i in range(0, len(at), 65536):
             own = at[i : i + 65537]  # with the next slice's first word, for its product
-            v, w = self.words[own], self.parts["weights"][own[:65536]]
+            v, w = self.words.take(own, 0), self.parts["weights"][own[:65536]]
             total += w @ v[:65536]
             weight += float(w.sum())
             bound += np.einsum("ij,ij->j", v[1:], v[:-1])
@@ -108,11 +159,11 @@ class Model:
 
 def add_context(at: np.ndarray, index: np.ndarray, counts: np.ndarray, context: np.ndarray) -> None:
     """Count a text's slots, and add to each word's context the index vectors of its neighbours."""
-    counts += np.bincount(at, minlength=SLOTS)
+    counts += np.bincount(at, minlength=len(counts))
     for i in range(0, len(at), PART):
         low = max(0, i - WINDOW)
-        near, own = index[at[low : i + PART + WINDOW]], at[i : i + PART]
-        total = np.zeros((len(own), DIM), np.int8)
+        near, own = index.take(at[low : i + PART + WINDOW], 0).view(np.uint8), at[i : i + PART].astype(np.uint16)
+        total = np.full((len(own), DIM), 2 * WINDOW, np.uint8)  # from 0 to 4 * WINDOW, so that four components are summed as one number
         for k in range(1, WINDOW + 1):
             start = max(0, k - i)  # the text's first words have no words before them
             total[start:] += near[i - low + start - k : i - low + len(own) - k]
@@ -121,7 +172,8 @@ def add_context(at: np.ndarray, index: np.ndarray, counts: np.ndarray, context:
         order = np.argsort(own, kind="stable")
         held = own[order]
         first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        context[held[first]] += np.add.reduceat(total[order], first, axis=0, dtype=np.int64)
+        sums = np.add.reduceat(total.take(order, 0).astype(np.uint16).view(np.uint64), first, axis=0).view(np.uint16)
+        context[held[first]] += sums - 2 * WINDOW * np.diff(first, append=len(held))[:, None]
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +183,13 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     schema = "block int, counts binary, context binary"
 
     def run(it):
-        read, own = Reader(), index_vectors(np.int8)  # made here: 8 MB would travel with every task
-        counts, context = np.zeros(SLOTS, np.int64), np.zeros((SLOTS, DIM), np.int64)
+        own = np.r_[index_vectors(np.int8), np.zeros((1, DIM), np.int8)]  # made here: it would travel with every task
+        counts, context = np.zeros(SLOTS + 1, np.int64), np.zeros((SLOTS + 1, DIM), np.int64)
+        between = np.full(WINDOW, SLOTS, np.uint16)  # what keeps texts apart: slots of no word
         for batch in it:
-            for _, held in texts(batch, "text"):
-                for t in held:
-                    if len(at := read(t.decode("utf-8", "replace"))):
-                        add_context(at, own, counts, context)
+            for _, held in texts(batch, "text", SLICE):
+                add_context(np.concatenate([x for at in slots(held) for x in (at, between)]), own, counts, context)
+        counts, context = counts[:SLOTS], context[:SLOTS]
         for b in range(blocks if counts.any() else 0):
             at = slice(b * size, (b + 1) * size)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([counts[at].tobytes()], pa.binary()), pa.array([context[at].tobytes()], pa.binary())], ["block", "counts", "context"])
@@ -212,12 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
     def run(it):
-        reader, found = Reader(), []
+        found = []
         for batch in it:
             y = batch.column(1).to_pylist()
             for start, held in texts(batch, "text"):
-                found += [(i, t, reader(t.decode("utf-8", "replace")), label) for i, (t, label) in enumerate(zip(held, y[start:], strict=False))]
-        found = sorted(((zlib.crc32(t), len(t), x, label) for _, t, x, label in found), key=lambda r: r[:2])
+                found += [(zlib.crc32(t), len(t), x, label) for t, x, label in zip(held, slots(held), y[start:], strict=False)]
+        found.sort(key=lambda r: r[:2])
         model = train([r[2] for r in found], np.array([r[3] for r in found]), *told.value)
         yield pa.RecordBatch.from_pydict({"model": [model.to_bytes()]}, schema=pa.schema([("model", pa.binary())]))
 
@@ -232,11 +284,11 @@ def _scored(rows: DataFrame, model: bytes, text_col: str) -> DataFrame:
     told = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
-        own, reader = Model.from_bytes(told.value), Reader()
+        own = Model.from_bytes(told.value)
         for batch in it:
             out = []
             for _, held in texts(batch, text_col):
-                out += own.scores(np.array([own.pool(reader(t.decode("utf-8", "replace"))) for t in held])).tolist()
+                out += own.scores(np.array([own.pool(at) for at in slots(held)])).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_score"])
 
     return rows.mapInArrow(lean(run), StructType([*rows.schema.fields]).add("_score", DoubleType()))

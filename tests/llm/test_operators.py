@@ -647,6 +647,28 @@ def test_jaccard_keeps_one_of_each_component_whatever_the_ids(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_quality_finds_slots_without_a_call_a_word(monkeypatch):
+    rng = np.random.default_rng(7)
+    signs = [0x20, 0x20, 0x41, 0x62, 0x5F, 0x30, 0xE9, 0x301, 0x4E2D, 0x1F600, 0x2E, 0x85, 0xA0, 0x2028, 0x1C, 0xB2, 0x660, 0x1D7D8, 0xFFFD, 0, 0xAD, 0x3000]
+    held = ["".join(map(chr, rng.choice(signs, n))) for n in rng.choice([0, 1, 2, 5, 50, 500], 400)]
+    held += ["a" * n for n in range(62, 68)] + ["\u00e9" * n for n in range(30, 35)] + ["", "x" * 200_000, "y! z " * 60_000, "\u4e2d" * 70_000, "a" * 140_000 + " b" * 100_000]
+    held = [t.encode() for t in held] + [b"ab\xff\xfecd \xe4\xb8", b"\xff"]
+    want = [[quality.slot_of(m[0]) for m in quality.TOKEN.finditer(t.decode("utf-8", "replace"))] for t in held]
+    calls, slot_of = [], quality.slot_of
+    monkeypatch.setattr(quality, "slot_of", lambda w: calls.append(w) or slot_of(w))
+    got = quality.slots(held)
+    assert [x.tolist() for x in got] == want
+    assert all(len(w.encode()) > quality.LONGEST for w in calls)
+    assert quality.slots([]) == []
+    # a word more often than 16 bits count, and texts that are no neighbours
+    index = np.r_[quality.index_vectors(np.int8), np.zeros((1, quality.DIM), np.int8)]
+    at = np.r_[np.full(40_000, 3), [quality.SLOTS] * quality.WINDOW, [5, 7]].astype(np.uint16)
+    counts, context = np.zeros(quality.SLOTS + 1, np.int64), np.zeros((quality.SLOTS + 1, quality.DIM), np.int64)
+    quality.add_context(at, index, counts, context)
+    assert counts[[3, 5, 7]].tolist() == [40_000, 1, 1]
+    assert (context[3] == (4 * 40_000 - 6) * index[3].astype(int)).all() and (context[5] == index[7]).all() and (context[7] == index[5]).all()
+
+
 def test_quality_takes_no_tables_along():
     """What is sent with every task is small, and contexts do not depend on the slices in which they are summed."""
     from pyspark import cloudpickle
