@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..core import Chunks, Corpus, Frame, Spans, _free
 from ..functions.arrays import running_sums
 
+#: What is between words.  Java's own \s has the vertical tab, too, which SQL's does not.
+BLANKS = r"[ \t\n\f\r]+"
+
 
 def _lines(text: Column) -> Column:
     """For each line of a text, numbered from 0, the array of its words as (line, text)."""
-    return F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("text"))))
+    return F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.filter(F.split(line, BLANKS), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("text"))))
 
 
 def corpus_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
